@@ -86,6 +86,20 @@ def _minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), shards[group[0]], np.int32)), pa.array(np.minimum(n, 2).astype(np.int32))], names=["hash", "_shard", "n"])
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the minimizers that occur twice. All rows of a hash are here; there are as many partitions as shards need."""
+    parts = [[b[c].to_numpy() for c in ("hash", "_shard", "n")] for b in batches]
+    if not parts:
+        return
+    hashes, shards, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    by = np.argsort(hashes)
+    ordered = hashes[by]
+    first = np.append(True, ordered[1:] != ordered[:-1])
+    alone = first & np.append(first[1:], True) & (n[by] < 2)
+    keep = by[~alone]
+    yield pa.RecordBatch.from_arrays([pa.array(hashes[keep]), pa.array(shards[keep])], names=["hash", "_shard"])
+
+
 _ROWS = "key long, _shard int, d long, h long, start long, stop long, part binary"
 _NAMES = ["key", "_shard", "d", "h", "start", "stop", "part"]
 
@@ -117,9 +131,10 @@ def local_classes(shard: int, d: np.ndarray, h: np.ndarray, start: np.ndarray, p
     edge = np.zeros(len(buf) + 1, np.int32)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + WINDOW, -1)
-    source = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    covered = np.cumsum(edge[:-1]) > 0
+    source, place = np.flatnonzero(covered), np.cumsum(covered, dtype=np.int32) - 1
     valid = np.zeros(len(source), bool)
-    valid[np.searchsorted(source, at)] = True
+    valid[place[at]] = True
     order, begins = window_classes(buf[source], valid, WINDOW)
     order = source[order]
     rank = np.unique(d, return_inverse=True)[1]
@@ -179,23 +194,32 @@ def merge_windows(d: np.ndarray, start: np.ndarray, texts: list[bytes]) -> tuple
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
     at = (ends - size)[owner] + offset
     codes = _codes(buf, at)
-    distinct = np.unique(codes)
-    cls = np.searchsorted(distinct, codes)
+    gone = np.zeros(len(at), bool)
+    ordered = np.sort(codes)
+    distinct = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])  # codes of more than one window
+    if not len(distinct):
+        return owner, offset, gone
+    cls = np.minimum(np.searchsorted(distinct, codes), len(distinct) - 1)
+    several = np.flatnonzero(distinct[cls] == codes)
+    cls, at = cls[several], at[several]
     stands_for = np.empty(len(distinct), np.int64)
     stands_for[cls[::-1]] = at[::-1]
     words = _packed(buf)
     same = np.ones(len(at), bool)
     for k in (*range(0, WINDOW - 7, 8), WINDOW - 8):
         same &= words[at + k] == words[stands_for[cls] + k]
+    n_classes = len(distinct)
     if not same.all():  # equal codes of unequal windows: told apart by their bytes
         whole, names = buf.tobytes(), {}
         for i in np.flatnonzero(np.isin(cls, cls[~same])).tolist():
-            cls[i] = names.setdefault(whole[at[i] : at[i] + WINDOW], len(distinct) + len(names))
-        distinct = np.empty(len(distinct) + len(names))
-    keys = (np.unique(d, return_inverse=True)[1].astype(np.int64)[owner] << _PLACE) | (start[owner] + offset)
-    least = np.full(len(distinct), np.iinfo(np.int64).max)
+            cls[i] = names.setdefault(whole[at[i] : at[i] + WINDOW], n_classes + len(names))
+        n_classes += len(names)
+    mine = owner[several]
+    keys = (np.unique(d, return_inverse=True)[1].astype(np.int64)[mine] << _PLACE) | (start[mine] + offset[several])
+    least = np.full(n_classes, np.iinfo(np.int64).max)
     np.minimum.at(least, cls, keys)
-    return owner, offset, keys > least[cls]
+    gone[several] = keys > least[cls]
+    return owner, offset, gone
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,8 +324,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     segs, shards = segments(docs, doc_id, text)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 4)
     found = segs.select("_shard", "part").mapInArrow(_minimizers, "hash long, _shard int, n int").repartition(parts, "hash")
-    twice = found.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
-    shared = found.join(twice, "hash", "left_semi").select("_shard", "hash")
+    shared = found.mapInArrow(_shared, "hash long, _shard int")
     dealt = segs.repartition(parts, "_shard")
     mine = dealt.groupBy("_shard").cogroup(shared.groupBy("_shard")).applyInArrow(_within, _ROWS)
     gone = mine.repartition(parts, "key").sortWithinPartitions("key", "d", "start").mapInArrow(_across, "_shard int, d long, h long, start long, stop long")
