@@ -97,8 +97,8 @@ def id_shards(df: DataFrame, key: str, rows: int, weight: Column | None = None)
 
 
 def by_shard(df: DataFrame, shards: int, *order: str) -> DataFrame:
-    """Shards dealt out whole, the rows of each in order."""
-    return df.repartition(max(1, shards), "_shard").sortWithinPartitions("_shard", *order)
+    """Shards dealt out whole, one to a partition, the rows of each in order."""
+    return df.repartitionById(max(1, shards), F.col("_shard")).sortWithinPartitions("_shard", *order)
 
 
 def runs_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[object, pa.RecordBatch]]:

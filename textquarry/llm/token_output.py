@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import by_shard, commit, filesystem, fresh_path, id_shards, runs_of, utf8
+from textquarry.llm.common import by_shard, commit, filesystem, fresh_path, id_shards, runs_of
 
 END = 2
 LENGTH = 2048
@@ -28,9 +29,9 @@ ROWS_PER_SHARD = 4096
 #: Sequences in a record batch.
 BATCH = 512
 #: Words whose ids a worker keeps; it then starts anew.
-MAX_WORDS = 800_000
+MAX_WORDS = 1_500_000
 #: Bytes of text that are encoded at once.
-CHUNK = 2 << 20
+CHUNK = 4 << 20
 
 _encoders: dict = {}
 
@@ -48,35 +49,89 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size(True) <= 1 << 16 else np.uint32
+        vocabulary = self.tokenizer.get_vocab(True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.at, self.n, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        self.known: dict[bytes, int] = {b"": 0}  # what stands before white space that opens a text
+        self.at, self.n, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, self.dtype)
 
     def learn(self, words: list[bytes]) -> None:
-        fresh = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        n = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        """Words that differ in ASCII case have the same ids, and a full stop or comma after a letter is a token of its own."""
+        parts, cores = [], set()
+        for w in words:
+            core, tail = w, b""
+            if w[-1:] in (b".", b",") and w[-2:-1].isalpha():
+                core, tail = w[:-1], w[-1:]
+            if core.isalpha():
+                core = core.lower()
+            if core not in self.known:
+                cores.add(core)
+            if core != w:
+                parts.append((w, core, tail))
+        self.learn_cores(list(cores | ({b".", b","} - self.known.keys())))
+        parts = [x for x in parts if x[0] not in self.known]  # a core may itself be a word
+        which = np.fromiter((self.known[core] for _, core, _ in parts), np.int64, len(parts))
+        n, tailed = self.n[which], np.fromiter((bool(t) for *_, t in parts), bool, len(parts))
+        at = self.at[which]
+        if tailed.any():
+            k, m = which[tailed], n[tailed] + 1
+            stops = np.cumsum(m)
+            ids = self.flat[np.minimum(np.repeat(self.at[k] - stops + m, m) + np.arange(stops[-1]), len(self.flat) - 1)]
+            ids[stops - 1] = [self.flat[self.at[self.known[t]]] for *_, t in parts if t]
+            at[tailed], n[tailed] = len(self.flat) + stops - m, m
+            self.flat = np.concatenate((self.flat, ids))
+        self.add([w for w, *_ in parts], at, n)
+
+    def add(self, words: list[bytes], at: np.ndarray, n: np.ndarray) -> None:
         base = len(self.known)
         self.known.update(zip(words, range(base, base + len(words)), strict=True))
-        self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(n) - n))
-        self.n = np.concatenate((self.n, n))
-        self.flat = np.concatenate((self.flat, np.fromiter((i for ids in fresh for i in ids), self.dtype, int(n.sum()))))
-
-    def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text's followed by ``end``, and the number of ids of each text."""
+        self.at, self.n = np.concatenate((self.at, at)), np.concatenate((self.n, n))
+
+    def learn_cores(self, words: list[bytes]) -> None:
+        """Words of letters alone are encoded many at once; each ends with a token that ends a word."""
+        texts = [w.decode() for w in words]
+        plain = [k for k, t in enumerate(texts) if t.isalpha()]
+        rest = [k for k, t in enumerate(texts) if not t.isalpha()]
+        groups = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([" ".join(texts[k] for k in g) for g in groups], add_special_tokens=False)]
+        order, flat, sizes = [], [], []
+        for g, found in zip(groups, ids, strict=True):
+            found = np.array(found, self.dtype)
+            ends = np.flatnonzero(self.ends[found])
+            if len(ends) == len(g):
+                order += g
+                flat.append(found)
+                sizes.append(np.diff(ends, prepend=-1))
+            else:
+                rest += g
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
+            order.append(k)
+            flat.append(np.array(e.ids, self.dtype))
+            sizes.append(np.array([len(e.ids)]))
+        n = np.concatenate([np.zeros(0, np.int64), *sizes])
+        self.add([words[k] for k in order], len(self.flat) + np.cumsum(n) - n, n)
+        self.flat = np.concatenate([self.flat, *flat])
+
+    def encode(self, texts: pa.StringArray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text's followed by ``end``, and the number of ids of each text. No nulls."""
         if len(self.known) > MAX_WORDS:
             self.reset()
-        split = [t.split() for t in texts]
-        flat = [w for ws in split for w in ws]
-        if new := set(flat).difference(self.known):
-            self.learn(sorted(new))
-        which = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        n, counts = self.n[which], np.fromiter(map(len, split), np.int64, len(split))
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        if new := [w for w in words if w not in self.known]:
+            self.learn(new)
+        which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        n = self.n[which]
         stops = np.concatenate(([0], np.cumsum(n)))
-        doc_ids = np.diff(stops[np.concatenate(([0], np.cumsum(counts)))])
+        offsets = split.offsets.to_numpy()
+        doc_ids = np.diff(stops[offsets - offsets[0]])
         # source position of each id: where its word begins in flat, plus its place in the word
-        source = np.repeat(self.at[which] - stops[:-1], n) + np.arange(stops[-1])
+        source = np.repeat(self.at[which] - stops[:-1], n)
+        source += np.arange(stops[-1])
         out = np.full(len(source) + len(texts), end, self.dtype)
         keep = np.ones(len(out), bool)
         keep[np.cumsum(doc_ids + 1) - 1] = False
@@ -140,14 +195,15 @@ class _ShardFile:
             commit(self.fs, temporary, final)
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[bytes]]]:
-    ids, texts = batch.column("doc_id"), utf8(batch.column("text"))
-    start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= CHUNK or i == len(texts) - 1:
-            yield ids.slice(start, i + 1 - start), texts[start : i + 1]
-            start, held = i + 1, 0
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.StringArray]]:
+    ids, texts = batch.column("doc_id"), pc.fill_null(batch.column("text"), "")
+    held = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        before = held[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(held, before + CHUNK)))
+        yield ids.slice(start, stop - start), texts.slice(start, stop - start)
+        start = stop
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, doc_id: str = "doc_id", text: str = "text", end: int = END, length: int = LENGTH, rows_per_shard: int = ROWS_PER_SHARD) -> tuple[str, DataFrame]:
@@ -215,7 +271,7 @@ def read_back(spark: SparkSession, out: str, manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for shard, base in zip(batch["shard"].to_pylist(), batch["base"].to_pylist(), strict=True):
                 for docs, crcs in read_documents(out, shard):
-                    yield pa.RecordBatch.from_arrays([docs["doc_id"], pa.compute.add(docs["start"], base), docs["n_tokens"], pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([docs["doc_id"], pc.add(docs["start"], base), docs["n_tokens"], pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     shards = max(1, manifest.count())
     return manifest.repartition(min(shards, 4096), "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
