@@ -1,7 +1,7 @@
 """Language identification by compression: the language whose raw-content zstandard dictionary packs a text best.
 
-Training takes, for each language, documents in the order of a hash of their ids until ``dictionary_bytes`` are full;
-documents longer than an eighth of that are not used for dictionaries. So the sample is bounded by ``dictionary_bytes``
+Training takes, for each language, documents in the order of a hash of their ids until ``dictionary_bytes`` are full
+(of a range of hashes that holds about four times as much); documents longer than an eighth of that are not used. So the sample is bounded by ``dictionary_bytes``
 for each language, and by ``max_languages``; beyond the latter the most frequent languages are learned.
 
 Text and dictionaries are lower-cased, and what is not a letter becomes a blank: case, digits and marks say nothing of
@@ -39,16 +39,20 @@ def letters(text: str) -> Column:
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", dictionary_bytes: int = DICTIONARY_BYTES, max_languages: int = MAX_LANGUAGES) -> list[tuple[str, bytes]]:
     """(language, dictionary) pairs, the most frequent language first."""
-    rows = docs.select(F.col(doc_id).alias("d"), letters(text).alias("t"), F.col(lang).alias("l"), F.octet_length(text).alias("n")).where("l is not null and n > 0")
-    most = [r["l"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_languages).collect()]
-    short = rows.where(F.col("l").isin(most) & (F.col("n") <= dictionary_bytes // 8))
-    # A sum of sizes over the hash order would need all rows of a language in one task; enough rows by rank are bounded.
-    rank = F.row_number().over(W.partitionBy("l").orderBy(F.xxhash64(F.lit("dictionary"), "d"), "d", "t"))
-    enough = dictionary_bytes // 64
-    picked = short.withColumn("r", rank).where(F.col("r") <= enough)
-    upto = F.sum("n").over(W.partitionBy("l").orderBy("r"))
-    sample = picked.withColumn("upto", upto).where(F.col("upto") <= dictionary_bytes).select("l", "r", "t").collect()
-    return [(x, b"\n".join(r["t"].encode() for r in sorted(sample, key=lambda r: -r["r"]) if r["l"] == x)) for x in most]
+    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.col(lang).alias("l"), F.octet_length(text).alias("n")).where("l is not null and n > 0")
+    fits = F.col("n") <= dictionary_bytes // 8
+    most = rows.groupBy("l").agg(F.count(F.lit(1)).alias("c"), F.sum(F.when(fits, F.col("n"))).alias("b")).orderBy(F.desc("c"), "l").limit(max_languages).collect()
+    if not most:
+        return []
+    # A range of hashes that holds a few dictionaries' worth of each language, so that no more than that is sorted.
+    share = F.create_map(*[F.lit(x) for r in most for x in (r["l"], min(1.0, 4 * dictionary_bytes / max(1, r["b"] or 0)))])
+    spot = F.xxhash64(F.lit("dictionary"), "d")
+    few = rows.where(fits & (F.shiftrightunsigned(spot, 1) / float(1 << 63) <= F.element_at(share, F.col("l"))))
+    order = W.partitionBy("l").orderBy("h", "d", "t")
+    upto = F.sum("n").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    picked = few.withColumn("h", spot).withColumn("upto", upto).withColumn("r", F.row_number().over(order)).where(F.col("upto") <= dictionary_bytes)
+    sample = picked.select("l", "r", letters("t").alias("t")).collect()
+    return [(x, b"\n".join(r["t"].encode() for r in sorted(sample, key=lambda r: -r["r"]) if r["l"] == x)) for x in (m["l"] for m in most)]
 
 
 def packers(dictionaries: list[tuple[str, bytes]], level: int = LEVEL) -> list[zstandard.ZstdCompressor]:
