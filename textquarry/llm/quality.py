@@ -166,8 +166,8 @@ def classify(scored: DataFrame, bounds: DataFrame, prior: float = PRIOR, min_tru
 
 
 def trusted_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that are labelled good and not toxic."""
-    return docs.join(good_ids(labels), "doc_id", "left_semi")
+    """Documents that are labelled good and not toxic. Labels grow with the documents, so they are never broadcast."""
+    return docs.join(good_ids(labels).hint("merge"), "doc_id", "left_semi")
 
 
 def good_ids(labels: DataFrame) -> DataFrame:
