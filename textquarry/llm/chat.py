@@ -45,15 +45,15 @@ def unescaped_role(role: Column) -> Column:
 def paths(messages: DataFrame, best: int = 1) -> DataFrame:
     """messages(tree, id, parent, score) -> (tree, leaf, branch_rank, branch_score, id, depth) of the chosen paths."""
     nodes = messages.groupBy("tree", "id").agg(F.min(F.struct("parent", "score")).alias("m")).select("tree", "id", "m.parent", F.coalesce("m.score", F.lit(0.0)).cast("double").alias("score"))
-    nodes = stash(nodes, "chat-nodes")
+    nodes = stash(nodes, "chat-nodes")  # every join below is between tables of the messages' size: merged, never broadcast
     keys = nodes.select(F.col("tree").alias("t"), F.col("id").alias("i"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    step = nodes.join(keys, same("tree", "t") & (F.col("parent") == F.col("i")), "left").select("tree", "id", F.col("i").alias("up"), "score", F.lit(1).cast("long").alias("depth"))
+    step = nodes.join(keys.hint("merge"), same("tree", "t") & (F.col("parent") == F.col("i")), "left").select("tree", "id", F.col("i").alias("up"), "score", F.lit(1).cast("long").alias("depth"))
     rounds = [stash(step, "chat-round")]
     n = nodes.count()
     while rounds[-1].where("up is not null").limit(1).count() and 1 << (len(rounds) - 1) <= n:
         over = rounds[-1].select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("depth").alias("d2"))
-        step = rounds[-1].join(over, same("tree", "t") & (F.col("up") == F.col("i")), "left").select("tree", "id", F.col("up2").alias("up"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"))
+        step = rounds[-1].join(over.hint("merge"), same("tree", "t") & (F.col("up") == F.col("i")), "left").select("tree", "id", F.col("up2").alias("up"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"))
         rounds.append(stash(step, "chat-round"))
     whole = rounds[-1].where("up is null")  # what still has an ancestor now is on a cycle
     parents = rounds[0].where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("i"))
@@ -63,7 +63,7 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
     walk = chosen.select("tree", F.col("id").alias("leaf"), "branch_rank", F.col("score").alias("branch_score"), "id", "depth")
     for k in reversed(range(len(rounds) - 1)):
         hop = rounds[k].where("up is not null").select(F.col("tree").alias("t"), F.col("id").alias("i"), "up")
-        both = walk.join(hop, same("tree", "t") & (F.col("id") == F.col("i")), "left")
+        both = walk.join(hop.hint("merge"), same("tree", "t") & (F.col("id") == F.col("i")), "left")
         each = F.array(F.struct(F.col("id").alias("id"), F.col("depth").alias("depth")), F.struct(F.col("up").alias("id"), (F.col("depth") - (1 << k)).alias("depth")))
         walk = both.select("tree", "leaf", "branch_rank", "branch_score", F.explode(each).alias("n")).where("n.id is not null").select("tree", "leaf", "branch_rank", "branch_score", "n.id", "n.depth")
     return walk
