@@ -49,13 +49,17 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
     keys = nodes.select(F.col("tree").alias("t"), F.col("id").alias("i"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     step = nodes.join(keys.hint("merge"), same("tree", "t") & (F.col("parent") == F.col("i")), "left").select("tree", "id", F.col("i").alias("up"), "score", F.lit(1).cast("long").alias("depth"))
+    # rounds[k]: the nodes that had an ancestor at distance 2^(k-1), with the one at 2^k, or null where the root is nearer
     rounds = [stash(step, "chat-round")]
+    ended = rounds[0].where("up is null")
     n = nodes.count()
     while rounds[-1].where("up is not null").limit(1).count() and 1 << (len(rounds) - 1) <= n:
-        over = rounds[-1].select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("depth").alias("d2"))
-        step = rounds[-1].join(over.hint("merge"), same("tree", "t") & (F.col("up") == F.col("i")), "left").select("tree", "id", F.col("up2").alias("up"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"))
+        live = rounds[-1].where("up is not null")
+        over = ended.unionByName(live).select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("depth").alias("d2"))
+        step = live.join(over.hint("merge"), same("tree", "t") & (F.col("up") == F.col("i"))).select("tree", "id", F.col("up2").alias("up"), (F.col("score") + F.col("s2")).alias("score"), (F.col("depth") + F.col("d2")).alias("depth"))
         rounds.append(stash(step, "chat-round"))
-    whole = rounds[-1].where("up is null")  # what still has an ancestor now is on a cycle
+        ended = ended.unionByName(rounds[-1].where("up is null"))
+    whole = ended  # what still has an ancestor now is on a cycle
     parents = rounds[0].where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("i"))
     leaves = whole.join(parents, same("tree", "t") & (F.col("id") == F.col("i")), "left_anti")
     rank = F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "id"))
