@@ -116,3 +116,14 @@ def runs_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[ob
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+_kept: dict = {}
+
+
+def kept(key: tuple, make):
+    """What a worker builds once and uses in many tasks: the last one only, so that stages do not add up in its memory."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]

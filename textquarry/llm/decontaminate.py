@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import carried, uncarried, utf8
+from textquarry.llm.common import carried, kept, uncarried, utf8
 
 WINDOW = 10
 #: Bytes of benchmark text behind one automaton; a larger benchmark is scanned for in several passes.
@@ -27,7 +27,6 @@ SLICE_BYTES = 4 << 20
 _BLANKS = bytes(c if c >= 0x80 or chr(c).isascii() and chr(c).isalnum() and not chr(c).isupper() else 0x20 for c in range(256))
 _OUT = "n_words long, hit_runs array<struct<first:long,last:long>>, hit_spans array<struct<start:long,stop:long>>, item_ids array<string>"
 _OUTPUTS = ["n_words", "hit_runs", "hit_spans", "item_ids"]
-_automata: dict = {}
 
 
 def words(text: bytes) -> list[bytes]:
@@ -90,11 +89,7 @@ def original_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int,
 
 def _pass(items, width: int, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (items.id, width)
-        if key not in _automata:
-            _automata.clear()
-            _automata[key] = automaton(items.value, width)
-        built = _automata[key]
+        built = kept(("automaton", items.id, width), lambda: automaton(items.value, width))
         for batch in batches:
             texts = utf8(batch.column("_text"))
             n, runs, spans, ids = [], [], [], []

@@ -22,14 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import carried, uncarried, utf8
+from textquarry.llm.common import carried, kept, uncarried, utf8
 
 DICTIONARY_BYTES = 96 << 10
 MAX_LANGUAGES = 200
 LEVEL = 6
 BLOCK = 1024
 MARGIN = 0.01
-_compressors: dict = {}
 
 
 def letters(text: str) -> Column:
@@ -88,11 +87,7 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text: str =
     languages = [x for x, _ in dictionaries]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = tuple(map(hash, sent.value))
-        if key not in _compressors:
-            _compressors.clear()
-            _compressors[key] = packers(sent.value)
-        made = _compressors[key]
+        made = kept(("packers", *map(hash, sent.value)), lambda: packers(sent.value))
         for batch in batches:
             found = [predict(t, languages, made, margin) for t in utf8(batch.column("_text"))]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())], names=["_row", "lang_pred", "score", "rejected"])

@@ -3,7 +3,7 @@
 Counts, continuation counts and count-of-count discounts are aggregates over every trusted document; the conditional
 probabilities come from joins of the count tables with their context sums, sharded by context. Three bytes have 2^24
 values, which is the proven bound of the model whatever the corpus. It is written to the shared folder, and each worker
-spreads it once into a table of 64 MB, so that a document's perplexity needs no shuffle of its text.
+spreads it once into a table of 64 MB at most, so that a document's perplexity needs no shuffle of its text.
 
 A document's score is its mean negative log-likelihood in nats a byte, drawn towards the mean of its language as if
 ``prior`` further bytes had that mean: a short text alone proves little. Documents above the stated quantile of the
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import carried, filesystem, fresh_path, stash, uncarried, utf8
+from textquarry.llm.common import carried, filesystem, fresh_path, kept, stash, uncarried, utf8
 
 #: Opens and closes a text; never a byte of UTF-8.
 EDGE = 0xFF
@@ -35,9 +35,7 @@ MIN_TRUSTED = 100
 #: Scores are binned this finely for the quantiles, which are then the same on every run.
 BIN = 1e-3
 #: Bytes of text that are handled at once.
-CHUNK = 4 << 20
-
-_models: dict = {}
+CHUNK = 2 << 20
 
 
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -62,13 +60,15 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(gram, n) over all texts; each task sends one row for a trigram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 24, np.int64)
+        seen, total = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         for batch in batches:
             for _, codes, _ in _chunks(utf8(batch.column(0))):
                 grams, n = np.unique(codes, return_counts=True)
-                total[grams] += n
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["gram", "n"])
+                seen, where = np.unique(np.concatenate((seen, grams)), return_inverse=True)
+                both = np.zeros(len(seen), np.int64)
+                np.add.at(both, where, np.concatenate((total, n)))
+                total = both
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total)], names=["gram", "n"])
 
     return docs.select(text).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -100,27 +100,39 @@ def train(trusted: DataFrame, text: str = "text") -> str:
     return out
 
 
-def dense(level: np.ndarray, gram: np.ndarray, p: np.ndarray, back: np.ndarray) -> np.ndarray:
-    """-log p of each of the 2^24 trigrams: seen ones as joined, others by their contexts' weight for the lower order."""
-    one = np.full(256, (back[level == 1][0] if (level == 1).any() else 1.0) / 256)
-    one[gram[level == 1]] = p[level == 1]
-    weight2, weight3 = np.ones(256), np.ones(1 << 16)
-    weight2[gram[level == 2] >> 8] = back[level == 2]
-    two = np.outer(weight2, one).ravel()
-    two[gram[level == 2]] = p[level == 2]
-    weight3[gram[level == 3] >> 8] = back[level == 3]
-    three = (weight3.reshape(256, 256, 1) * two.reshape(1, 256, 256)).astype(np.float32).ravel()
-    three[gram[level == 3]] = p[level == 3]
-    return -np.log(np.maximum(three, np.float32(1e-12)))
-
-
-def load(model: str) -> np.ndarray:
-    if model not in _models:
-        _models.clear()
+class Costs:
+    """-log p of trigrams. Bytes that training never saw are alike, so they share one place in the table."""
+
+    def __init__(self, level: np.ndarray, gram: np.ndarray, p: np.ndarray, back: np.ndarray):
+        one_, two_, three_ = (level == k for k in (1, 2, 3))
+        self.place = np.zeros(256, np.uint32)
+        self.place[gram[one_]] = np.arange(1, one_.sum() + 1)
+        n = self.n = int(one_.sum()) + 1
+        of = lambda g, size: sum(self.place[g >> 8 * k & 255].astype(np.int64) * n**k for k in range(size))
+        one = np.full(n, (back[one_][0] if one_.any() else 1.0) / 256, np.float32)
+        one[self.place[gram[one_]]] = p[one_]
+        weight2, weight3 = np.ones(n, np.float32), np.ones(n * n, np.float32)
+        weight2[of(gram[two_] >> 8, 1)] = back[two_]
+        weight3[of(gram[three_] >> 8, 2)] = back[three_]
+        two = np.outer(weight2, one).ravel()
+        two[of(gram[two_], 2)] = p[two_]
+        cost = (weight3.reshape(n, n, 1) * two.reshape(1, n, n)).ravel()
+        cost[of(gram[three_], 3)] = p[three_]
+        np.log(np.maximum(cost, np.float32(1e-12), out=cost), out=cost)
+        self.cost = np.negative(cost, out=cost)
+
+    def __getitem__(self, codes: np.ndarray) -> np.ndarray:
+        n = np.uint32(self.n)
+        return self.cost[(self.place[codes >> 16] * n + self.place[codes >> 8 & 255]) * n + self.place[codes & 255]]
+
+
+def load(model: str) -> Costs:
+    def read() -> Costs:
         fs, path = filesystem(model)
         t = pq.read_table(path, filesystem=fs)
-        _models[model] = dense(*(t[c].to_numpy() for c in ("level", "gram", "p", "back")))
-    return _models[model]
+        return Costs(*(t[c].to_numpy() for c in ("level", "gram", "p", "back")))
+
+    return kept(("quality", model), read)
 
 
 def score(docs: DataFrame, model: str, text: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import by_shard, commit, filesystem, fresh_path, id_shards, runs_of
+from textquarry.llm.common import by_shard, commit, filesystem, fresh_path, id_shards, kept, runs_of
 
 END = 2
 LENGTH = 2048
@@ -29,12 +29,10 @@ ROWS_PER_SHARD = 4096
 #: Sequences in a record batch.
 BATCH = 512
 #: Words whose ids a worker keeps; it then starts anew.
-MAX_WORDS = 1_500_000
+MAX_WORDS = 1_000_000
 #: Bytes of text that are encoded at once.
 CHUNK = 4 << 20
 
-_encoders: dict = {}
-
 
 class WordEncoder:
     """Encodes texts word by word, each distinct word once.
@@ -140,9 +138,7 @@ class WordEncoder:
 
 
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return kept(("encoder", path), lambda: WordEncoder(path))
 
 
 class _ShardFile:
