@@ -127,14 +127,26 @@ def symbol_select(text: Column | str, symbol: str, i: int) -> Column:
     return F.when(head < F.length(text), head.cast("long"))
 
 
+def _run_starts(text: Column) -> Column:
+    """The first symbol of each run. Java's back-references miss pairs of supplementary symbols, which arrays do not."""
+    every = _symbols(text)
+    return F.filter(F.arrays_zip(every.alias("s"), F.concat(F.array(F.lit("")), every).alias("p")), lambda x: (x["s"] != x["p"]) & x["s"].isNotNull())
+
+
+def _supplementary(text: Column) -> Column:
+    return text.rlike(r"[\x{10000}-\x{10FFFF}]")
+
+
 def redundancy(text: Column | str) -> Column:
     """Length over number of runs of equal symbols; NULL for an empty text."""
     text = _column(text)
-    return F.when(F.length(text) > 0, F.length(text) / F.regexp_count(text, F.lit(r"(?s)(.)(?!\1)")))
+    runs = F.when(_supplementary(text), F.size(_run_starts(text))).otherwise(F.regexp_count(text, F.lit(r"(?s)(.)(?!\1)")))
+    return F.when(F.length(text) > 0, F.length(text) / runs)
 
 
 def collapsed_runs(text: Column | str) -> Column:
-    return F.regexp_replace(_column(text), r"(?s)(.)\1+", "$1")
+    text = _column(text)
+    return F.when(_supplementary(text), F.array_join(F.transform(_run_starts(text), lambda x: x["s"]), "")).otherwise(F.regexp_replace(text, r"(?s)(.)\1+", "$1"))
 
 
 def _symbols(text: Column) -> Column:
