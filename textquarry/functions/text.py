@@ -140,8 +140,7 @@ def _supplementary(text: Column) -> Column:
 def redundancy(text: Column | str) -> Column:
     """Length over number of runs of equal symbols; NULL for an empty text."""
     text = _column(text)
-    runs = F.when(_supplementary(text), F.size(_run_starts(text))).otherwise(F.regexp_count(text, F.lit(r"(?s)(.)(?!\1)")))
-    return F.when(F.length(text) > 0, F.length(text) / runs)
+    return F.when(F.length(text) > 0, F.length(text) / F.length(collapsed_runs(text)))
 
 
 def collapsed_runs(text: Column | str) -> Column:

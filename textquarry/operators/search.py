@@ -6,7 +6,7 @@ search runs in C, and only ids and positions come back. ``contains`` goes first,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,35 +66,49 @@ def locate_all(docs: DataFrame, pattern: str, doc_id: str = "doc_id", text: str
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, pos long, match_no long")
 
 
-def located(docs: DataFrame, pattern: str, doc_id: str = "doc_id", text: str = "text", limit: int | None = None) -> DataFrame:
-    """As :func:`locate_all`, with the text beside each position: ids, text and positions leave Python as one row a document."""
+def _with_each_match(docs: DataFrame, pattern: str, doc_id: str, text: str, limit: int | None, column: str, take: Callable[[str, int], str]) -> DataFrame:
+    """(doc_id, pos, ``column``): what ``take`` cuts out around each match. Only the cuttings leave the pass, not the texts."""
     T.checked_pattern(pattern)
     _limited(limit)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").contains(pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [find_all(t, pattern)[:limit] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "text", "at"])
+            index, pos, cut = [], [], []
+            for k, t in enumerate(batch.column("text").to_pylist()):
+                found = find_all(t, pattern)[:limit]
+                index += [k] * len(found)
+                pos += found
+                cut += [take(t, i) for i in found]
+                if len(cut) > 20_000:
+                    yield batch_of(batch, index, pos, cut)
+                    index, pos, cut = [], [], []
+            yield batch_of(batch, index, pos, cut)
+
+    def batch_of(batch, index, pos, cut) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(index, pa.int64())), pa.array(pos, pa.int64()), pa.array(cut, pa.string())], names=["doc_id", "pos", column])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, pos long, {column} string")
+
 
-    one = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, at array<long>")
-    return one.select("doc_id", "text", F.explode("at").alias("pos"))
+def _until(t: str, boundary: str, i: int) -> int:
+    found = t.find(boundary, i)
+    return len(t) if found < 0 else found
 
 
 def locate_and_extract(docs: DataFrame, pattern: str, chars: int = 64, limit: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, pos, extract): up to ``chars`` symbols from each match on."""
-    return located(docs, pattern, doc_id, text, limit).select("doc_id", "pos", F.substring("text", F.col("pos").cast("int") + 1, F.lit(chars)).alias("extract"))
+    return _with_each_match(docs, pattern, doc_id, text, limit, "extract", lambda t, i: t[i : i + chars])
 
 
 def grep_records(docs: DataFrame, pattern: str, boundary: str = "\n", limit: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, pos, record): the record around each match."""
-    return located(docs, pattern, doc_id, text, limit).select("doc_id", "pos", T.extract_until_boundary("text", F.col("pos"), boundary).alias("record"))
+    """(doc_id, pos, record): the record around each match; empty where the match begins with the boundary."""
+    return _with_each_match(docs, pattern, doc_id, text, limit, "record", lambda t, i: t[t.rfind(boundary, 0, i + 1) + 1 : _until(t, boundary, i)])
 
 
 def extract_key_value(docs: DataFrame, key: str, boundary: str = ",", limit: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, pos, fragment): from each match of ``key`` up to the boundary."""
-    rest = F.substring_index(F.substr("text", F.col("pos").cast("int") + 1), boundary, 1)
-    return located(docs, key, doc_id, text, limit).select("doc_id", "pos", rest.alias("fragment"))
+    return _with_each_match(docs, key, doc_id, text, limit, "fragment", lambda t, i: t[i : _until(t, boundary, i)])
 
 
 def _counter(patterns: list[tuple[object, str]]):

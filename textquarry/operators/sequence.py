@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as T
+from textquarry.operators import suffixes
+from textquarry.operators.transform import per_document
 
 
 def symbol_table(docs: DataFrame, seq_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -14,17 +18,22 @@ def symbol_table(docs: DataFrame, seq_id: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(seq_id).alias("seq_id"), F.posexplode(T.symbols(text)).alias("pos", "symbol")).withColumn("pos", F.col("pos").cast("long"))
 
 
-def alphabet_codes(docs: DataFrame, seq_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(seq_id, symbol, code, freq): codes from 1 in order of first appearance. Counts meet in partial aggregates."""
-    found = symbol_table(docs, seq_id, text).groupBy("seq_id", "symbol").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("freq"))
-    code = F.row_number().over(W.partitionBy("seq_id").orderBy("first"))
-    return found.select("seq_id", "symbol", code.alias("code"), "freq")
+def cumulative_counts(docs: DataFrame, seq_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(seq_id, symbol, code, freq, cum): codes from 1 in order of first appearance, and the rows of the transform before
+    the symbol's, the end mark's included. A row for each symbol of each text, without a shuffle."""
 
+    def make(t: str):
+        symbols, first, freq = np.unique(suffixes.code_points(t), return_index=True, return_counts=True)
+        by = np.argsort(first)
+        freq = freq[by]
+        return list(suffixes.to_text(symbols[by])), np.arange(1, len(by) + 1), freq, np.cumsum(freq) - freq + 1
 
-def cumulative_counts(docs: DataFrame, seq_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """alphabet_codes with cum: rows of the transform before the symbol's, the end mark's included."""
-    before = W.partitionBy("seq_id").orderBy("code").rowsBetween(W.unboundedPreceding, -1)
-    return alphabet_codes(docs, seq_id, text).withColumn("cum", F.coalesce(F.sum("freq").over(before), F.lit(0)) + 1)
+    columns = [("symbol", "string", pa.string()), ("code", "int", pa.int32()), ("freq", "long", pa.int64()), ("cum", "long", pa.int64())]
+    return per_document(docs, seq_id, text, make, columns)
+
+
+def alphabet_codes(docs: DataFrame, seq_id: str = "doc_id", text: str = "text") -> DataFrame:
+    return cumulative_counts(docs, seq_id, text).drop("cum")
 
 
 def inverse_select(symbols: DataFrame) -> DataFrame:

@@ -12,17 +12,25 @@ from pyspark.sql import functions as F
 from textquarry.operators import suffixes
 
 
-def _per_document(docs: DataFrame, seq_id: str, text: str, make: Callable, columns: list[tuple[str, str, pa.DataType]]) -> DataFrame:
-    """Rows that ``make(text)`` gives as columns; long documents are shared out by id."""
-    rows = docs.select(F.col(seq_id).alias("seq_id"), F.col(text).alias("text")).where("text is not null").repartition("seq_id")
+def per_document(docs: DataFrame, seq_id: str, text: str, make: Callable, columns: list[tuple[str, str, pa.DataType]], deal: bool = False) -> DataFrame:
+    """Rows that ``make(text)`` gives as columns. ``deal`` shares documents out by id, where the work outweighs the move."""
+    rows = docs.select(F.col(seq_id).alias("seq_id"), F.col(text).alias("text")).where("text is not null")
+    rows = rows.repartition("seq_id") if deal else rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["seq_id", *[c for c, _, _ in columns]]
         for batch in batches:
-            ids = batch.column("seq_id")
-            for k, t in enumerate(batch.column("text").to_pylist()):
+            ids, index, held, n = batch.column("seq_id"), [], [], 0
+            texts = batch.column("text").to_pylist()
+            for k, t in enumerate(texts):
                 made = make(t)
-                n = len(made[0])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(n, k))), *[pa.array(c, kind) for c, (_, _, kind) in zip(made, columns, strict=True)]], names=["seq_id", *[c for c, _, _ in columns]])
+                index.append(np.full(len(made[0]), k))
+                held.append(made)
+                n += len(made[0])
+                if n > 100_000 or k == len(texts) - 1:
+                    parts = [[m[j] for m in held] for j in range(len(columns))]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(index))), *[pa.array(np.concatenate(p) if isinstance(p[0], np.ndarray) else [x for y in p for x in y], kind) for p, (_, _, kind) in zip(parts, columns, strict=True)]], names=names)
+                    index, held, n = [], [], 0
 
     return rows.mapInArrow(run, ", ".join([f"seq_id {rows.schema['seq_id'].dataType.simpleString()}", *[f"{c} {kind}" for c, kind, _ in columns]]))
 
@@ -37,7 +45,7 @@ def suffix_array(docs: DataFrame, seq_id: str = "doc_id", text: str = "text") ->
         order = suffixes.suffix_array(suffixes.code_points(t))
         return np.arange(len(order)), order
 
-    return _per_document(docs, seq_id, text, make, [_RANK, _POS])
+    return per_document(docs, seq_id, text, make, [_RANK, _POS], deal=True)
 
 
 def suffix_samples(docs: DataFrame, rate: int, seq_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -49,7 +57,7 @@ def suffix_samples(docs: DataFrame, rate: int, seq_id: str = "doc_id", text: str
 
 def bwt(docs: DataFrame, seq_id: str = "doc_id", text: str = "text", mark: str = "\0") -> DataFrame:
     """(seq_id, bwt)."""
-    return _per_document(docs, seq_id, text, lambda t: ([suffixes.bwt(t, mark)],), [("bwt", "string", pa.string())])
+    return per_document(docs, seq_id, text, lambda t: ([suffixes.bwt(t, mark)],), [("bwt", "string", pa.string())], deal=True)
 
 
 def bwt_redundancy(docs: DataFrame, seq_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -62,7 +70,7 @@ def bwt_redundancy(docs: DataFrame, seq_id: str = "doc_id", text: str = "text")
         after = suffixes.bwt_codes(suffixes.first_appearance(points)[0], suffixes.suffix_array(points))
         return [len(points) / suffixes.runs(points)], [len(after) / suffixes.runs(after)]
 
-    return _per_document(docs, seq_id, text, make, [("text_redundancy", "double", pa.float64()), ("bwt_redundancy", "double", pa.float64())])
+    return per_document(docs, seq_id, text, make, [("text_redundancy", "double", pa.float64()), ("bwt_redundancy", "double", pa.float64())], deal=True)
 
 
 def lf_mapping(docs: DataFrame, seq_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -73,4 +81,4 @@ def lf_mapping(docs: DataFrame, seq_id: str = "doc_id", text: str = "text") -> D
         lf = suffixes.last_to_first(np.concatenate((points.astype(np.int64) + 1, [0]))[suffixes.suffix_array(points) - 1])
         return np.arange(len(lf)), lf
 
-    return _per_document(docs, seq_id, text, make, [_RANK, ("lf", "long", pa.int64())])
+    return per_document(docs, seq_id, text, make, [_RANK, ("lf", "long", pa.int64())], deal=True)

@@ -14,7 +14,7 @@ FUNCTIONS = {
     "extract_left(t STRING, i BIGINT, c STRING) RETURNS STRING": "CASE WHEN i < 0 OR i >= length(t) THEN NULL WHEN substring(t, CAST(i AS INT) + 1, 1) = c THEN '' ELSE substring_index(left(t, CAST(i AS INT) + 1), c, -1) END",
     "extract_right(t STRING, i BIGINT, c STRING) RETURNS STRING": "CASE WHEN i < 0 OR i >= length(t) THEN NULL WHEN substring(t, CAST(i AS INT) + 1, 1) = c THEN '' ELSE substring_index(substring(t, CAST(i AS INT) + 2), c, 1) END",
     "symbol_rank(t STRING, k BIGINT, c STRING) RETURNS BIGINT": "CAST(length(left(t, CAST(greatest(k, 0) AS INT))) - length(replace(left(t, CAST(greatest(k, 0) AS INT)), c, '')) AS BIGINT)",
-    "redundancy(t STRING) RETURNS DOUBLE": "CASE WHEN length(t) > 0 THEN length(t) / regexp_count(t, concat('(?s)(.)(?!', chr(92), '1)')) END",
+    "redundancy(t STRING) RETURNS DOUBLE": "CASE WHEN length(t) > 0 THEN length(t) / length(regexp_replace(t, concat('(?s)(.)', chr(92), '1+'), '$1')) END",
     "min_bits(v BIGINT) RETURNS INT": "length(bin(v))",
 }
 
