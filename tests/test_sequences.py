@@ -143,10 +143,30 @@ def test_packing(spark, width):
     assert got == {(s, k): v >> 64 * k & (2**64 - 1) for s, v in whole.items() for k in range(-(-width * sum(x[0] == s for x in rows) // 64))}
     back = packing.unpack(words, ints.groupBy("seq_id").agg(F.count("*").alias("n")), width)
     assert Counter((s, p, v % 2**64) for s, p, v in back.collect()) == Counter((s, p, v % 2**width) for s, p, v in rows)
+    at = ints.where("pos % 7 = 0").select("seq_id", "pos")
+    assert Counter((s, p, v % 2**64) for s, p, v in packing.get_values(words, at, width).collect()) == Counter((s, p, v % 2**width) for s, p, v in rows if p % 7 == 0)
+    new = at.withColumn("value", F.lit(5).cast("long"))
+    changed = packing.get_values(packing.set_values(words, new, width), ints.select("seq_id", "pos"), width)
+    assert Counter((s, p, v % 2**64) for s, p, v in changed.collect()) == Counter((s, p, (5 if p % 7 == 0 else v) % 2**width) for s, p, v in rows)
     with pytest.raises(ValueError):
         packing.pack(ints, 65)
 
 
+def test_packed_bit_rank(spark):
+    r = random.Random(8)
+    bits = [r.random() < 0.4 for _ in range(300)]
+    words = packing.pack(spark.createDataFrame([(1, i, int(b)) for i, b in enumerate(bits)], "seq_id long, pos long, value long"), 1)
+    got = packing.packed_bit_rank(words, spark.range(300).select(F.lit(1).cast("long").alias("seq_id"), F.col("id").alias("pos"))).collect()
+    assert len(got) == 300 and all(x.ones == sum(bits[: x.pos]) for x in got)
+
+
+def test_arrays(spark):
+    from textquarry.functions.arrays import count_equal, max_of_array
+
+    df = spark.createDataFrame([([3, 1, 3],), ([],), (None,)], "a array<int>")
+    assert [tuple(r) for r in df.select(max_of_array("a"), count_equal("a", 3)).collect()][:2] == [(3, 2), (None, 0)]
+
+
 def test_variable_packing(spark):
     rows = [(1, 0, 1), (1, 1, 2)] + [(2, i, 3**i % 2**40) for i in range(60)]
     got = {(x.seq_id, x.word_no): x.word % 2**64 for x in packing.pack_variable(spark.createDataFrame(rows, "seq_id long, pos long, value long")).collect()}

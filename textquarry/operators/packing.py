@@ -48,5 +48,35 @@ def unpack(words: DataFrame, lengths: DataFrame, width: int) -> DataFrame:
     return found.join(lengths, "seq_id").where("pos < n").select("seq_id", "pos", "value")
 
 
+def get_values(words: DataFrame, at: DataFrame, width: int, bits: int | None = None) -> DataFrame:
+    """at(seq_id, pos) with value: ``bits`` bits (by default the width) from the start of each element, over two words at most."""
+    bits = width if bits is None else bits
+    if not 1 <= bits <= 64:
+        raise ValueError("1 to 64 bits")
+    first = F.col("pos") * width
+    each = F.explode(F.sequence(F.floor(first / 64), F.floor((first + bits - 1) / 64))).alias("word_no")
+    rows = at.select("seq_id", "pos", each).join(words, ["seq_id", "word_no"]).withColumn("b", (first - F.col("word_no") * 64).cast("int"))
+    part = F.when(F.col("b") >= 0, F.expr("shiftrightunsigned(word, b)")).otherwise(F.expr("shiftleft(word, -b)")).bitwiseAND(F.lit(low_bits(bits)))
+    return rows.groupBy("seq_id", "pos").agg(F.bit_or(part).alias("value"))
+
+
+def set_values(words: DataFrame, new: DataFrame, width: int) -> DataFrame:
+    """words with the elements new(seq_id, pos, value) replaced."""
+    fresh = pack(new, width).withColumnRenamed("word", "put")
+    cleared = pack(new.withColumn("value", F.lit(low_bits(width))), width).withColumnRenamed("word", "mask")
+    both = words.join(fresh, ["seq_id", "word_no"], "left").join(cleared, ["seq_id", "word_no"], "left")
+    kept = F.col("word").bitwiseAND(F.bitwise_not(F.coalesce("mask", F.lit(0).cast("long"))))
+    return both.select("seq_id", "word_no", kept.bitwiseOR(F.coalesce("put", F.lit(0).cast("long"))).alias("word"))
+
+
+def packed_bit_rank(words: DataFrame, at: DataFrame) -> DataFrame:
+    """at(seq_id, pos) with ones: set bits before each position of packed words; whole words count by ``bit_count``."""
+    before = W.partitionBy("seq_id").orderBy("word_no").rowsBetween(W.unboundedPreceding, -1)
+    sums = words.withColumn("before", F.coalesce(F.sum(F.bit_count("word")).over(before), F.lit(0)))
+    rows = at.withColumn("word_no", F.floor(F.col("pos") / 64)).join(sums, ["seq_id", "word_no"])
+    inside = F.bit_count(F.col("word").bitwiseAND(F.bitwise_not(F.expr("shiftleft(-1L, cast(pos % 64 as int))"))))
+    return rows.select("seq_id", "pos", (F.col("before") + inside).cast("long").alias("ones"))
+
+
 def packed_size(words: DataFrame) -> DataFrame:
     return words.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_words"), (F.count(F.lit(1)) * 8).alias("size_in_bytes"))
