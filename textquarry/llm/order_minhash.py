@@ -5,9 +5,9 @@ each of ``SLOTS`` hash functions the ``TUPLE`` elements of least hash are select
 as a tuple: two signatures agree in a slot where the texts share the elements *and* their order, which edits disturb as
 they disturb edit distance.
 
-The slots' functions are applied to the ``SAMPLE`` distinct k-mers of least base hash, with all their occurrences. Every
-k-mer of the text takes part in that choice, and it depends on nothing else, so equal texts have equal signatures. A
-text shorter than ``K`` is one k-mer. Null texts are empty; an empty text has zeros, which are like only zeros.
+The slots' functions are applied to the ``SAMPLE`` elements (k-mer and occurrence) of least base hash. Every element of
+the text takes part in that choice, and it depends on nothing else, so equal texts have equal signatures. A text shorter
+than ``K`` is one k-mer. Null texts are empty; an empty text has zeros, which are like only zeros.
 
 Neighbours: the next document is that of the next greater id; after the last comes the first. Rows that repeat an id
 follow each other in the order of their texts; rows without an id come first. One document is its own next. Shards of
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from textquarry.llm.common import by_shard, carried, id_shards, runs_of, uncarried
 
-K = 12
+K = 6
 SLOTS = 64
 TUPLE = 2
 SAMPLE = 256
@@ -52,10 +52,24 @@ def kmer_hashes(points: np.ndarray) -> np.ndarray:
     if len(points) < K:
         return _mix(np.frombuffer(hashlib.blake2b(points.tobytes(), digest_size=8).digest(), _U))
     h = _mix(points.astype(_U))
-    h = h[:-1] * _U(0xC2B2AE3D27D4EB4F) + h[1:]
-    four = h[:-2] * _U(0x165667B19E3779F9) + h[2:]
-    eight = four[:-4] * _U(0xD6E8FEB86659FD93) + four[4:]
-    return _mix(eight[:-4] * _U(0xA0761D6478BD642F) + four[8:])
+    two = h[:-1] * _U(0xC2B2AE3D27D4EB4F) + h[1:]
+    four = two[:-2] * _U(0x165667B19E3779F9) + two[2:]
+    return _mix(four[:-2] * _U(0xD6E8FEB86659FD93) + two[4:])
+
+
+def elements(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and position of every k-mer with its occurrence number; k-mers are told apart by the upper 40 bits."""
+    n = len(h)
+    if n <= 1 << 24:
+        keys = np.sort((h & _U(0xFFFFFFFFFF000000)) | np.arange(n, dtype=_U))
+        at, values = (keys & _U(0xFFFFFF)).astype(np.int64), keys >> _U(24)
+    else:
+        values = h >> _U(24)
+        at = np.argsort(values, kind="stable")
+        values = values[at]
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    number = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+    return _mix(values * _U(0x9FB21C651E98DF25) + number.astype(_U)), at
 
 
 def signature(h: np.ndarray) -> np.ndarray:
@@ -63,24 +77,16 @@ def signature(h: np.ndarray) -> np.ndarray:
     n = len(h)
     if not n:
         return np.zeros(SLOTS, np.uint16)
-    # positions of the SAMPLE distinct k-mers of least hash
-    share = 2 * SAMPLE / n
-    while True:
-        at = np.flatnonzero(h < _U(int(share * 2**64))) if share < 1 else np.arange(n)
-        values = h[at]
-        distinct = np.unique(values)
-        if len(distinct) >= SAMPLE or share >= 1:
-            break
-        share *= 4
-    if len(distinct) > SAMPLE:
-        values = values[values <= distinct[SAMPLE - 1]]
-    # number the occurrences
-    by = np.argsort(values, kind="stable")
-    ordered = values[by]
-    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    number = np.empty(len(values), _U)
-    number[by] = np.arange(len(values)) - np.repeat(first, np.diff(np.append(first, len(values))))
-    element = values + number * _U(0x9FB21C651E98DF25)
+    element, at = elements(h)
+    if n > SAMPLE:
+        share = 2 * SAMPLE / n  # about twice as many as are wanted, to be cut down exactly
+        few = np.flatnonzero(element < _U(int(share * 2**64))) if share < 1 else np.arange(n)
+        if len(few) < SAMPLE:
+            few = np.arange(n)
+        few = few[np.argpartition(element[few], SAMPLE - 1)[:SAMPLE]]
+        element, at = element[few], at[few]
+    by = np.argsort(at)  # text order
+    element = element[by]
     ranks = _mix(element[None, :] ^ _SEEDS)
     rows = np.arange(SLOTS)
     one = ranks.argmin(axis=1)
