@@ -75,11 +75,11 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _discounted(counts: DataFrame, context) -> DataFrame:
     """counts(gram, n) with ``context``, ``own`` (the discounted share) and ``back`` (the context's weight for the lower order)."""
-    of = counts.agg(*[F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1))
-    d = [F.greatest(F.lit(0.0), F.least(F.lit(float(k)), k - (k + 1) * y * F.col(f"n{k + 1}") / F.greatest(F.col(f"n{k}"), F.lit(1)))).alias(f"d{k}") for k in (1, 2, 3)]
-    cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    rows = counts.withColumn("context", context).crossJoin(F.broadcast(of.select(*d))).withColumn("cut", F.least(cut, F.col("n").cast("double")))  # one row
+    n = counts.agg(*[F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
+    y = n[0] / max(1, n[0] + 2 * n[1])
+    d = [max(0.0, min(float(k), k - (k + 1) * y * n[k] / max(1, n[k - 1]))) for k in (1, 2, 3)]
+    cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+    rows = counts.withColumn("context", context).withColumn("cut", F.least(cut, F.col("n").cast("double")))
     sums = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("off"))
     return rows.join(sums, "context").select("gram", "context", ((F.col("n") - F.col("cut")) / F.col("total")).alias("own"), (F.col("off") / F.col("total")).alias("back"))
 
@@ -88,7 +88,7 @@ def train(trusted: DataFrame, text: str = "text") -> str:
     """The model's tables in the shared folder: (level, gram, p, back)."""
     spark = trusted.sparkSession
     c3 = stash(trigram_counts(trusted, text), "trigrams")
-    c2 = c3.groupBy(F.expr("gram & 65535").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+    c2 = stash(c3.groupBy(F.expr("gram & 65535").alias("gram")).agg(F.count(F.lit(1)).alias("n")), "bigrams")
     c1 = c2.groupBy(F.expr("gram & 255").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
     s1 = _discounted(c1, F.lit(0)).select("gram", (F.col("own") + F.col("back") / 256).alias("p"), "back", "own")
     s2 = _discounted(c2, F.shiftrightunsigned("gram", 8)).alias("h").join(s1.select(F.col("gram").alias("low"), F.col("p").alias("q")), F.expr("(h.gram & 255) = low"))
