@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textquarry.llm import decontaminate, mixing, quality, simhash, token_output
+from textquarry.llm import decontaminate, mixing, quality, similar, token_output
 from textquarry.llm.common import stash, table
 from textquarry.llm.queries import tokenizer_path
 
@@ -20,12 +19,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of least id; rows that repeat that id: one of them."""
-    found = simhash.near_duplicates(docs)
-    kept = found.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    rows = docs.select(COLUMNS).join(kept, "doc_id", "left_semi")
-    one = F.row_number().over(W.partitionBy("doc_id").orderBy(*COLUMNS[1:]))
-    return rows.withColumn("_one", one).where("_one = 1").select(COLUMNS)
+    """Of each group of near-duplicates (five words, similarity 0.8) the document of least id; rows that repeat it: one of them."""
+    return similar.representatives(docs.select(COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline as pipeline
-from tests.llm.test_operators import brute_components, brute_fingerprint, brute_targets
+from tests.llm.test_operators import brute_components, brute_targets
+from tests.llm.test_similar import brute_similar, near
 from textquarry.llm import quality
 from textquarry.llm.queries import tokenizer_path
 
@@ -27,12 +28,12 @@ def test_stages(spark):
     good = {r.doc_id for r in quality.quality(spark, docs, spark.read.parquet(f"{SF}/labels.parquet")).where("keep").collect()}
     assert Counter(first) == Counter(tuple(r) for r in docs.collect() if r.doc_id in good)
 
-    fps = {r[0]: brute_fingerprint(r[1]) for r in first}
-    comp = brute_components(sorted(set(fps.values())), lambda a, b: (a ^ b).bit_count() <= 2)
+    nodes = {r: brute_similar(r[1]) for r in first}
+    comp = brute_components(sorted(set(nodes.values())), lambda a, b: near(a, b, 0.8))
     least = defaultdict(list)
-    for d, f in fps.items():
-        least[comp[f]].append(d)
-    assert Counter(second) == Counter(r for r in first if r[0] in {min(x) for x in least.values()})
+    for r, f in nodes.items():
+        least[comp[f]].append(r)
+    assert Counter(second) == Counter(min(x) for x in least.values()) and len(second) < len(first)
 
     grams = set()
     for item in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
