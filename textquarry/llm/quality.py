@@ -34,6 +34,8 @@ QUANTILE = 0.995
 MIN_TRUSTED = 100
 #: Scores are binned this finely for the quantiles, which are then the same on every run.
 BIN = 1e-3
+#: Languages up to which their means and limits are broadcast; more are joined by shuffle.
+MAX_BROADCAST = 100_000
 #: Bytes of text that are handled at once.
 CHUNK = 2 << 20
 
@@ -159,8 +161,10 @@ def limits(scored: DataFrame, quantile: float = QUANTILE, prior: float = PRIOR)
     both = scored.select(F.explode(F.array(F.struct(F.lit(False).alias("any"), "lang"), F.struct(F.lit(True).alias("any"), F.lit(None).cast("string").alias("lang")))).alias("k"), "nll", "n_scored").select("k.*", "nll", "n_scored").where("any or lang is not null")
     # sums over bins of fixed point, so that the order of addition cannot show
     sums = both.groupBy("any", "lang").agg((F.sum((F.col("nll") * 1024).cast("long")) / 1024 / F.sum("n_scored")).alias("mean"), F.count(F.lit(1)).alias("docs"))
+    sums = stash(sums, "language-means")
+    sums = F.broadcast(sums) if sums.count() <= MAX_BROADCAST else sums
     z = F.round((F.col("nll") + prior * F.col("mean")) / (F.col("n_scored") + prior) / BIN).cast("long")
-    bins = both.alias("b").join(F.broadcast(sums).alias("s"), (F.col("b.lang").eqNullSafe(F.col("s.lang"))) & (F.col("b.any") == F.col("s.any"))).groupBy("b.any", "b.lang", "mean", "docs", z.alias("z")).agg(F.count(F.lit(1)).alias("n"))
+    bins = both.alias("b").join(sums.alias("s"), (F.col("b.lang").eqNullSafe(F.col("s.lang"))) & (F.col("b.any") == F.col("s.any"))).groupBy("b.any", "b.lang", "mean", "docs", z.alias("z")).agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(W.partitionBy("any", "lang").orderBy("z"))
     return bins.withColumn("upto", upto).where(F.col("upto") >= F.col("docs") * quantile).groupBy("any", "lang", "mean", "docs").agg(((F.min("z") + 1) * BIN).alias("limit"))
 
@@ -171,7 +175,7 @@ def classify(scored: DataFrame, bounds: DataFrame, prior: float = PRIOR, min_tru
     own = bounds.where(~F.col("any") & (F.col("docs") >= min_trusted)).select(F.col("lang").alias("_lang"), F.col("mean").alias("_mean"), F.col("limit").alias("_limit"))
     one = rest.first()
     mean0, limit0 = (one["_mean0"], one["_limit0"]) if one else (0.0, float("inf"))
-    df = scored.join(F.broadcast(own), F.col("lang") == F.col("_lang"), "left") if own.count() <= 100_000 else scored.join(own, F.col("lang") == F.col("_lang"), "left")
+    df = scored.join(F.broadcast(own), F.col("lang") == F.col("_lang"), "left") if own.count() <= MAX_BROADCAST else scored.join(own, F.col("lang") == F.col("_lang"), "left")
     mean, limit = F.coalesce("_mean", F.lit(mean0)), F.coalesce("_limit", F.lit(limit0))
     z = F.when(F.col("n_scored") <= 1, mean).otherwise((F.col("nll") + prior * mean) / (F.col("n_scored") + prior))
     return df.withColumns({"score": z, "perplexity": F.exp(z), "limit": limit, "keep": z <= limit}).drop("_lang", "_mean", "_limit")
