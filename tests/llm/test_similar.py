@@ -115,3 +115,57 @@ def test_representatives(spark, docs, rows, empty):  # noqa: F811
     assert similar.representatives(docs).columns == docs.columns and similar.representatives(empty).count() == 0
     nulls = spark.createDataFrame([(None, "same words are here today"), (None, "same words are here today"), (None, None)], "doc_id long, text string")
     assert Counter(map(tuple, similar.representatives(nulls).collect())) == {(None, "same words are here today"): 1, (None, None): 1}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_family_below_the_similarity_stays(spark):
+    r = random.Random(3)
+    common = [f"c{i}" for i in range(154)]
+    texts = [" ".join(common + [f"t{k}x{i}" for i in range(50)]) for k in range(400)]
+    assert all(0.59 < jaccard(shingles(texts[0]), shingles(t)) < 0.61 for t in texts[1:])
+    # pairs around the similarity, short ones too, each far from all others
+    pairs = []
+    for k in range(300):
+        words = [f"p{k}w{i}" for i in range(r.choice((8, 9, 30, 200)))]
+        pairs.append((" ".join(words), " ".join(words + [f"e{k}x{i}" for i in range(r.randrange(1, len(words) // 3 + 2))])))
+    docs = spark.createDataFrame(list(enumerate(texts + [t for p in pairs for t in p])), "doc_id long, text string")
+    far = [k for k, (a, b) in enumerate(pairs) if jaccard(shingles(a), shingles(b)) < 0.8]
+    assert 50 < len(far) < 250
+    want = {*range(400), *range(400, 1000, 2), *(401 + 2 * k for k in far)}
+    assert {x.doc_id for x in similar.representatives(docs).collect()} == want
+
+
+def test_verification_in_blocks(spark):
+    r = random.Random(4)
+    texts = []
+    for k in range(8):
+        words = [f"k{k}w{i}" for i in range(60)]
+        texts += [" ".join(edited(r, words, s)) for s in (0, 0.005, 0.01, 0.02, 0.03, 0.04, 0.05, 0.1)]
+    texts = sorted(set(texts))
+    sets = [shingles(t) for t in texts]
+    rows = similar.fingerprints(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).cache()
+    of = {x.doc_id: x.node for x in rows.collect()}
+    nodes = rows.select("node", "n_shingles", "w0", "w1", "w2", "w3").distinct()
+    want = brute_components(list(range(len(texts))), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    as_sets = lambda c: {frozenset(k for k in c if c[k] == v) for v in c.values()}
+    for block in ((7, 1 << 21), (4096, 300), similar.VERIFIED):
+        links = similar.verified(rows, nodes, nodes.selectExpr("node", "1L AS component"), "text", 5, 0.8, block).collect()
+        pairs = {(x.a, x.b) for x in links}
+        got = brute_components(list(range(len(texts))), lambda a, b: (of[a], of[b]) in pairs or (of[b], of[a]) in pairs)
+        assert as_sets(got) == as_sets(want)
+
+
+def test_representatives_have_exact_similarity(spark, docs, rows):  # noqa: F811
+    real = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").distinct().collect()]
+    for df, all_rows in ((docs, rows), (spark.createDataFrame(real, "doc_id long, text string"), real)):
+        sets = sorted({frozenset(shingles(r[1])) for r in all_rows}, key=sorted)
+        comp = brute_components(list(range(len(sets))), lambda a, b: bool(sets[a] and sets[b]) and jaccard(sets[a], sets[b]) >= 0.8)
+        of = {s: comp[k] for k, s in enumerate(sets)}
+        want = defaultdict(list)
+        for r in all_rows:
+            want[of[frozenset(shingles(r[1]))]].append(r[0])
+        got = Counter(r.doc_id for r in similar.representatives(df).collect())
+        assert got == Counter(min((i for i in ids if i is not None), default=None) for ids in want.values())

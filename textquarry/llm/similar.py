@@ -1,19 +1,24 @@
-"""Near-duplicates of a stated similarity by SimHash: 256-bit fingerprints of word shingles, compared exactly in tiles.
+"""Near-duplicates of a stated similarity: SimHash finds candidates in tiles, exact Jaccard similarity decides each link.
 
-``simhash`` links fingerprints within a stated number of bits. Here the number follows from a similarity: texts whose
-sets of ``width``-word shingles have Jaccard similarity J differ in about ``acos(2J / (1 + J)) / pi`` of the bits, and
-the radius is that share plus one standard deviation. Words are those of ``simhash``; each distinct shingle counts once,
-a text of fewer words is one shingle, and a text without words has fingerprint zero and links only to its like.
+Two texts are linked when their sets of ``width``-word shingles have Jaccard similarity ``similarity`` or more. Words
+are those of ``simhash``; each distinct shingle counts once, a text of fewer words is one shingle, and a text without
+words links only to its like. Texts with equal sets are one node, so copies never multiply the work.
 
-Fingerprints with equal bits and equal counts of shingles are one node, so copies never multiply the work. Nodes are
-dealt to bins by that count, each bin to blocks of about BLOCK nodes, and a tile is a pair of blocks of one bin or of
-neighbouring bins: no other sizes can reach the similarity. Within a tile, rows are ordered by population count, strips
-whose counts differ beyond the radius are skipped, and numpy compares the rest by exclusive-or and bit counts: the first
-64 bits, then all. A tile gives a forest of its links, not all of them, so that a large group costs as many rows as it
-has members.
+Candidates: texts of similarity J differ in about ``acos(2J / (1 + J)) / pi`` of the bits of 256-bit fingerprints, less
+if their sizes differ. The search radius is that share plus SEARCH standard deviations, so by the normal model three in
+100,000 pairs at exactly J are missed by each of its two filters, and fewer above. (Ties of bits make that share 3/16
+for sets of four and five shingles, which the radius of tiles with so small sets covers.) Nodes are dealt to bins by
+shingle count, each bin to blocks of about BLOCK nodes, and a tile is a pair of blocks of one bin or of neighbouring
+bins: no other sizes can reach the similarity. Within a tile, rows are ordered by population count, strips whose counts
+differ beyond the radius are skipped, and numpy compares the rest by exclusive-or and bit counts: the first 64 bits, then
+all. A tile gives a forest of its candidates, so that a large group costs as many rows as it has members.
 
-The comparisons grow with the square of the nodes within a size bin; rows that are sent grow with the nodes times the
-blocks of their bins.
+Verification: every true link lies within one component of the candidates. A component's nodes meet with their whole
+sets, large ones again in tiles of blocks, and a candidate becomes a link only by its exact similarity. Pairs that links
+already join are not looked at again, so a tile gives a forest of true links; components of those are the groups.
+
+The comparisons grow with the square of the nodes within a size bin, and of those within a component; rows that are sent
+grow with the nodes times the blocks of their bins.
 
 Null texts are empty. Null ids come last, so one names a group only if the group has no other. Rows that repeat an id
 each count. An empty table gives empty results. Input columns named node are replaced.
@@ -26,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,14 +48,23 @@ PARTS = 4
 BLOCK = 1 << 15
 MAX_PARTITIONS = 10_000
 STRIP = (64, 4096)
+#: Standard deviations beyond the mean, in the first 64 bits and in all: a bare link, and the search for candidates.
+BARE = (3, 1)
+SEARCH = (4, 4)
+#: Sets of up to so many shingles have the share of bits that ties give.
+SMALL = (8, 3 / 16)
+#: Nodes and shingles of a block that is verified.
+VERIFIED = (4096, 1 << 21)
 _WORDS = [f"w{k}" for k in range(PARTS)]
 
 
-def radii(similarity: float) -> tuple[int, int]:
-    """Bits that may differ in the first 64 (three standard deviations beyond the mean) and in all (one)."""
+def radii(similarity: float, deviations: tuple[int, int] = BARE, least: int | None = None) -> tuple[int, int]:
+    """Bits that may differ in the first 64 and in all: the mean and so many deviations, for sets of ``least`` shingles or more."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    if least is not None and least <= SMALL[0]:
+        p = max(p, SMALL[1])
     reach = lambda bits, k: int(bits * p + k * math.sqrt(bits * p * (1 - p)))
-    return reach(64, 3), reach(64 * PARTS, 1)
+    return reach(64, deviations[0]), reach(64 * PARTS, deviations[1])
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -62,36 +77,48 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: bytes, width: int = WIDTH) -> tuple[int, np.ndarray]:
-    """The number of distinct shingles, and PARTS words of bits that are set in over half of their hashes."""
-    h = np.unique(np.array(shingle_hashes(text, width), np.uint64))
+def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """Distinct hashes in order."""
+    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
+
+
+def set_fingerprint(h: np.ndarray) -> np.ndarray:
     sums = np.zeros(64 * PARTS, np.int64)
     # 255 rows are the most that eight bits can sum
     for i in range(0, len(h), 255):
         part = h[i : i + 255]
         spread = np.stack([_mixed(part, k) for k in range(PARTS)], axis=1)
         sums += np.unpackbits(spread.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
-    return len(h), np.packbits(2 * sums > len(h)).view(np.uint64)
+    return np.packbits(2 * sums > len(h)).view(np.uint64)
+
+
+def fingerprint(text: bytes, width: int = WIDTH) -> tuple[int, np.ndarray]:
+    """The number of distinct shingles, and PARTS words of bits that are set in over half of their hashes."""
+    h = shingle_set(text, width)
+    return len(h), set_fingerprint(h)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
-    """``docs`` with n_shingles, w0, w1, ...: the fingerprint as signed longs."""
+    """``docs`` with node (a digest of the set of shingles), n_shingles, w0, w1, ...: the fingerprint as signed longs."""
     df = carried(docs, _text=F.col(text))
-    outputs = ["n_shingles", *_WORDS]
+    outputs = ["node", "n_shingles", *_WORDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t, width) for t in utf8(batch.column("_text"))]
-            bits = np.array([w for _, w in found], np.uint64).reshape(-1, PARTS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array([n for n, _ in found], pa.int64()), *[pa.array(bits[:, k]) for k in range(PARTS)]], names=["_row", *outputs])
+            found = []
+            for t in utf8(batch.column("_text")):
+                h = shingle_set(t, width)
+                found.append((xxhash.xxh3_64_intdigest(h.tobytes()), len(h), *set_fingerprint(h)))
+            numbers = np.array(found, np.uint64).reshape(-1, len(outputs)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), *[pa.array(numbers[:, k]) for k in range(len(outputs))]], names=["_row", *outputs])
 
     schema = T.StructType([df.schema["_row"], *[T.StructField(c, T.LongType()) for c in outputs]])
     return uncarried(df.mapInArrow(run, schema), docs.columns, outputs)
 
 
-def forest(fp: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def forest(fp: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray | None, similarity: float, deviations: tuple[int, int] = BARE) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what the near pairs of left x right (or within left) join, one fewer than members for each group."""
-    first_radius, radius = radii(similarity)
+    first_radius, radius = radii(similarity, deviations, None if deviations == BARE else n.min(initial=SMALL[0]))
     counts = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
     left = left[np.argsort(counts[left], kind="stable")]
     own = right is None
@@ -130,14 +157,14 @@ def forest(fp: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray |
     return np.concatenate([none, *froms]), np.concatenate([none, *tos])
 
 
-def _compare(similarity: float):
+def _compare(similarity: float, deviations: tuple[int, int]):
     columns = ["pair", "side", "node", "n_shingles", *_WORDS]
 
     def links(parts: list[np.ndarray]) -> pa.RecordBatch:
         _, side, node, n, *words = np.concatenate(parts, axis=1)
         fp = np.stack(words, axis=1).view(np.uint64)
         own = (side == 2).any()
-        x, y = forest(fp, n, np.flatnonzero(side != 1), None if own else np.flatnonzero(side == 1), similarity)
+        x, y = forest(fp, n, np.flatnonzero(side != 1), None if own else np.flatnonzero(side == 1), similarity, deviations)
         return pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +184,7 @@ def _compare(similarity: float):
     return run
 
 
-def links_between(nodes: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def links_between(nodes: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, deviations: tuple[int, int] = BARE) -> DataFrame:
     """nodes(node, n_shingles, w0, ...), distinct and written -> links(a, b) that join all that are near."""
     # neighbouring bins hold every size down to the similarity, with room for rounding
     step = math.log(1.01 / similarity)
@@ -190,16 +217,102 @@ def links_between(nodes: DataFrame, similarity: float = SIMILARITY, block: int =
     rows = rows.select(F.explode(tiles).alias("t"), "node", "n_shingles", *_WORDS).select("t.pair", "t.side", "node", "n_shingles", *_WORDS)
     parts = max(1, min(pairs, MAX_PARTITIONS))
     rows = rows.repartitionById(parts, F.pmod("pair", F.lit(parts)).cast("int")).sortWithinPartitions("pair", "side")
-    return rows.mapInArrow(_compare(similarity), "a long, b long")
+    return rows.mapInArrow(_compare(similarity, deviations), "a long, b long")
+
+
+def true_forest(sets: list[np.ndarray], fp: np.ndarray, left: np.ndarray, right: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what the pairs of left x right (or within left) join that are candidates and of that exact similarity."""
+    n = np.array([len(s) for s in sets], np.int64)
+    radius = radii(similarity, SEARCH, n.min(initial=SMALL[0]))[1]
+    own = right is None
+    right = left if own else right
+    known, ids = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    stops = np.cumsum(n)
+    ids = [ids[a:b] for a, b in zip(stops - n, stops, strict=True)]
+    has, label, froms, tos = np.zeros(len(known), bool), np.arange(len(sets)), [], []
+    of_right, size = fp[right], n[right]
+    for place, i in enumerate(left):
+        later = slice(place + 1, None) if own else slice(None)
+        near = (label[right[later]] != label[i]) & (np.minimum(size[later], n[i]) >= similarity * np.maximum(size[later], n[i]))
+        near &= np.bitwise_count(of_right[later] ^ fp[i]).sum(axis=1, dtype=np.int64) <= radius
+        others = right[later][near]
+        if not len(others):
+            continue
+        has[ids[i]] = True
+        # one text's set at a time beside the tile's
+        both = np.array([np.count_nonzero(has[ids[y]]) for y in others])
+        has[ids[i]] = False
+        others = others[both >= similarity * (n[i] + n[others] - both)]
+        if not len(others):
+            continue
+        _, one = np.unique(label[others], return_index=True)
+        froms.append(np.full(len(one), i))
+        tos.append(others[one])
+        label[np.isin(label, label[others])] = label[i]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *froms]), np.concatenate([none, *tos])
+
+
+def _verify(similarity: float):
+    tile = ["component", "high", "low"]
+
+    def links(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        held = pa.Table.from_batches(batches)
+        side, node = held["side"].to_numpy(), held["node"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in held["shingles"].to_pylist()]
+        fp = np.stack([held[c].to_numpy() for c in _WORDS], axis=1).view(np.uint64)
+        own = (side == 2).any()
+        x, y = true_forest(sets, fp, np.flatnonzero(side != 1), None if own else np.flatnonzero(side == 1), similarity)
+        return pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in tile])
+            cuts = np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                key = tuple(keys[:, a])
+                if held and of != key:
+                    yield links(held)
+                    held = []
+                of = key
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield links(held)
+
+    return run
+
+
+def verified(rows: DataFrame, nodes: DataFrame, candidates: DataFrame, text: str, width: int, similarity: float, block: tuple[int, int] = VERIFIED) -> DataFrame:
+    """candidates(node, component) -> links(a, b) of exact similarity that join all that such pairs of a component join."""
+    of = stash(candidates.join(nodes.drop("least"), "node"), "similar-candidates")
+    sizes = of.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block[0]), F.ceil(F.sum("n_shingles") / block[1])).alias("k"))
+    of = stash(of.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "node"), "k")), "similar-blocks")
+    texts = rows.select("node", F.col(text).alias("_text")).join(of.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shingles = [shingle_set(t, width).tobytes() for t in utf8(batch.column("_text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(shingles, pa.binary())], names=["node", "shingles"])
+
+    whole = of.join(texts.mapInArrow(sets, "node long, shingles binary"), "node")
+    me = F.col("block")
+    # 2: meets its own block, 0 and 1: the lower and the higher of two blocks
+    spot = lambda j: F.struct(F.greatest(me, j).alias("high"), F.least(me, j).alias("low"), F.when(j == me, 2).when(me < j, 0).otherwise(1).alias("side"))
+    tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), spot)
+    dealt = whole.withColumn("t", F.explode(tiles)).select("component", "t.high", "t.low", "t.side", "node", *_WORDS, "shingles")
+    dealt = dealt.repartition("component", "high", "low").sortWithinPartitions("component", "high", "low")
+    return dealt.mapInArrow(_verify(similarity), "a long, b long")
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """``docs`` with node, written; and node, least (the least id of its rows), component of each node."""
-    node = F.xxhash64("n_shingles", *_WORDS)
-    found = fingerprints(docs, text, width).withColumn("node", node)
-    rows = stash(found, "similar-rows")
+    rows = stash(fingerprints(docs, text, width), "similar-rows")
     nodes = stash(rows.groupBy("node", "n_shingles", *_WORDS).agg(F.min(doc_id).alias("least")), "similar-nodes")
-    joined = components(links_between(nodes.drop("least"), similarity))
+    candidates = components(links_between(nodes.drop("least"), similarity, deviations=SEARCH))
+    joined = components(verified(rows, nodes, candidates, text, width, similarity))
     named = nodes.select("node", "least").join(joined, "node", "left")
     return rows.drop("n_shingles", *_WORDS), named.select("node", "least", F.coalesce("component", "node").alias("component"))
 
