@@ -416,6 +416,24 @@ def test_word_encoder_matches_whole_texts(monkeypatch):
 # -- fingerprints -------------------------------------------------------------------------------------------------
 
 
+def test_order_minhash_selects_from_all_elements():
+    import random
+
+    import numpy as np
+
+    r = random.Random(8)
+    for n in (6, 7, 200, 262, 1029, 5000):
+        h = order_minhash.kmer_hashes(order_minhash.code_points("".join(r.choice("abcd") for _ in range(n))))
+        element, at = order_minhash.elements(h)
+        want = []
+        for seed, factor in zip(order_minhash._SEEDS, order_minhash._FACTORS, strict=True):
+            least = sorted(np.argsort(element * factor, kind="stable")[:2], key=lambda i: at[i])
+            first = element[least[:1]]
+            picked = first if len(least) == 1 else order_minhash._mix(first) * np.uint64(3) + element[least[1:]]
+            want.append(max(1, int((order_minhash._mix(picked ^ seed) >> np.uint64(48))[0])))
+        assert order_minhash.signature(h).tolist() == want
+
+
 @pytest.mark.parametrize("size", [4096, 9])
 def test_order_minhash(docs, rows, empty, monkeypatch, size):
     monkeypatch.setattr(order_minhash, "ROWS_PER_SHARD", size)

@@ -5,9 +5,8 @@ each of ``SLOTS`` hash functions the ``TUPLE`` elements of least hash are select
 as a tuple: two signatures agree in a slot where the texts share the elements *and* their order, which edits disturb as
 they disturb edit distance.
 
-The slots' functions are applied to the ``SAMPLE`` elements (k-mer and occurrence) of least base hash. Every element of
-the text takes part in that choice, and it depends on nothing else, so equal texts have equal signatures. A text shorter
-than ``K`` is one k-mer. Null texts are empty; an empty text has zeros, which are like only zeros.
+Every slot's function is applied to every element, in blocks of ``BLOCK``. A text shorter than
+``K`` is one k-mer. Null texts are empty; an empty text has zeros, which are like only zeros.
 
 Neighbours: the next document is that of the next greater id; after the last comes the first. Rows that repeat an id
 follow each other in the order of their texts; rows without an id come first. One document is its own next. Shards of
@@ -29,7 +28,8 @@ from textquarry.llm.common import by_shard, carried, id_shards, runs_of, uncarri
 K = 6
 SLOTS = 64
 TUPLE = 2
-SAMPLE = 256
+#: Elements that are ranked at once.
+BLOCK = 4096
 ROWS_PER_SHARD = 4096
 _U = np.uint64
 _SEEDS = (np.arange(1, SLOTS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))[:, None]
@@ -57,6 +57,10 @@ def kmer_hashes(points: np.ndarray) -> np.ndarray:
     return _mix(four[:-2] * _U(0xD6E8FEB86659FD93) + two[4:])
 
 
+#: Elements are mixed already, so a slot ranks them by a product with an odd number of its own.
+_FACTORS = _mix(_SEEDS) | _U(1)
+
+
 def elements(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and position of every k-mer with its occurrence number; k-mers are told apart by the upper 40 bits."""
     n = len(h)
@@ -78,24 +82,23 @@ def signature(h: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(SLOTS, np.uint16)
     element, at = elements(h)
-    if n > SAMPLE:
-        share = 2 * SAMPLE / n  # about twice as many as are wanted, to be cut down exactly
-        few = np.flatnonzero(element < _U(int(share * 2**64))) if share < 1 else np.arange(n)
-        if len(few) < SAMPLE:
-            few = np.arange(n)
-        few = few[np.argpartition(element[few], SAMPLE - 1)[:SAMPLE]]
-        element, at = element[few], at[few]
-    by = np.argsort(at)  # text order
-    element = element[by]
-    ranks = _mix(element[None, :] ^ _SEEDS)
-    rows = np.arange(SLOTS)
-    one = ranks.argmin(axis=1)
-    if len(element) == 1:
+    rows, most = np.arange(SLOTS), np.iinfo(_U).max
+    ranks, places = np.full((SLOTS, 4), most), np.zeros((SLOTS, 4), np.int64)
+    for i in range(0, n, BLOCK):
+        found = element[None, i : i + BLOCK] * _FACTORS
+        # the two least so far, then the block's two least
+        for k in (2, 3):
+            least = found.argmin(axis=1)
+            ranks[:, k], places[:, k] = found[rows, least], least + i
+            found[rows, least] = most
+        by = np.argsort(ranks, axis=1, kind="stable")[:, :2]
+        ranks[:, :2], places[:, :2] = np.take_along_axis(ranks, by, 1), np.take_along_axis(places, by, 1)
+    one, two = places[:, 0], places[:, 1]
+    if n == 1:
         picked = element[one]
     else:
-        ranks[rows, one] = np.iinfo(_U).max
-        two = ranks.argmin(axis=1)
-        a, b = np.minimum(one, two), np.maximum(one, two)
+        swap = at[one] > at[two]  # text order
+        a, b = np.where(swap, two, one), np.where(swap, one, two)
         picked = _mix(element[a]) * _U(3) + element[b]
     out = (_mix(picked ^ _SEEDS[:, 0]) >> _U(48)).astype(np.uint16)
     return np.maximum(out, 1)
