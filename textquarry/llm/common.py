@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Id bins that the driver may collect at most when it lays out shards.
-MAX_BINS = 1 << 20
+#: Shards of a layout at most. The driver holds 16 bytes for each.
+MAX_SHARDS = 1 << 17
+#: Stands for a null key in a layout; a row with this very id is taken for one without.
+FIRST = -(1 << 63)
+#: Rows of a range in which keys are sorted for a layout.
+RANGE_ROWS = 1 << 22
+
+
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,17 +31,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode one of our own where it is unset."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="textquarry-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Deletes every table and folder that the operators of this process have put into the shared folder; how many there
+    were. Results that are read from them, and archives and token files without a path of their own, go with them."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -68,32 +92,69 @@ def uncarried(df: DataFrame, columns: list[str], outputs: list[str]) -> DataFram
     return df.select(*[F.col(f"_row.`{c}`").alias(c) for c in columns if c not in outputs], *outputs)
 
 
-def id_shards(df: DataFrame, key: str, rows: int, weight: Column | None = None) -> tuple[DataFrame, list[int | None]]:
-    """``df`` with ``_shard``: contiguous ranges of ``key`` with about ``rows`` rows (or weight) each, the same on every run.
+def layout(df: DataFrame, key: str, tie: str, rows: int) -> list[tuple[int, int]]:
+    """Where shards of ``rows`` rows begin, as (key, tie), both longs: contiguous ranges, the same on every run.
 
-    Bins of equal width are counted exactly; the driver packs neighbouring bins, of which there are four for each
-    shard and at most MAX_BINS. Null keys come first, in shard 0. Also returns the least key of each shard.
+    Keys and ties are sorted alone, in as many ranges as needed, and numbered by the ranges' exact counts; every
+    ``rows``-th opens a shard. So neither outliers nor keys that many rows share can fill a shard. Null keys come first, as
+    FIRST. Shards are longer than ``rows`` where there would be more than MAX_SHARDS, as one shuffle deals to no more
+    partitions: what reads a shard streams it.
     """
-    amount = F.coalesce(F.sum(F.lit(1) if weight is None else weight), F.lit(0))
-    low, high, n = df.agg(F.min(key), F.max(key), amount).first()
-    bins = max(1, min(MAX_BINS, 4 * (n // rows + 1)))
-    if low is None or low == high:
-        return df.withColumn("_shard", F.lit(0)), [low]
-    step = (float(high) - float(low)) / bins
-    # least() passes over nulls, which belong in the first bin
-    at = F.when(F.col(key).isNull(), 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col(key).cast("double") - F.lit(float(low))) / F.lit(step)).cast("int")))
-    counted = {r["b"]: (r["n"], r["k"]) for r in df.groupBy(at.alias("b")).agg(amount.alias("n"), F.min(key).alias("k")).collect()}
-    of_bin, least, held = [], [], 0
-    for b in range(bins):
-        c, k = counted.get(b, (0, None))
-        if c and (not least or held + c > rows and held):
-            least.append(k)
-            held = 0
-        held += c
-        of_bin.append(max(0, len(least) - 1))
-    if len(least) == 1:
-        return df.withColumn("_shard", F.lit(0)), least
-    return df.withColumn("_shard", F.element_at(F.lit(of_bin), at + 1)), least
+    spark = df.sparkSession
+    # equal keys and ties are dealt to several ranges by their places in the input
+    narrow = stash(df.select(F.coalesce(F.col(key), F.lit(FIRST)).alias("k"), F.col(tie).alias("t"), F.monotonically_increasing_id().alias("salt")), "shard-keys")
+    n = narrow.count()
+    size = max(rows, -(-n // MAX_SHARDS))
+    if n <= size:
+        return [tuple(r) for r in narrow.select("k", "t").orderBy("k", "t").take(1)] or [(FIRST, FIRST)]
+    parts = max(min(n // size, int(spark.conf.get("spark.sql.shuffle.partitions"))), n // RANGE_ROWS + 1)
+    # the place of a row: its range in the upper bits, its number there in the lower 33
+    placed = narrow.repartitionByRange(parts, "k", "t", "salt").sortWithinPartitions("k", "t", "salt").select("k", "t", F.monotonically_increasing_id().alias("at"))
+    placed = stash(placed, "shard-order").select("k", "t", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    before, counted = 0, []
+    for r in sorted(placed.groupBy("part").count().collect()):
+        counted.append((r["part"], before))
+        before += r["count"]
+    offsets = F.broadcast(spark.createDataFrame(counted, "part long, before long"))
+    found = placed.join(offsets, "part").select("k", "t", (F.col("before") + F.col("at")).alias("rank")).where(F.pmod("rank", F.lit(size)) == 0)
+    return [(r["k"], r["t"]) for r in sorted(found.collect(), key=lambda r: r["rank"])]
+
+
+def placed(df: DataFrame, key: str, tie: str, opens: list[tuple[int, int]]) -> DataFrame:
+    """``df`` with _shard, the last shard that the row can lie in; _opens, whether key and tie are those of its first row;
+    and _twins, how many shards begin so: rows that agree in both are interchangeable, and may fill several."""
+    if len(opens) == 1:
+        k, t = opens[0]
+        return df.withColumns({"_shard": F.lit(0), "_opens": (F.coalesce(F.col(key), F.lit(FIRST)) == k) & (F.col(tie) == t), "_twins": F.lit(1)})
+    sent = df.sparkSession.sparkContext.broadcast((np.array([k for k, _ in opens]), np.array([t for _, t in opens])))
+
+    outputs = ("_shard", "_opens", "_twins")
+
+    @F.pandas_udf("_shard int, _opens boolean, _twins int")
+    def place(keys: pd.Series, ties: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(outputs, places(*sent.value, keys.to_numpy(), ties.to_numpy()), strict=True)))
+
+    df = df.withColumn("_place", place(F.coalesce(F.col(key), F.lit(FIRST)), F.col(tie)))
+    return df.withColumns({c: F.col(f"_place.{c}") for c in outputs}).drop("_place")
+
+
+def places(of_key: np.ndarray, of_tie: np.ndarray, keys: np.ndarray, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The last shard that begins at or before each row, whether with its very key and tie, and how many do (1 at least)."""
+    low, high = np.searchsorted(of_key, keys, "left"), np.searchsorted(of_key, keys, "right")
+    shared = np.flatnonzero(low < high)
+    # shards that begin with the same key are told apart by their ties
+    by = shared[np.argsort(keys[shared], kind="stable")]
+    for group in np.split(by, np.flatnonzero(np.diff(keys[by])) + 1):
+        if len(group):
+            a, b = low[group[0]], high[group[0]]
+            low[group], high[group] = a + np.searchsorted(of_tie[a:b], ties[group], "left"), a + np.searchsorted(of_tie[a:b], ties[group], "right")
+    return np.maximum(high - 1, 0).astype(np.int32), low < high, np.maximum(high - low, 1).astype(np.int32)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of :func:`placed`, those that fill several shards dealt out evenly among them."""
+    among = F.pmod(F.monotonically_increasing_id(), F.col("_twins").cast("long")).cast("int")
+    return df.withColumn("_shard", F.when(F.col("_twins") > 1, F.col("_shard") - among).otherwise(F.col("_shard")))
 
 
 def by_shard(df: DataFrame, shards: int, *order: str) -> DataFrame:

@@ -9,7 +9,8 @@ Every slot's function is applied to every element, in blocks of ``BLOCK``. A tex
 ``K`` is one k-mer. Null texts are empty; an empty text has zeros, which are like only zeros.
 
 Neighbours: the next document is that of the next greater id; after the last comes the first. Rows that repeat an id
-follow each other in the order of their texts; rows without an id come first. One document is its own next. Shards of
+follow each other in the order of XXH64 of their texts (equal rows lie in one shard, which is streamed); rows without an id
+come first. One document is its own next. Shards of
 neighbouring ids are streamed in order, each with the first document of the shard that follows.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import by_shard, carried, id_shards, runs_of, uncarried
+from textquarry.llm.common import by_shard, carried, layout, placed, runs_of, uncarried
 
 K = 6
 SLOTS = 64
@@ -62,15 +63,10 @@ _FACTORS = _mix(_SEEDS) | _U(1)
 
 
 def elements(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and position of every k-mer with its occurrence number; k-mers are told apart by the upper 40 bits."""
+    """Hash and position of every k-mer with its occurrence number."""
     n = len(h)
-    if n <= 1 << 24:
-        keys = np.sort((h & _U(0xFFFFFFFFFF000000)) | np.arange(n, dtype=_U))
-        at, values = (keys & _U(0xFFFFFF)).astype(np.int64), keys >> _U(24)
-    else:
-        values = h >> _U(24)
-        at = np.argsort(values, kind="stable")
-        values = values[at]
+    at = np.argsort(h, kind="stable")
+    values = h[at]
     first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
     number = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
     return _mix(values * _U(0x9FB21C651E98DF25) + number.astype(_U)), at
@@ -181,13 +177,12 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's fingerprint, that of its edited text, and its likeness to that and to the next document."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    shaped, least = id_shards(rows, "doc_id", ROWS_PER_SHARD)
-    n = len(least)
-    # The first row of each shard also ends the shard before it; a row without an id is the first of all.
-    some_null = least != [None] and bool(rows.where("doc_id is null").limit(1).count())
-    opening = [F.col("doc_id").isNull() if k is None or s == 0 and some_null else F.col("doc_id") == k for s, k in enumerate(least)]
-    is_first = F.coalesce(F.element_at(F.array(*opening), F.col("_shard") + 1), F.lit(False)) if n <= 64 else F.coalesce(F.when(F.col("_shard") == 0, opening[0]).otherwise(F.col("doc_id") == F.element_at(F.lit(least), F.col("_shard") + 1)), F.lit(False))
+    rows = rows.withColumn("_tie", F.xxhash64("text"))
+    opens = layout(rows, "doc_id", "_tie", ROWS_PER_SHARD)
+    n = len(opens)
+    shaped = placed(rows, "doc_id", "_tie", opens)
+    # The first row of each shard also ends the shard before it.
     own = F.struct(F.col("_shard").alias("_shard"), F.lit(False).alias("_after"))
-    before = F.when(is_first, F.struct(F.pmod(F.col("_shard") - 1, F.lit(n)).alias("_shard"), F.lit(True).alias("_after")))
-    both = shaped.withColumn("k", F.explode(F.array_compact(F.array(own, before)))).select("k._shard", "k._after", "doc_id", "text")
-    return by_shard(both, n, "_after", "doc_id", "text").mapInArrow(_stream, _OUT)
+    before = F.when(F.col("_opens"), F.struct(F.pmod(F.col("_shard") - F.col("_twins"), F.lit(n)).alias("_shard"), F.lit(True).alias("_after")))
+    both = shaped.withColumn("k", F.explode(F.array_compact(F.array(own, before)))).select("k._shard", "k._after", "doc_id", "_tie", "text")
+    return by_shard(both, n, "_after", "doc_id", "_tie").mapInArrow(_stream, _OUT)

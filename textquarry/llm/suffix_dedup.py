@@ -3,8 +3,9 @@
 A byte goes when some string of ``WINDOW`` bytes that covers it also starts earlier: in a document of smaller id, or
 earlier in the same one. Strings never cross documents and are judged on the input.
 
-1. Each window has a minimizer, the least-hashed ``ANCHOR``-byte string in it, so equal windows share it. Shards of
-   neighbouring documents send each distinct minimizer with its count; those that occur twice come back to their shards.
+1. Each window has a minimizer, the least-hashed ``ANCHOR``-byte string in it, so equal windows share it. Documents are
+   dealt by a hash of id and text to shards of about ``SHARD_BYTES``, as many as the text needs. A shard sends each distinct
+   minimizer with its count; those that occur twice come back to their shards.
 2. A shard builds the suffix array of the text around such minimizers (Larsson-Sadakane refinement) and the common
    prefixes (Kasai). Runs of equal windows are classes; of each class all but the earliest are removed here, and the
    earliest go on, as runs of text around their minimizer.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import id_shards
+from textquarry.llm.common import FIRST as _FIRST
 from textquarry.llm.suffix_arrays import _BLOCK, _packed, anchors, gram_hashes, window_classes
 
 WINDOW = 100
@@ -38,9 +39,10 @@ ANCHOR = 32
 SEGMENT = 1 << 20
 #: Bytes of text in a shard, and in a piece of it that has one suffix array.
 SHARD_BYTES = 4 << 20
+#: Shards of a partition where there are many; each is a group of its own, so they never meet in memory.
+SHARDS_PER_TASK = 16
 #: Bytes of text that are merged at once.
 MERGE_BYTES = 2 << 20
-_FIRST = -(1 << 63)
 #: Bits of an order key for the place in a document.
 _PLACE = 41
 
@@ -48,12 +50,14 @@ _PLACE = 41
 def segments(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("h"), raw.alias("raw"))
-    rows, least = id_shards(rows, "id", SHARD_BYTES, F.octet_length("raw"))
+    held = rows.agg(F.sum(F.octet_length("raw").cast("long"))).first()[0] or 0
+    shards = held // SHARD_BYTES + 1
+    rows = rows.withColumn("_shard", F.pmod(F.xxhash64("id", "h"), F.lit(shards)).cast("int"))
     n = F.octet_length("raw").cast("long")
     begins = F.sequence(F.lit(0).cast("long"), F.greatest(n - WINDOW, F.lit(0).cast("long")), F.lit(SEGMENT).cast("long"))
     rows = rows.select("_shard", F.coalesce("id", F.lit(_FIRST)).alias("d"), "h", n.alias("n"), "raw", F.explode(begins).alias("start"))
     rows = rows.select("_shard", "d", "h", "n", "start", F.substring("raw", F.col("start").cast("int") + 1, F.lit(SEGMENT + WINDOW - 1)).alias("part"))
-    return rows, len(least)
+    return rows, shards
 
 
 def _pieces(parts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -74,16 +78,17 @@ def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        shards, texts = batch["_shard"].to_numpy(), batch["part"].to_pylist()
-        by = np.argsort(shards, kind="stable")
-        for group in np.split(by, np.flatnonzero(np.diff(shards[by])) + 1):
-            if not len(group):
-                continue
-            parts = [texts[i] for i in group]
-            for a, b in _pieces(parts):
-                _, _, found = anchors(*_joined(parts[a:b]), WINDOW, ANCHOR)
-                keys, n = np.unique(found, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), shards[group[0]], np.int32)), pa.array(np.minimum(n, 2).astype(np.int32))], names=["hash", "_shard", "n"])
+        shards, parts = batch["_shard"].to_numpy(), batch["part"].to_pylist()
+        for a, b in _pieces(parts):
+            buf, ends = _joined(parts[a:b])
+            at, which, hashes = anchors(buf, ends, WINDOW, ANCHOR)
+            first = np.flatnonzero(np.diff(which, prepend=-1))
+            keys, of = hashes[which[first]], shards[a:b][np.searchsorted(ends, at[first], side="right")]
+            by = np.lexsort((of, keys))
+            keys, of = keys[by], of[by]
+            one = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (of[1:] != of[:-1]))) if len(keys) else by
+            n = np.diff(np.append(one, len(keys)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[one].view(np.int64)), pa.array(of[one].astype(np.int32)), pa.array(np.minimum(n, 2).astype(np.int32))], names=["hash", "_shard", "n"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +327,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges), and kept (the remaining bytes) if asked for."""
     spark = docs.sparkSession
     segs, shards = segments(docs, doc_id, text)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 4)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // SHARDS_PER_TASK)
     found = segs.select("_shard", "part").mapInArrow(_minimizers, "hash long, _shard int, n int").repartition(parts, "hash")
     shared = found.mapInArrow(_shared, "hash long, _shard int")
     dealt = segs.repartition(parts, "_shard")

@@ -5,7 +5,7 @@ sequences (``ids``, and ``mask``: true where an id is real) and one small file o
 under a temporary name and renamed when complete, so a repeated task replaces it by equal bytes.
 
 Null and empty texts encode to the end id alone. Documents without an id come first; rows that repeat an id are written
-once for each row, in the order of their texts. An empty table gives no files. Further columns are not written.
+once for each row, in the order of XXH64 of their texts. An empty table gives no files. Further columns are not written.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import by_shard, commit, filesystem, fresh_path, id_shards, kept, runs_of
+from textquarry.llm.common import by_shard, commit, filesystem, fresh_path, kept, layout, placed, runs_of, spread
 
 END = 2
 LENGTH = 2048
@@ -206,7 +206,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, doc_id
     """Encodes ``docs`` and writes the files; returns their folder and the manifest (shard, n_docs, n_tokens, base)."""
     spark = docs.sparkSession
     out = out or fresh_path(spark, "tokens")
-    shaped, least = id_shards(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), "doc_id", rows_per_shard)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("_tie", F.xxhash64("text"))
+    opens = layout(rows, "doc_id", "_tie", rows_per_shard)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, open_shard, file = encoder(tokenizer), None, None
@@ -224,7 +225,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, doc_id
             yield row()
 
     # Bounded: a row for each shard.
-    rows = by_shard(shaped, len(least), "doc_id", "text").mapInArrow(run, "shard int, n_docs long, n_tokens long").collect()
+    rows = by_shard(spread(placed(rows, "doc_id", "_tie", opens)), len(opens), "doc_id", "_tie", "text").mapInArrow(run, "shard int, n_docs long, n_tokens long").collect()
     base, listed = 0, []
     for r in sorted(rows):
         listed.append((r["shard"], r["n_docs"], r["n_tokens"], base))

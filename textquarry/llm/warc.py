@@ -9,7 +9,8 @@ Of equal payloads of at least ``MIN_REVISIT`` bytes the one with the largest pag
 ``revisit`` records, which have the response's headers and no payload.
 
 Null html is an empty payload, a null url is left out of the headers. Null page ids come first; among equal payloads
-they are revisits of a page that has an id. Rows that repeat the largest page id are all responses. An empty table gives
+they are revisits of a page that has an id. Rows that repeat a page id are in the order of a hash of url and payload (equal
+rows lie in one shard, which is streamed); those that repeat the largest page id are all responses. An empty table gives
 an empty archive. Further columns are not written.
 """
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import by_shard, commit, filesystem, fresh_path, id_shards, runs_of
+from textquarry.llm.common import by_shard, commit, filesystem, fresh_path, layout, placed, runs_of
 
 MIN_REVISIT = 1000
 MAX_FILE_BYTES = 64 << 20
@@ -96,10 +97,10 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def refers(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """(page_id, digest, refers_to) of the pages that are revisits."""
-    rows = pages.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n")).where(F.col("n") >= min_revisit)
+    """(page_id, _tie, digest, refers_to) of the pages that are revisits."""
+    rows = pages.select("page_id", "_tie", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n")).where(F.col("n") >= min_revisit)
     last = rows.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and refers_to is not null").drop("copies")
-    return rows.join(last, ["digest", "n"]).where("page_id is null or page_id < refers_to").select("page_id", "digest", "refers_to")
+    return rows.join(last, ["digest", "n"]).where("page_id is null or page_id < refers_to").select("page_id", "_tie", "digest", "refers_to")
 
 
 class _Roller:
@@ -148,12 +149,12 @@ def write_archives(pages: DataFrame, out: str | None = None, page_id: str = "pag
     spark = pages.sparkSession
     out = out or fresh_path(spark, "warc")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
-    facts = refers(rows, min_revisit).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to")
+    rows = rows.withColumn("_tie", F.xxhash64("url", "payload"))
+    opens = layout(rows, "page_id", "_tie", rows_per_shard)
+    # what is known of a page goes where the page goes, and comes before it
+    facts = refers(rows, min_revisit).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "_tie", "digest", "refers_to")
     both = facts.unionByName(rows.select("*", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to")))
-    # shards are laid out over the pages alone; what is known of a page goes where the page goes, and comes before it
-    _, least = id_shards(rows.select("page_id"), "page_id", rows_per_shard)
-    shard = F.lit(0) if len(least) == 1 else F.greatest(F.lit(0), F.coalesce(_below(least, F.col("page_id")), F.lit(0)))
-    both = both.withColumn("_shard", shard.cast("int")).withColumn("_page", F.col("payload").isNotNull())
+    both = placed(both.withColumn("_page", F.col("payload").isNotNull()), "page_id", "_tie", opens)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, at, known = None, None, {}
@@ -162,9 +163,9 @@ def write_archives(pages: DataFrame, out: str | None = None, page_id: str = "pag
                 if roller is not None and roller.sink is not None:
                     yield _batch([roller.close()])
                 roller, at, known = _Roller(out, s, max_file_bytes), None, {}
-            for pid, u, payload, digest, to in zip(*(part[c].to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
-                if (pid,) != at:
-                    at, known = (pid,), {}
+            for pid, tie, u, payload, digest, to in zip(*(part[c].to_pylist() for c in ("page_id", "_tie", "url", "payload", "digest", "refers_to")), strict=True):
+                if (pid, tie) != at:
+                    at, known = (pid, tie), {}
                 if payload is None:
                     known[digest] = to
                     continue
@@ -175,7 +176,7 @@ def write_archives(pages: DataFrame, out: str | None = None, page_id: str = "pag
             yield _batch([roller.close()])
 
     manifest = f"{out}/_manifest"
-    by_shard(both, len(least), "page_id", "_page", "url", "payload").mapInArrow(write, _MANIFEST).write.parquet(manifest)
+    by_shard(both, len(opens), "page_id", "_tie", "_page", "url", "payload").mapInArrow(write, _MANIFEST).write.parquet(manifest)
 
     def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(out)
@@ -196,21 +197,6 @@ def write_archives(pages: DataFrame, out: str | None = None, page_id: str = "pag
     return out, files.drop("temporary")
 
 
-def _below(least: list[int], key):
-    """Index of the last shard whose least key is not above ``key``."""
-    from pyspark.sql import Column
-
-    def tree(lo: int, hi: int) -> Column:
-        if hi - lo == 1:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < least[mid], tree(lo, mid)).otherwise(tree(mid, hi))
-
-    if len(least) <= 256:
-        return tree(0, len(least))
-    return F.size(F.filter(F.lit(least), lambda x: x <= key)) - 1
-
-
 def read_archives(spark: SparkSession, out: str, manifest: DataFrame) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest (hex), record_type, refers_to of each page, from the files."""
 
