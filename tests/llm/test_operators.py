@@ -183,47 +183,103 @@ def test_warc(spark, tmp_path):
 # -- quality ------------------------------------------------------------------------------------------------------
 
 
-def brute_kneser_ney(texts):
-    """p(third | first two) by dictionaries."""
-    c3 = Counter(t[i : i + 3] for t in (b"\xff\xff" + x + b"\xff" for x in texts) for i in range(len(t) - 2))
-    c2 = Counter(g[1:] for g in c3)
-    c1 = Counter(g[1:] for g in c2)
+def brute_kneser_ney(texts, order):
+    """p(last | those before) by dictionaries."""
+    edges = b"\xff" * (order - 1)
+    counts = [Counter(t[i : i + order] for t in (edges + x + b"\xff" for x in texts) for i in range(len(t) - order + 1))]
+    for _ in range(order - 1):
+        counts.append(Counter(g[1:] for g in counts[-1]))
+    counts = counts[::-1]
 
     def discounts(c):
         n = [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
         y = n[0] / max(1, n[0] + 2 * n[1])
         return [0] + [max(0, min(k, k - (k + 1) * y * n[k] / max(1, n[k - 1]))) for k in (1, 2, 3)]
 
-    d = [discounts(c) for c in (c1, c2, c3)]
+    tables = []
+    for c in counts:
+        cut, totals, off = discounts(c), Counter(), Counter()
+        for g, n in c.items():
+            totals[g[:-1]] += n
+            off[g[:-1]] += min(n, cut[min(n, 3)])
+        tables.append((c, cut, totals, off))
+    known = {}
 
     def p(gram):
-        low = p(gram[1:]) if len(gram) > 1 else 1 / 256
-        c, cut = (c1, c2, c3)[len(gram) - 1], d[len(gram) - 1]
-        mates = {g: n for g, n in c.items() if g[:-1] == gram[:-1]}
-        if not mates:
-            return low
-        off = {g: min(n, cut[min(n, 3)]) for g, n in mates.items()}
-        total = sum(mates.values())
-        return (max(0, mates.get(gram, 0) - off.get(gram, 0)) + sum(off.values()) * low) / total
+        if gram not in known:
+            low = p(gram[1:]) if len(gram) > 1 else 1 / 256
+            c, cut, totals, off = tables[len(gram) - 1]
+            n, context = c[gram], gram[:-1]
+            known[gram] = (n - min(n, cut[min(n, 3)]) + off[context] * low) / totals[context] if totals[context] else low
+        return known[gram]
 
     return p
 
 
-def test_kneser_ney(spark):
-    texts = ["the cat sat on the mat", "a cat and the other cat", "", None, "thé", "aaaa aaaa"]
-    model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    cost = quality.load(model)
+def brute_scores(rows, good, order=5):
+    """(row, nll, n) by the model of the good rows that are not held out."""
     import math
 
-    import numpy as np
+    p = brute_kneser_ney([(r[1] or "").encode() for r in rows if r[0] in good], order)
+    out = []
+    for r in rows:
+        t = b"\xff" * (order - 1) + (r[1] or "").encode() + b"\xff"
+        grams = [t[i : i + order] for i in range(len(t) - order + 1)]
+        out.append((r, sum(-math.log(p(g)) for g in grams), len(grams)))
+    return out
 
-    p = brute_kneser_ney([(t or "").encode() for t in texts])
-    for gram in (b"the", b"at ", b"\xff\xfft", b"xyz", b"aaa", b"caz", b"\xc3\xa9\xff", b" zz", b"zza"):
-        assert cost[np.array([int.from_bytes(gram, "big")], np.uint32)][0] == pytest.approx(-math.log(p(gram)), rel=1e-4)
-    scored = quality.score(spark.createDataFrame([("the mat", "old"), (None, "old"), ("zéz", "old")], "text string, nll string"), model).collect()
-    for r in scored:
-        t = b"\xff\xff" + (r.text or "").encode() + b"\xff"
-        assert r.nll == pytest.approx(sum(-math.log(p(t[i : i + 3])) for i in range(len(t) - 2)), rel=1e-4) and r.n_scored == len(t) - 2
+
+@pytest.mark.parametrize(("order", "chunk", "block"), [(5, 32 << 20, 2 << 20), (3, 30, 7), (8, 30, 1 << 20)])
+def test_kneser_ney(spark, monkeypatch, order, chunk, block):
+    monkeypatch.setattr(quality, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(quality, "BLOCK", block)
+    texts = ["the cat sat on the mat", "a cat and the other cat", "", None, "thé", "aaaa aaaa", "the mat", "zéz", "xyz", "aaaa"]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([(*r, "old") for r in rows], "doc_id long, text string, nll string").repartition(2).cache()
+    good = {0, 1, 2, 3, 4, 5}
+    grams = quality.gram_table(df, quality.trained_rows(df, spark.createDataFrame([(i,) for i in good], "doc_id long")), order=order)
+    scored = quality.score(df, quality.costs(grams, quality.train(grams, order)), order=order)
+    assert scored.columns == ["doc_id", "text", "nll", "n_scored"]
+    want = {r[0]: (nll, n) for r, nll, n in brute_scores(rows, good, order)}
+    for r in scored.collect():
+        assert (pytest.approx(r.nll, rel=1e-5), r.n_scored) == want[r.doc_id]
+
+
+def test_documents_must_not_change(spark):
+    df = spark.createDataFrame([(1, "one text"), (2, "another")], "doc_id long, text string").coalesce(1)
+    grams = quality.gram_table(df, None)
+    priced = quality.costs(grams, quality.train(grams))
+    assert quality.score(df, priced).count() == 2
+    with pytest.raises(Exception, match="changed between two readings"):
+        quality.score(df.orderBy(F.desc("doc_id")).coalesce(1), priced).collect()
+
+
+def test_quality_against_brute_force(spark, docs, rows):
+    """Scores, means, limits and decisions of every row, with few and with enough held-out documents of a language."""
+    import math
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    good = {r.doc_id for r in quality.good_ids(labels).collect()}
+    out = {r.doc_id for r in quality.good_ids(labels).where(quality.held_out()).collect()}
+    scored = brute_scores(rows, good - out)
+    bounds = {}
+    for lang in {r[2] for r in rows} | {"any"}:
+        held = [(nll, n) for r, nll, n in scored if r[0] in out and lang in ("any", r[2])]
+        if held:
+            mean = sum(int(nll * 1024) for nll, _ in held) / 1024 / sum(n for _, n in held)
+            z = sorted(int((nll + quality.PRIOR * mean) / (n + quality.PRIOR) / quality.BIN + 0.5) for nll, n in held)
+            bounds[lang] = mean, (z[math.ceil(len(z) * quality.QUANTILE) - 1] + 1) * quality.BIN, len(held)
+    assert any(b[2] >= 4 for b in bounds.values())
+    want = []
+    for r, nll, n in scored:
+        mean, limit, _ = bounds[r[2]] if r[2] is not None and bounds.get(r[2], (0, 0, 0))[2] >= 4 else bounds["any"]
+        z = mean if n <= 1 else (nll + quality.PRIOR * mean) / (n + quality.PRIOR)
+        want.append((r[0] is not None, r[0] or 0, n - 1, z, limit, z <= limit))
+    _, limits, found = quality.fit(docs, labels)
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_scored - 1, r.score, r.limit, r.keep) for r in quality.classify(found, limits, min_trusted=4).collect())
+    assert any(not x[-1] for x in want)
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:3] == b[:3] and a[3:5] == pytest.approx(b[3:5], rel=2e-4) and (a[5] == b[5] or abs(b[3] - b[4]) < 2e-3)
 
 
 def test_quality(spark, docs, rows, empty):

@@ -1,17 +1,22 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of byte trigrams, trained on trusted text.
+"""Quality classifier: an interpolated modified Kneser-Ney model of byte n-grams, trained on trusted text.
 
-Counts, continuation counts and count-of-count discounts are aggregates over every trusted document; the conditional
-probabilities come from joins of the count tables with their context sums, sharded by context. Three bytes have 2^24
-values, which is the proven bound of the model whatever the corpus. It is written to the shared folder, and each worker
-spreads it once into a table of 64 MB at most, so that a document's perplexity needs no shuffle of its text.
+Every task counts the distinct n-grams of a chunk of documents (``CHUNK_BYTES`` of text), and how often trusted documents
+have them. Counts, continuation counts, count-of-count discounts, and the conditional probability of every n-gram that
+occurs anywhere are then joins and aggregates of count tables, sharded by n-gram or context, whose size grows with the
+corpus. The cost of an n-gram goes back to the chunks that have it, and a document's perplexity is the sum over its own:
+no worker holds the model, and no text is shuffled.
+
+A chunk is a run of rows of one task, known by the task's number, its own and a hash of its first text. So the documents
+must come in the same order in the same partitions each time they are read, as a table in files does; where they do not, an
+error says so (``stash`` such a table first).
 
 A document's score is its mean negative log-likelihood in nats a byte, drawn towards the mean of its language as if
-``prior`` further bytes had that mean: a short text alone proves little. Documents above the stated quantile of the
-trusted documents of their language are rejected; a language (or null) with fewer than ``MIN_TRUSTED`` trusted documents
-takes the quantile of all of them.
+``prior`` further bytes had that mean: a short text alone proves little. One trusted document in ``HELD_OUT``, by a hash of
+its id, is not trained on, and gives means and limits: documents above the stated quantile of those of their language
+are rejected. A language (or null) with fewer than ``MIN_TRUSTED`` of them takes the quantile of all.
 
-Null and empty texts have the mean score of their language and are kept. Without trusted text nothing is rejected.
-Rows that repeat an id are scored row by row. Clashing column names give way to the outputs.
+Null and empty texts have the mean score of their language and are kept. Without trusted text that is held out nothing is
+rejected. Rows that repeat an id are scored row by row. Clashing column names give way to the outputs.
 """
 
 from __future__ import annotations
@@ -20,59 +25,146 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import carried, filesystem, fresh_path, kept, stash, uncarried, utf8
+from textquarry.llm.common import carried, filesystem, fresh_path, stash, uncarried, utf8
 
+#: Bytes of an n-gram; eight at most.
+ORDER = 5
 #: Opens and closes a text; never a byte of UTF-8.
-EDGE = 0xFF
+EDGE = b"\xff"
 PRIOR = 300.0
 QUANTILE = 0.995
 MIN_TRUSTED = 100
+#: One trusted document in so many is kept from training.
+HELD_OUT = 4
 #: Scores are binned this finely for the quantiles, which are then the same on every run.
 BIN = 1e-3
 #: Languages up to which their means and limits are broadcast; more are joined by shuffle.
 MAX_BROADCAST = 100_000
-#: Bytes of text that are handled at once.
-CHUNK = 2 << 20
-
-
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Index of the first text, trigram codes of a few texts, and where each text's codes begin."""
-    start = 0
-    while start < len(texts):
-        stop, held = start, 0
-        while stop < len(texts) and (held == 0 or held + len(texts[stop]) <= CHUNK):
-            held += len(texts[stop]) + 3
-            stop += 1
-        joined = np.frombuffer(b"".join(b"\xff\xff" + t + b"\xff" for t in texts[start:stop]), np.uint8).astype(np.uint32)
-        n = np.array([len(t) + 1 for t in texts[start:stop]])
-        codes = (joined[:-2] << 16) | (joined[1:-1] << 8) | joined[2:]
-        inside = np.ones(len(codes), bool)
-        ends = np.cumsum(n + 2)[:-1]
-        inside[ends - 2] = inside[ends - 1] = False
-        yield start, codes[inside], np.cumsum(n) - n
-        start = stop
-
-
-def trigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(gram, n) over all texts; each task sends one row for a trigram."""
+#: Bytes of text in a chunk, and that are handled at once.
+CHUNK_BYTES = 32 << 20
+BLOCK = 2 << 20
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """Chunk, number of the first row in it, and rows; ``_text`` is their text. Pieces of a chunk follow each other."""
+    task, number, held, at, key = TaskContext.get().partitionId(), 0, 0, 0, None
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            if key is None:
+                first = batch.column("_text")[start].as_py() or ""
+                key, held, at = xxhash.xxh64_intdigest(f"{task} {number} {first}") - (1 << 63), 0, 0
+            before = size[start - 1] if start else 0
+            stop = min(batch.num_rows, int(np.searchsorted(size, before + CHUNK_BYTES - held)) + 1)
+            yield key, at, batch.slice(start, stop - start)
+            held, at, start = held + size[stop - 1] - before, at + stop - start, stop
+            if held >= CHUNK_BYTES:
+                key, number = None, number + 1
+
+
+def blocks(texts: list[bytes], order: int = ORDER) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts, places of their first n-grams, and n-grams as numbers, about ``BLOCK`` at a time; a long text takes several."""
+    pieces: list[tuple[int, bytes]] = []
+    held, edges = 0, EDGE * (order - 1)
+
+    def codes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        joined = np.frombuffer(b"".join(p for _, p in pieces), np.uint8)
+        n = np.array([len(p) - order + 1 for _, p in pieces])
+        found = np.zeros(len(joined) - order + 1, np.uint64)
+        for k in range(order):
+            found = found << np.uint64(8) | joined[k : len(joined) - order + 1 + k]
+        inside, ends = np.ones(len(found), bool), np.cumsum(n + order - 1)[:-1]
+        for k in range(1, order):
+            inside[ends - k] = False
+        return np.array([i for i, _ in pieces]), np.cumsum(n) - n, found[inside].view(np.int64)
+
+    for i, t in enumerate(texts):
+        whole = edges + t + EDGE
+        for a in range(0, len(t) + 1, BLOCK):
+            pieces.append((i, whole[a : a + BLOCK + order - 1]))
+            held += len(pieces[-1][1])
+            if held >= BLOCK:
+                yield codes()
+                pieces, held = [], 0
+    if pieces:
+        yield codes()
+
+
+def _side_table(path: str, chunk: int, columns: list[str]) -> pa.Table:
+    """A chunk's rows of a table that is written by chunk."""
+    fs, base = filesystem(f"{path}/chunk={chunk}")
+    try:
+        return pq.read_table(base, filesystem=fs, columns=columns, partitioning=None)
+    except FileNotFoundError as e:
+        raise ValueError("the documents changed between two readings: write them to a table first") from e
+
+
+def _by_chunk(df: DataFrame, name: str, *order: str) -> str:
+    path = fresh_path(df.sparkSession, name)
+    df.repartition("chunk").sortWithinPartitions("chunk", *order).write.partitionBy("chunk").parquet(path)
+    return path
+
+
+def trained_rows(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", text: str = "text") -> str:
+    """For each chunk, the numbers of the rows whose id is among ``ids``. Ids alone are shuffled."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, at, part in chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, key)), pa.array(np.arange(at, at + part.num_rows)), part.column("id")], names=["chunk", "at", "id"])
+
+    rows = stash(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("_text")).mapInArrow(run, f"chunk long, at long, id {kind}"), "chunk-rows")
+    wanted = rows.where("id is not null").join(ids.select(F.col("doc_id").alias("id")), "id", "left_semi").select("chunk", "at")
+    every = rows.select("chunk").distinct().withColumn("at", F.lit(None).cast("long"))
+    return _by_chunk(wanted.unionByName(every), "trained-rows", "at")
+
+
+def gram_table(docs: DataFrame, trained: str | None, text: str = "text", order: int = ORDER) -> DataFrame:
+    """(chunk, gram, n): the distinct n-grams of each chunk and how often its ``trained`` rows have them."""
+
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        grams, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        by = np.argsort(grams, kind="stable")
+        grams = grams[by]
+        first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+        return grams[first], np.add.reduceat(n[by], first)
+
+    def made(key: int, parts: list) -> Iterator[pa.RecordBatch]:
+        if parts:
+            grams, n = summed(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), key)), pa.array(grams), pa.array(n)], names=["chunk", "gram", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        for batch in batches:
-            for _, codes, _ in _chunks(utf8(batch.column(0))):
-                grams, n = np.unique(codes, return_counts=True)
-                seen, where = np.unique(np.concatenate((seen, grams)), return_inverse=True)
-                both = np.zeros(len(seen), np.int64)
-                np.add.at(both, where, np.concatenate((total, n)))
-                total = both
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total)], names=["gram", "n"])
+        key, parts, rows = None, [], np.zeros(0, np.int64)
+        for chunk, at, batch in chunks(batches):
+            if chunk != key:
+                yield from made(key, parts)
+                key, parts = chunk, []
+                rows = _side_table(trained, key, ["at"])["at"].drop_null().to_numpy() if trained else rows
+            texts = utf8(batch.column("_text"))
+            taught = np.isin(np.arange(at, at + len(texts)), rows)
+            for which, first, grams in blocks(texts, order):
+                counted = np.repeat(taught[which], np.diff(np.append(first, len(grams))))
+                parts.append(summed([(grams, counted.astype(np.int64))]))
+            if len(parts) > 64:
+                parts = [summed(parts)]
+        yield from made(key, parts)
+
+    return stash(docs.select(F.col(text).alias("_text")).mapInArrow(run, "chunk long, gram long, n long"), "grams")
 
-    return docs.select(text).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+def _low(k: int) -> int:
+    """A mask of the last k bytes."""
+    return (1 << 8 * k) - 1 if k < 8 else -1
 
 
 def _discounted(counts: DataFrame, context) -> DataFrame:
@@ -86,69 +178,66 @@ def _discounted(counts: DataFrame, context) -> DataFrame:
     return rows.join(sums, "context").select("gram", "context", ((F.col("n") - F.col("cut")) / F.col("total")).alias("own"), (F.col("off") / F.col("total")).alias("back"))
 
 
-def train(trusted: DataFrame, text: str = "text") -> str:
-    """The model's tables in the shared folder: (level, gram, p, back)."""
-    spark = trusted.sparkSession
-    c3 = stash(trigram_counts(trusted, text), "trigrams")
-    c2 = stash(c3.groupBy(F.expr("gram & 65535").alias("gram")).agg(F.count(F.lit(1)).alias("n")), "bigrams")
-    c1 = c2.groupBy(F.expr("gram & 255").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-    s1 = _discounted(c1, F.lit(0)).select("gram", (F.col("own") + F.col("back") / 256).alias("p"), "back", "own")
-    s2 = _discounted(c2, F.shiftrightunsigned("gram", 8)).alias("h").join(s1.select(F.col("gram").alias("low"), F.col("p").alias("q")), F.expr("(h.gram & 255) = low"))
-    s2 = s2.select("gram", (F.col("own") + F.col("back") * F.col("q")).alias("p"), "back", "own")
-    s3 = _discounted(c3, F.shiftrightunsigned("gram", 8)).alias("h").join(s2.select(F.col("gram").alias("low"), F.col("p").alias("q")), F.expr("(h.gram & 65535) = low"))
-    s3 = s3.select("gram", (F.col("own") + F.col("back") * F.col("q")).alias("p"), "back", "own")
-    out = fresh_path(spark, "quality-model")
-    s1.withColumn("level", F.lit(1)).unionByName(s2.withColumn("level", F.lit(2))).unionByName(s3.withColumn("level", F.lit(3))).write.parquet(out)
-    return out
-
-
-class Costs:
-    """-log p of trigrams. Bytes that training never saw are alike, so they share one place in the table."""
-
-    def __init__(self, level: np.ndarray, gram: np.ndarray, p: np.ndarray, back: np.ndarray):
-        one_, two_, three_ = (level == k for k in (1, 2, 3))
-        self.place = np.zeros(256, np.uint32)
-        self.place[gram[one_]] = np.arange(1, one_.sum() + 1)
-        n = self.n = int(one_.sum()) + 1
-        of = lambda g, size: sum(self.place[g >> 8 * k & 255].astype(np.int64) * n**k for k in range(size))
-        one = np.full(n, (back[one_][0] if one_.any() else 1.0) / 256, np.float32)
-        one[self.place[gram[one_]]] = p[one_]
-        weight2, weight3 = np.ones(n, np.float32), np.ones(n * n, np.float32)
-        weight2[of(gram[two_] >> 8, 1)] = back[two_]
-        weight3[of(gram[three_] >> 8, 2)] = back[three_]
-        two = np.outer(weight2, one).ravel()
-        two[of(gram[two_], 2)] = p[two_]
-        cost = (weight3.reshape(n, n, 1) * two.reshape(1, n, n)).ravel()
-        cost[of(gram[three_], 3)] = p[three_]
-        np.log(np.maximum(cost, np.float32(1e-12), out=cost), out=cost)
-        self.cost = np.negative(cost, out=cost)
-
-    def __getitem__(self, codes: np.ndarray) -> np.ndarray:
-        n = np.uint32(self.n)
-        return self.cost[(self.place[codes >> 16] * n + self.place[codes >> 8 & 255]) * n + self.place[codes & 255]]
-
-
-def load(model: str) -> Costs:
-    def read() -> Costs:
-        fs, path = filesystem(model)
-        t = pq.read_table(path, filesystem=fs)
-        return Costs(*(t[c].to_numpy() for c in ("level", "gram", "p", "back")))
-
-    return kept(("quality", model), read)
-
-
-def score(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """``docs`` with nll (nats of the whole text, its end included) and n_scored (bytes and the end)."""
+def train(grams: DataFrame, order: int = ORDER) -> list[DataFrame]:
+    """The model from the trusted counts of :func:`gram_table`: for k = 1 to ``order``, (gram, context, own, back) of the
+    k-grams, written."""
+    counts = stash(grams.where("n > 0").groupBy("gram").agg(F.sum("n").alias("n")), "counts")
+    model = []
+    for k in range(order, 0, -1):
+        context = F.shiftrightunsigned("gram", 8) if k > 1 else F.lit(0).cast("long")
+        model.append(stash(_discounted(counts, context), "model"))
+        if k > 1:
+            counts = stash(counts.groupBy(F.col("gram").bitwiseAND(F.lit(_low(k - 1))).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "counts")
+    return model[::-1]
+
+
+def probabilities(asked: DataFrame, model: list[DataFrame]) -> DataFrame:
+    """asked(gram), distinct -> (gram, p) of each. Of every order, only the k-grams that are asked for are looked up."""
+    wanted = [asked]
+    for k in range(len(model) - 1, 0, -1):
+        wanted.append(stash(wanted[-1].select(F.col("gram").bitwiseAND(F.lit(_low(k))).alias("gram")).distinct(), "asked"))
+    found = None
+    for k, (rows, level) in enumerate(zip(reversed(wanted), model, strict=True), 1):
+        own = rows.join(level.select("gram", "own"), "gram", "left")
+        if found is None:
+            one = level.select("back").first()
+            lower = (one["back"] if one else 1.0) / 256
+            found = own.select("gram", (F.coalesce("own", F.lit(0.0)) + lower).alias("p"))
+        else:
+            back = level.select(F.col("context").alias("c"), "back").distinct()
+            own = own.withColumn("c", F.shiftrightunsigned("gram", 8)).join(back, "c", "left")
+            lower = found.select(F.col("gram").alias("low"), F.col("p").alias("q"))
+            own = own.withColumn("low", F.col("gram").bitwiseAND(F.lit(_low(k - 1)))).join(lower, "low")
+            found = own.select("gram", (F.coalesce("own", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.col("q")).alias("p"))
+        found = stash(found, "probabilities")
+    return found
+
+
+def costs(grams: DataFrame, model: list[DataFrame]) -> str:
+    """What each n-gram of each chunk costs, written by chunk."""
+    asked = stash(grams.select("gram").distinct(), "asked")
+    found = probabilities(asked, model).select("gram", (-F.log(F.greatest("p", F.lit(1e-12)))).cast("float").alias("cost"))
+    return _by_chunk(grams.select("chunk", "gram").join(found, "gram"), "costs", "gram")
+
+
+def score(docs: DataFrame, priced: str, text: str = "text", order: int = ORDER) -> DataFrame:
+    """``docs`` with nll (nats of the whole text, its end included) and n_scored (bytes and the end), by their :func:`costs`."""
     df = carried(docs, _text=F.col(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost = load(model)
-        for batch in batches:
-            texts = utf8(batch.column("_text"))
+        key = None
+        for chunk, _, part in chunks(batches):
+            if chunk != key:
+                key, found = chunk, _side_table(priced, chunk, ["gram", "cost"])
+                grams, cost = found["gram"].to_numpy(), found["cost"].to_numpy().astype(np.float64)
+            texts = utf8(part.column("_text"))
             nll, n = np.zeros(len(texts)), np.array([len(t) + 1 for t in texts], np.int64)
-            for first, codes, starts in _chunks(texts):
-                nll[first : first + len(starts)] = np.add.reduceat(cost[codes].astype(np.float64), starts)
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(nll), pa.array(n)], names=["_row", "nll", "n_scored"])
+            for which, first, codes in blocks(texts, order):
+                place = np.minimum(np.searchsorted(grams, codes), len(grams) - 1)
+                if (grams[place] != codes).any():
+                    raise ValueError("the documents changed between two readings: write them to a table first")
+                np.add.at(nll, which, np.add.reduceat(cost[place], first))
+            yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(nll), pa.array(n)], names=["_row", "nll", "n_scored"])
 
     from pyspark.sql import types as T
 
@@ -157,7 +246,7 @@ def score(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
 
 
 def limits(scored: DataFrame, quantile: float = QUANTILE, prior: float = PRIOR) -> DataFrame:
-    """(lang, mean, limit) from the scores (lang, nll, n_scored) of the trusted documents; lang null also stands for the rest."""
+    """(lang, mean, limit) from the scores (lang, nll, n_scored) of trusted documents; lang null also stands for the rest."""
     both = scored.select(F.explode(F.array(F.struct(F.lit(False).alias("any"), "lang"), F.struct(F.lit(True).alias("any"), F.lit(None).cast("string").alias("lang")))).alias("k"), "nll", "n_scored").select("k.*", "nll", "n_scored").where("any or lang is not null")
     # sums over bins of fixed point, so that the order of addition cannot show
     sums = both.groupBy("any", "lang").agg((F.sum((F.col("nll") * 1024).cast("long")) / 1024 / F.sum("n_scored")).alias("mean"), F.count(F.lit(1)).alias("docs"))
@@ -181,21 +270,24 @@ def classify(scored: DataFrame, bounds: DataFrame, prior: float = PRIOR, min_tru
     return df.withColumns({"score": z, "perplexity": F.exp(z), "limit": limit, "keep": z <= limit}).drop("_lang", "_mean", "_limit")
 
 
-def trusted_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that are labelled good and not toxic. Labels grow with the documents, so they are never broadcast."""
-    return docs.join(good_ids(labels).hint("merge"), "doc_id", "left_semi")
-
-
 def good_ids(labels: DataFrame) -> DataFrame:
+    """Ids of documents that are labelled good and not toxic."""
     return labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").where("doc_id is not null").distinct()
 
 
-def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, prior: float = PRIOR) -> tuple[str, DataFrame, DataFrame]:
-    """Model, limits, and the narrow scores (doc_id, lang, nll, n_scored) of all documents."""
-    model = train(trusted_text(docs.select("doc_id", "text"), labels))
-    scored = stash(score(docs.select("doc_id", "lang", "text"), model).drop("text"), "scores")
-    bounds = stash(limits(scored.join(good_ids(labels), "doc_id", "left_semi"), quantile, prior), "limits")
-    return model, bounds, scored
+def held_out(doc_id: str = "doc_id"):
+    return F.pmod(F.xxhash64(F.lit("held out"), doc_id), F.lit(HELD_OUT)) == 0
+
+
+def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, prior: float = PRIOR, order: int = ORDER) -> tuple[str, DataFrame, DataFrame]:
+    """The documents' costs, limits, and the narrow scores (doc_id, lang, nll, n_scored) of all documents. Labels grow with
+    the documents, so they are never broadcast."""
+    good = good_ids(labels)
+    grams = gram_table(docs, trained_rows(docs, good.where(~held_out()).hint("merge")), order=order)
+    priced = costs(grams, train(grams, order))
+    scored = stash(score(docs.select("doc_id", "lang", "text"), priced, order=order).drop("text"), "scores")
+    bounds = stash(limits(scored.join(good.where(held_out()).hint("merge"), "doc_id", "left_semi"), quantile, prior), "limits")
+    return priced, bounds, scored
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
