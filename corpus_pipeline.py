@@ -14,8 +14,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model does not reject."""
-    model, bounds, _ = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.classify(quality.score(docs.select(COLUMNS), model), bounds).where("keep").select(COLUMNS)
+    priced, bounds, _ = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(quality.score(docs.select(COLUMNS), priced), bounds).where("keep").select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
