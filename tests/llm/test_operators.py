@@ -416,10 +416,65 @@ def test_mixing(docs, rows, empty):
     for s in sizes:
         assert abs(taken[s] - want[s]) <= max(r.size for r in got if r.source == s) / 2 + 1e-6
     assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(docs.repartition(5)).collect()))
-    assert Counter((r.doc_id, r.copies) for r in mixing.mix(docs, buckets=1).collect()) == Counter((r.doc_id, r.copies) for r in got)
+    assert Counter((r.doc_id, r.copies) for r in got) == brute_mix(rows, lambda r: 1.0)
     assert mixing.mix(empty).count() == 0
 
 
+def brute_mix(rows, weight, weights=(5, 2, 1)):
+    """(id, copies): each source's rows in the order of their keys, while the middle of a row is within the budget."""
+    import math
+
+    n = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    signed = lambda h: h.to_bytes(8, "little")
+
+    def key(r):
+        w = 1.0 if weight(r) is None else weight(r)
+        # XXH64 of a row goes on from column to column; nulls leave it as it is
+        h = xxhash.xxh64_intdigest((mixing.SEED).to_bytes(4, "little"), 42)
+        h = h if r[0] is None else xxhash.xxh64_intdigest(signed(r[0] % 2**64), h)
+        h = xxhash.xxh64_intdigest(signed(42 if r[1] is None else xxhash.xxh64_intdigest(r[1].encode(), 42)), h)
+        return -math.log(((h >> 11) + 0.5) / 2**53) / w if w > 0 else math.inf
+
+    sizes, out = Counter(), Counter()
+    for r in rows:
+        sizes[r[3]] += n(r[1])
+    for s, target in brute_targets(sizes, weights).items():
+        epochs = math.floor(target / sizes[s]) if sizes[s] else 0
+        rest, upto = target - epochs * sizes[s], 0
+        for r in sorted((r for r in rows if r[3] == s), key=key):
+            k = n(r[1])
+            out[r[0], epochs + int(rest > 0 and upto + k / 2 <= rest)] += 1
+            upto += k
+    return out
+
+
+@pytest.mark.parametrize(("ranges", "most"), [(4096, 100_000), (3, 4)])
+def test_mixing_against_key_sort(spark, monkeypatch, ranges, most):
+    """Weights null, zero, negative, tiny and huge; equal rows; one source with most rows; keys divided many times."""
+    import random
+
+    monkeypatch.setattr(mixing, "RANGES", ranges)
+    monkeypatch.setattr(mixing, "SORTED", most)
+    r = random.Random(6)
+    rows = [(i, "word " * r.randrange(12), None, r.choice(["a", "a", "a", "b", "c", None, ""]), r.choice([None, 0.0, -1.0, 1e-9, 0.5, 1.0, 1e5, 1e300])) for i in range(700)]
+    rows += [(5000, "same words here", None, "a", 1.0)] * 200 + [(None, None, None, "b", 1.0)] * 20 + [(None, "no id", None, "d", 0.0)] * 30
+    df = spark.createDataFrame([(*x[:2], x[3], x[4]) for x in rows], "doc_id long, text string, source string, q double").repartition(3)
+    got = mixing.mix(df, quality="q").collect()
+    size = Counter((x.doc_id, x.copies) for x in got)
+    want = brute_mix(rows, lambda x: x[4])
+    # of empty texts at the very border either may be taken
+    empty = {x[0] for x in rows if not (x[1] or "").strip()}
+    assert {k: n for k, n in size.items() if k[0] not in empty} == {k: n for k, n in want.items() if k[0] not in empty}
+    assert max(x.copies for x in got) <= 3 and len(got) == len(rows)
+
+
+def test_quality_weights(spark):
+    docs = spark.createDataFrame([(1, "x", "clash"), (2, "x", "clash"), (3, "x", "clash"), (4, "x", "clash"), (None, "x", "clash"), (1, "y", "clash")], "doc_id long, text string, quality_weight string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1), (1, 1, None), (None, 1, 0), (4, None, None)], "doc_id long, quality int, toxic int")
+    got = mixing.with_quality(docs, labels)
+    assert Counter((r.doc_id, r.quality_weight) for r in got.collect()) == {(1, mixing.GOOD): 2, (2, mixing.BAD): 1, (3, mixing.BAD): 1, (4, mixing.UNKNOWN): 1, (None, mixing.UNKNOWN): 1}
+
+
 def test_mixing_weights(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("w").alias("text"), F.when(F.col("id") < 3000, "a").otherwise("b").alias("source"), F.when(F.col("id") % 2 == 0, 4.0).otherwise(1.0).alias("q"))
     r = mixing.mix(df, quality="q", weights=(1, 1), share=0.5).where("source = 'a'").groupBy("q").agg(F.avg("copies").alias("c")).collect()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm import chat, decontaminate, langid, mixing, order_minhash, quality, simhash, suffix_dedup, token_output, warc
-from textquarry.llm.common import table
+from textquarry.llm.common import stash, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -49,8 +49,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words("text").alias("n"), F.xxhash64("text").alias("digest"))
+    docs = stash(mixing.with_quality(docs, table(spark, sf_dir, "labels")), "mix-documents")
+    mixed = mixing.mix(docs, quality="quality_weight", size="n", digest="digest")
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
