@@ -30,8 +30,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    mixed = mixing.mix(docs.select(COLUMNS)).where("copies > 0")
+    """Documents as often as the mix takes them; labels weigh the keys."""
+    # counted before the join, so that only its last use moves texts
+    counted = docs.select(*COLUMNS, mixing.n_words("text").alias("words"), F.xxhash64("text").alias("digest"))
+    weighed = mixing.with_quality(counted, table(spark, sf_dir, "labels"))
+    mixed = mixing.mix(weighed, quality="quality_weight", size="words", digest="digest").where("copies > 0")
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)
 
 
