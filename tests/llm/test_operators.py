@@ -620,3 +620,34 @@ def test_language(spark, docs, rows, empty):
     assert few[1004].lang_pred in dict(learned) and 0 <= few[1004].score <= 1
     assert langid.identify(docs, langid.learn(empty)).where("lang_pred <> 'und'").count() == 0
     assert langid.identify(empty, learned).count() == 0
+
+
+def test_language_by_plain_compression(spark, docs, rows):
+    """Every prediction and score against zstandard called block by block; ties go to the language learned first."""
+    import zstandard
+
+    learned = langid.learn(spark.read.parquet(f"{SF}/documents.parquet"))
+    learned = [*learned, ("tie", learned[0][1])]
+    packs = [zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for _, raw in learned]
+    plain = {r.doc_id: r.t for r in docs.select("doc_id", langid.letters("text").alias("t")).collect()}
+    got = langid.identify(docs, learned).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        t = plain[r.doc_id].encode()
+        if not t.strip():
+            assert (r.lang_pred, float(r.score), r.rejected) == ("und", 0.0, True)
+            continue
+        n = [sum(len(p.compress(t[i : i + 1024])) for i in range(0, len(t), 1024)) for p in packs]
+        assert r.lang_pred == learned[n.index(min(n))][0] and r.rejected == (sorted(n)[1] - min(n) < 0.01 * min(n))
+        assert float(r.score) == pytest.approx(1 / sum(2.0 ** max(-1000, min(n) - x) for x in n))
+
+
+def test_languages_of_long_or_equal_documents(spark):
+    long_, same = "langer text hier " * 4000, "the very same words"
+    made = [(i, long_ + str(i), "xx") for i in range(6)] + [(None, same, "yy")] * 3000 + [(100 + i, f"petit texte {i}", "zz") for i in range(50)] + [(None, None, "yy"), (None, "", "none"), (7, "no language", None)]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string").repartition(3)
+    learned = dict(langid.learn(df))
+    assert set(learned) == {"xx", "yy", "zz"} and all(0 < len(x) <= langid.DICTIONARY_BYTES + 4096 for x in learned.values())
+    assert {(r.lang, r.lang_pred) for r in langid.identify(df, list(learned.items())).where("lang <> 'none' and text is not null").collect()} == {("xx", "xx"), ("yy", "yy"), ("zz", "zz")}
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        langid.learn(df, max_languages=2)

@@ -1,8 +1,9 @@
 """Language identification by compression: the language whose raw-content zstandard dictionary packs a text best.
 
-Training takes, for each language, documents in the order of a hash of their ids until ``dictionary_bytes`` are full
-(of a range of hashes that holds about four times as much); documents longer than an eighth of that are not used. So the sample is bounded by ``dictionary_bytes``
-for each language, and by ``max_languages``; beyond the latter the most frequent languages are learned.
+Training takes, for each language, documents in the order of a hash of id and text until ``dictionary_bytes`` are full
+(of a range of hashes that holds about four times as much; equal rows count once). Of a document of more than
+``dictionary_bytes`` / 32 characters it takes so many, from a place that the hash gives, so a language of long documents alone
+is learned as well. The sample is bounded by ``dictionary_bytes`` for each language; more than ``max_languages`` are an error.
 
 Text and dictionaries are lower-cased, and what is not a letter becomes a blank: case, digits and marks say nothing of
 the language. A text is encoded whole, in blocks of ``BLOCK`` bytes, each against every dictionary, and the sizes are
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from textquarry.llm.common import carried, kept, uncarried, utf8
 
 DICTIONARY_BYTES = 96 << 10
-MAX_LANGUAGES = 200
+MAX_LANGUAGES = 1000
 LEVEL = 6
 BLOCK = 1024
 MARGIN = 0.01
@@ -38,20 +39,28 @@ def letters(text: str) -> Column:
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", dictionary_bytes: int = DICTIONARY_BYTES, max_languages: int = MAX_LANGUAGES) -> list[tuple[str, bytes]]:
     """(language, dictionary) pairs, the most frequent language first."""
-    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.col(lang).alias("l"), F.octet_length(text).alias("n")).where("l is not null and n > 0")
-    fits = F.col("n") <= dictionary_bytes // 8
-    most = rows.groupBy("l").agg(F.count(F.lit(1)).alias("c"), F.sum(F.when(fits, F.col("n"))).alias("b")).orderBy(F.desc("c"), "l").limit(max_languages).collect()
+    most_chars = dictionary_bytes // 32  # of four bytes at most
+    spot = F.xxhash64(F.lit("dictionary"), F.col(doc_id), F.col(text))
+    rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l"), spot.alias("h")).where("l is not null and t <> ''")
+    begin = F.pmod("h", F.greatest(F.length("t") - most_chars + 1, F.lit(1))).cast("int") + 1
+    rows = rows.select("l", "h", F.substring("t", begin, F.lit(most_chars)).alias("t")).withColumn("n", F.octet_length("t"))
+    at = F.shiftrightunsigned("h", 1) / float(1 << 63)
+    most = rows.groupBy("l").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("b"), F.min(at).alias("first")).orderBy(F.desc("c"), "l").limit(max_languages + 1).collect()
+    if len(most) > max_languages:
+        raise ValueError(f"more than {max_languages} languages: raise max_languages, or merge rare ones")
     if not most:
         return []
     # A range of hashes that holds a few dictionaries' worth of each language, so that no more than that is sorted.
-    share = F.create_map(*[F.lit(x) for r in most for x in (r["l"], min(1.0, 4 * dictionary_bytes / max(1, r["b"] or 0)))])
-    spot = F.xxhash64(F.lit("dictionary"), "d")
-    few = rows.where(fits & (F.shiftrightunsigned(spot, 1) / float(1 << 63) <= F.element_at(share, F.col("l"))))
-    order = W.partitionBy("l").orderBy("h", "d", "t")
+    shares = [(r["l"], max(r["first"], min(1.0, 4 * dictionary_bytes / r["b"]))) for r in most]
+    share = F.broadcast(docs.sparkSession.createDataFrame(shares, "l string, share double"))
+    few = rows.join(share, "l").where(at <= F.col("share")).groupBy("l", "h").agg(F.min("t").alias("t"), F.min("n").alias("n"))
+    order = W.partitionBy("l").orderBy("h")
     upto = F.sum("n").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    picked = few.withColumn("h", spot).withColumn("upto", upto).withColumn("r", F.row_number().over(order)).where(F.col("upto") <= dictionary_bytes)
-    sample = picked.select("l", "r", letters("t").alias("t")).collect()
-    return [(x, b"\n".join(r["t"].encode() for r in sorted(sample, key=lambda r: -r["r"]) if r["l"] == x)) for x in (m["l"] for m in most)]
+    picked = few.withColumn("upto", upto).withColumn("r", F.row_number().over(order)).where(F.col("upto") <= dictionary_bytes)
+    held: dict[str, list] = {}
+    for r in picked.select("l", "r", letters("t").alias("t")).collect():
+        held.setdefault(r["l"], []).append((-r["r"], r["t"].encode()))
+    return [(x, b"\n".join(t for _, t in sorted(held.get(x, [])))) for x in (m["l"] for m in most)]
 
 
 def packers(dictionaries: list[tuple[str, bytes]], level: int = LEVEL) -> list[zstandard.ZstdCompressor]:
