@@ -116,9 +116,12 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_simhash_links(spark):
+@pytest.mark.parametrize("tile", [(1 << 15, 1 << 20), (3, 7), (1, 1)])
+def test_simhash_links(spark, monkeypatch, tile):
     import random
 
+    monkeypatch.setattr(simhash, "TILE", tile)
+
     r = random.Random(3)
     base = [r.getrandbits(64) for _ in range(150)]
     near = [b ^ sum(1 << r.randrange(64) for _ in range(k)) & (2**64 - 1) for b in base for k in (1, 2, 3)]
@@ -369,12 +372,12 @@ def brute_hits(text, items, width=10):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("slice_bytes", [1 << 22, 400])
-def test_decontamination(spark, docs, rows, empty, slice_bytes):
+@pytest.mark.parametrize("nodes", [4_000_000, 400])
+def test_decontamination(spark, docs, rows, empty, nodes):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()][:12]
     items += [(500, "two words"), (501, None), (502, "..."), (503, "long WORDS repeat"), (10, "no id here"), (503, "é e")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
-    got = decontaminate.decontaminate(docs, bench, slice_bytes=slice_bytes)
+    got = decontaminate.decontaminate(docs, bench, nodes=nodes)
     want = Counter((r[0], *brute_hits(r[1], items)) for r in rows)
     assert bag(decontaminate.digest(got), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
     for r in got.where("size(hit_spans) > 0").collect():
@@ -384,6 +387,20 @@ def test_decontamination(spark, docs, rows, empty, slice_bytes):
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("size(hit_runs) > 0").count() == 0
 
 
+def test_slices_are_bounded(monkeypatch):
+    import random
+
+    monkeypatch.setattr(decontaminate, "VOCABULARY", 90)
+    r = random.Random(2)
+    items = [(str(k), " ".join(f"w{r.randrange(300)}" for _ in range(r.choice((0, 3, 9, 10, 40, 500)))).encode()) for k in range(60)]
+    built = [decontaminate.Windows(x, 10) for x in decontaminate.slices(iter(items), 10, 1000)]
+    assert len(built) > 20 and all(len(b.numbers) <= 90 and b.automaton.get_stats()["nodes_count"] <= 1001 for b in built if b.numbers)
+    for k in range(60):
+        text = b"x " + items[k][1] + b" w1"
+        hit = {i for b in built for i in b.find(decontaminate.words(text))[1]}
+        assert hit == {i for i, t in items if brute_hits(text.decode(), [(i, t.decode())])[4]}
+
+
 # -- mixing -------------------------------------------------------------------------------------------------------
 
 

@@ -5,8 +5,9 @@ included, are hashed by XXH64 (seed 42). A bit is set where over half of the has
 
 Distinct fingerprints are put into tiles by the population counts of their four 16-bit quarters. Fingerprints within
 ``radius`` bits lie in tiles whose counts differ by ``radius`` in sum at most, so a tile meets itself and those
-neighbours only; within, numpy compares blocks by exclusive-or and bit counts. Copies never multiply the work: a
-fingerprint counts once. Links go through :mod:`components`.
+neighbours only; within, numpy compares blocks by exclusive-or and bit counts. A tile with more fingerprints, or more to
+meet, than ``TILE`` is divided into blocks and groups of guests, so a task's work is bounded. Copies never multiply the
+work: a fingerprint counts once. Links go through :mod:`components`.
 
 Null texts and texts without words have fingerprint zero and link like any other. Null ids are never a component's name
 unless it has no other; rows that repeat an id each keep their row. An empty table gives an empty result.
@@ -34,6 +35,9 @@ SEED = 42
 CHUNK = 1 << 17
 #: Sides of the blocks that are compared at once.
 BLOCK = (256, 4096)
+#: Fingerprints of a tile that one task holds, and guests that pass by them; larger tiles are divided.
+TILE = (1 << 15, 1 << 20)
+_BLOCKS = _GROUPS = 1 << 20
 
 
 def shingle_hashes(text: bytes, width: int = WIDTH) -> list[int]:
@@ -113,8 +117,10 @@ def close_pairs(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nd
 
 
 def _compare(radius: int):
+    """Rows come by unit: first the base block, then its guests, which are streamed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, base, own = None, [], np.zeros(0, np.uint64)
+        unit, base, own, within = None, [], np.zeros(0, np.uint64), False
 
         def links(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
@@ -122,18 +128,19 @@ def _compare(radius: int):
         def closed() -> Iterator[pa.RecordBatch]:
             nonlocal own, base
             own, base = np.concatenate(base) if base else np.zeros(0, np.uint64), None
-            if len(own) > 1:
+            if within and len(own) > 1:
                 yield links(*close_pairs(own, None, radius))
 
         for batch in batches:
-            tiles, guest, fps = (batch[c].to_numpy(zero_copy_only=False) for c in ("tile", "guest", "fp"))
+            units, guest, fps = (batch[c].to_numpy(zero_copy_only=False) for c in ("unit", "guest", "fp"))
             fps = fps.view(np.uint64)
-            cuts = np.flatnonzero((np.diff(tiles) != 0) | (np.diff(guest.astype(np.int8)) != 0)) + 1
+            cuts = np.flatnonzero((np.diff(units) != 0) | (np.diff(guest.astype(np.int8)) != 0)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(fps)], strict=True):
-                if tiles[a] != tile:
+                if units[a] != unit:
                     if base is not None:
                         yield from closed()
-                    tile, base = tiles[a], []
+                    # pairs of the base block itself are compared once, where the first group of guests is
+                    unit, base, within = units[a], [], units[a] % _GROUPS == 0
                 if not guest[a]:
                     base.append(fps[a:b])
                     continue
@@ -147,12 +154,31 @@ def _compare(radius: int):
     return run
 
 
+def _divided(rows: DataFrame, radius: int, side: int) -> DataFrame | None:
+    """(t, blocks, groups) of the tiles with more than BASE fingerprints or GUESTS guests; None if there are none.
+
+    There are 17^4 tiles, so their counts are bounded.
+    """
+    counts = dict(rows.groupBy("home").count().collect())
+    crowd = []
+    if max(counts.values(), default=0) > min(TILE[0], TILE[1] // (2 * len(_neighbours(radius)) + 1)):
+        steps = [sum(x * side**k for k, x in enumerate(v)) for v in _neighbours(radius)]
+        for t, n in counts.items():
+            # guests of a tile come from one side only: each pair of tiles meets once
+            guests = n + sum(counts.get(t - d, 0) for d in steps)
+            if n > TILE[0] or guests > TILE[1]:
+                crowd.append((t, -(-n // TILE[0]), -(-guests // TILE[1])))
+    assert all(blocks < _BLOCKS and groups < _GROUPS for _, blocks, groups in crowd)
+    return rows.sparkSession.createDataFrame(crowd, "t int, blocks int, groups int") if crowd else None
+
+
 def links_between(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """fps(fp), distinct -> links(a, b) between all fingerprints within ``radius`` bits."""
     counts = [F.bit_count(F.expr(f"shiftrightunsigned(fp, {16 * k}) & 65535")) for k in range(4)]
     rows = fps.select("fp", *[c.cast("int").alias(f"c{k}") for k, c in enumerate(counts)])
     side = 17 + radius
     code = lambda v: sum((F.col(f"c{k}") + v[k]) * side**k for k in range(4))
+    crowded = _divided(rows.select(code((0,) * 4).alias("home")), radius, side)
     spots = [F.struct(code((0,) * 4).alias("tile"), F.lit(False).alias("guest"))]
     for v in _neighbours(radius):
         fits = F.lit(True)
@@ -161,7 +187,21 @@ def links_between(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
                 fits = fits & (F.col(f"c{k}") + v[k]).between(0, 16)
         spots.append(F.when(fits, F.struct(code(v).alias("tile"), F.lit(True).alias("guest"))))
     rows = rows.select("fp", F.explode(F.array_compact(F.array(*spots))).alias("s")).select("s.tile", "s.guest", "fp")
-    return rows.repartition("tile").sortWithinPartitions("tile", "guest").mapInArrow(_compare(radius), "a long, b long")
+    if crowded is None:
+        rows = rows.select((F.col("tile").cast("long") * _BLOCKS * _GROUPS).alias("unit"), "guest", "fp")
+    else:
+        rows = rows.join(F.broadcast(crowded), F.col("tile") == F.col("t"), "left")
+        blocks, groups = F.coalesce("blocks", F.lit(1)), F.coalesce("groups", F.lit(1))
+        block, group = F.pmod(F.xxhash64("fp"), blocks).cast("int"), F.pmod(F.xxhash64("fp", F.lit("guest")), groups).cast("int")
+        unit = lambda b, g, guest: F.struct((F.col("tile").cast("long") * _BLOCKS * _GROUPS + b.cast("long") * _GROUPS + g).alias("unit"), F.lit(guest).alias("guest"))
+        home = F.concat(
+            F.transform(F.sequence(F.lit(0), groups - 1), lambda g: unit(block, g, False)),
+            # within a tile, a block is the guest of those before it
+            F.when(block > 0, F.transform(F.sequence(F.lit(0), block - 1), lambda b: unit(b, group, True))).otherwise(F.array().cast("array<struct<unit:bigint,guest:boolean>>")),
+        )
+        away = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: unit(b, group, True))
+        rows = rows.select("fp", F.explode(F.when(F.col("guest"), away).otherwise(home)).alias("u")).select("u.unit", "u.guest", "fp")
+    return rows.repartition("unit").sortWithinPartitions("unit", "guest").mapInArrow(_compare(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
