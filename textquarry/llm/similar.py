@@ -6,12 +6,12 @@ words links only to its like. Texts with equal sets are one node, so copies neve
 
 Candidates: texts of similarity J differ in about ``acos(2J / (1 + J)) / pi`` of the bits of 256-bit fingerprints, less
 if their sizes differ. The search radius is that share plus SEARCH standard deviations, so by the normal model three in
-100,000 pairs at exactly J are missed by each of its two filters, and fewer above. (Ties of bits make that share 3/16
-for sets of four and five shingles, which the radius of tiles with so small sets covers.) Nodes are dealt to bins by
-shingle count, each bin to blocks of about BLOCK nodes, and a tile is a pair of blocks of one bin or of neighbouring
-bins: no other sizes can reach the similarity. Within a tile, rows are ordered by population count, strips whose counts
-differ beyond the radius are skipped, and numpy compares the rest by exclusive-or and bit counts: the first 64 bits, then
-all. A tile gives a forest of its candidates, so that a large group costs as many rows as it has members.
+100,000 pairs at exactly J are missed, and fewer above. (Ties of bits make that share 3/16 for sets of four and five
+shingles, which the radius of tiles with so small sets covers.) Nodes are dealt to bins by
+shingle count, each bin to BLOCKS blocks or more, of BLOCK nodes at most, and a tile is a pair of blocks of one bin or of
+neighbouring bins: no other sizes can reach the similarity. Within a tile, rows are ordered by population count, strips whose counts
+differ beyond the radius are skipped, and numpy compares the rest by exclusive-or and bit counts: the first 128 bits, and
+where those are within the radius, all. A tile gives a forest of its candidates, so that a large group costs as many rows as it has members.
 
 Verification: every true link lies within one component of the candidates. A component's nodes meet with their whole
 sets, large ones again in tiles of blocks, and a candidate becomes a link only by its exact similarity. Pairs that links
@@ -44,13 +44,14 @@ from textquarry.llm.simhash import shingle_hashes
 WIDTH = 5
 SIMILARITY = 0.8
 PARTS = 4
-#: Nodes of a block, partitions at most, and the sides of the strips that are compared at once.
+#: Nodes of a block, blocks of a bin at least (where it has some thousands of nodes), partitions at most, and the sides of
+#: the strips that are compared at once.
 BLOCK = 1 << 15
+BLOCKS = 4
 MAX_PARTITIONS = 10_000
 STRIP = (64, 4096)
-#: Standard deviations beyond the mean, in the first 64 bits and in all: a bare link, and the search for candidates.
-BARE = (3, 1)
-SEARCH = (4, 4)
+#: Standard deviations beyond the mean in the search for candidates.
+SEARCH = 4
 #: Sets of up to so many shingles have the share of bits that ties give.
 SMALL = (8, 3 / 16)
 #: Nodes and shingles of a block that is verified.
@@ -58,13 +59,11 @@ VERIFIED = (4096, 1 << 21)
 _WORDS = [f"w{k}" for k in range(PARTS)]
 
 
-def radii(similarity: float, deviations: tuple[int, int] = BARE, least: int | None = None) -> tuple[int, int]:
-    """Bits that may differ in the first 64 and in all: the mean and so many deviations, for sets of ``least`` shingles or more."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    if least is not None and least <= SMALL[0]:
-        p = max(p, SMALL[1])
-    reach = lambda bits, k: int(bits * p + k * math.sqrt(bits * p * (1 - p)))
-    return reach(64, deviations[0]), reach(64 * PARTS, deviations[1])
+def radius_of(similarity: float, least: int = SMALL[0] + 1) -> int:
+    """Bits in which candidates may differ: the mean and SEARCH deviations, for sets of ``least`` shingles or more."""
+    p, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * PARTS
+    p = max(p, SMALL[1]) if least <= SMALL[0] else p
+    return int(bits * p + SEARCH * math.sqrt(bits * p * (1 - p)))
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -116,14 +115,15 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = WIDTH) -> Dat
     return uncarried(df.mapInArrow(run, schema), docs.columns, outputs)
 
 
-def forest(fp: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray | None, similarity: float, deviations: tuple[int, int] = BARE) -> tuple[np.ndarray, np.ndarray]:
+def forest(fp: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what the near pairs of left x right (or within left) join, one fewer than members for each group."""
-    first_radius, radius = radii(similarity, deviations, None if deviations == BARE else n.min(initial=SMALL[0]))
+    radius = radius_of(similarity, int(n.min(initial=1 << 62)))
     counts = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
     left = left[np.argsort(counts[left], kind="stable")]
     own = right is None
     right = left if own else right[np.argsort(counts[right], kind="stable")]
-    a, b, of_left, of_right = np.ascontiguousarray(fp[left, 0]), np.ascontiguousarray(fp[right, 0]), counts[left], counts[right]
+    (a, b), (c, d) = (fp[left, :2].T.copy(), fp[right, :2].T.copy())
+    of_left, of_right = counts[left], counts[right]
     label, froms, tos = np.arange(len(fp)), [], []
     for i in range(0, len(left), STRIP[0]):
         last = min(i + STRIP[0], len(left)) - 1
@@ -131,7 +131,9 @@ def forest(fp: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray |
             end = min(j + STRIP[1], len(right))
             if of_right[j] - of_left[last] > radius or of_left[i] - of_right[end - 1] > radius:
                 continue
-            flat = np.flatnonzero(np.bitwise_count(a[i : last + 1, None] ^ b[None, j:end]) <= first_radius)
+            apart = np.bitwise_count(a[i : last + 1, None] ^ c[None, j:end])
+            apart += np.bitwise_count(b[i : last + 1, None] ^ d[None, j:end])
+            flat = np.flatnonzero(apart <= radius)
             if not len(flat):
                 continue
             x, y = left[i + flat // (end - j)], right[j + flat % (end - j)]
@@ -157,14 +159,14 @@ def forest(fp: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray |
     return np.concatenate([none, *froms]), np.concatenate([none, *tos])
 
 
-def _compare(similarity: float, deviations: tuple[int, int]):
+def _compare(similarity: float):
     columns = ["pair", "side", "node", "n_shingles", *_WORDS]
 
     def links(parts: list[np.ndarray]) -> pa.RecordBatch:
         _, side, node, n, *words = np.concatenate(parts, axis=1)
         fp = np.stack(words, axis=1).view(np.uint64)
         own = (side == 2).any()
-        x, y = forest(fp, n, np.flatnonzero(side != 1), None if own else np.flatnonzero(side == 1), similarity, deviations)
+        x, y = forest(fp, n, np.flatnonzero(side != 1), None if own else np.flatnonzero(side == 1), similarity)
         return pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,13 +186,13 @@ def _compare(similarity: float, deviations: tuple[int, int]):
     return run
 
 
-def links_between(nodes: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, deviations: tuple[int, int] = BARE) -> DataFrame:
-    """nodes(node, n_shingles, w0, ...), distinct and written -> links(a, b) that join all that are near."""
+def links_between(nodes: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """nodes(node, n_shingles, w0, ...), distinct and written -> links(a, b) that join all candidates."""
     # neighbouring bins hold every size down to the similarity, with room for rounding
     step = math.log(1.01 / similarity)
     rows = nodes.withColumn("bin", F.floor(F.log(F.greatest("n_shingles", F.lit(1)).cast("double")) / F.lit(step)).cast("int"))
     # one row for each size bin, some hundred at most
-    counted = {r["bin"]: -(-r["count"] // block) for r in rows.groupBy("bin").count().collect()}
+    counted = {r["bin"]: max(-(-r["count"] // block), min(BLOCKS, -(-r["count"] // 1024))) for r in rows.groupBy("bin").count().collect()}
     blocks = [counted.get(t, 0) for t in range(max(counted, default=-1) + 1)] + [0]
     own, across, pairs = [], [], 0
     for k, following in zip(blocks, [*blocks[1:], 0], strict=True):
@@ -217,13 +219,13 @@ def links_between(nodes: DataFrame, similarity: float = SIMILARITY, block: int =
     rows = rows.select(F.explode(tiles).alias("t"), "node", "n_shingles", *_WORDS).select("t.pair", "t.side", "node", "n_shingles", *_WORDS)
     parts = max(1, min(pairs, MAX_PARTITIONS))
     rows = rows.repartitionById(parts, F.pmod("pair", F.lit(parts)).cast("int")).sortWithinPartitions("pair", "side")
-    return rows.mapInArrow(_compare(similarity, deviations), "a long, b long")
+    return rows.mapInArrow(_compare(similarity), "a long, b long")
 
 
 def true_forest(sets: list[np.ndarray], fp: np.ndarray, left: np.ndarray, right: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what the pairs of left x right (or within left) join that are candidates and of that exact similarity."""
     n = np.array([len(s) for s in sets], np.int64)
-    radius = radii(similarity, SEARCH, n.min(initial=SMALL[0]))[1]
+    radius = radius_of(similarity, int(n.min(initial=1 << 62)))
     own = right is None
     right = left if own else right
     known, ids = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
@@ -311,7 +313,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     """``docs`` with node, written; and node, least (the least id of its rows), component of each node."""
     rows = stash(fingerprints(docs, text, width), "similar-rows")
     nodes = stash(rows.groupBy("node", "n_shingles", *_WORDS).agg(F.min(doc_id).alias("least")), "similar-nodes")
-    candidates = components(links_between(nodes.drop("least"), similarity, deviations=SEARCH))
+    candidates = components(links_between(nodes.drop("least"), similarity))
     joined = components(verified(rows, nodes, candidates, text, width, similarity))
     named = nodes.select("node", "least").join(joined, "node", "left")
     return rows.drop("n_shingles", *_WORDS), named.select("node", "least", F.coalesce("component", "node").alias("component"))
