@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as T
-from textquarry.operators import index, packing, sequence, suffixes, transform
+from textquarry.operators import index, packing, ranks, sequence, suffix_index, suffixes, transform
 from textquarry.sources import texts as sources
 
 SMALLER = "aloha what a string this is string is eh"
@@ -112,9 +112,132 @@ def test_index(docs, rate, tmp_path):
     assert index.describe(ix).first().description == f"Index-sampleRate:{rate}-extract:true" and index.serialized_size(ix).where("bytes <= 0").count() == 0
 
 
+@pytest.mark.parametrize("rate", [1, 32])
+def test_index_boundaries_and_tables(docs, rate, spark, monkeypatch):
+    """Records, slices at positions of a table, pattern tables: all from the index, against naive Python."""
+    monkeypatch.setattr(index, "LOOK", 3)
+    ix = index.build_index(docs, sample_rate=rate).cache()
+    asks = [(d, p) for d, t in enumerate(TEXTS) if t is not None for p in sorted({-1, 0, 1, 7, len(t) // 2, len(t) - 1, len(t)})]
+    at = spark.createDataFrame(asks + [(999, 0)], "doc_id long, pos long")
+    for b in ("a", " "):
+        for side in ("both", "left", "right"):
+            want = {}
+            for d, p in asks:
+                t = TEXTS[d]
+                if not 0 <= p < len(t):
+                    want[d, p] = None
+                elif t[p] == b:
+                    want[d, p] = ""
+                else:
+                    left, right = t[: p + 1].rpartition(b)[2], t[p + 1 :].partition(b)[0]
+                    want[d, p] = (left if side != "right" else "") + (right if side != "left" else "")
+            assert {(r.doc_id, r.pos): r.record for r in index.until_at(ix, at, b, side).collect()} == want
+    with pytest.raises(PySparkException, match="Requested position longer than index string"):
+        index.until_at(ix, at.where("pos > 0"), "a", strict=True).collect()
+    with pytest.raises(PySparkException, match="Boundary does not exist"):
+        index.until_at(ix, at.where("doc_id = 0 and pos = 0"), "\u2603", strict=True).collect()
+    cut = spark.createDataFrame([(d, p, p + 5) for d, p in asks] + [(0, None, 3), (0, 3, 2)], "doc_id long, start long, stop long")
+    for r in index.extract_at(ix, cut).collect():
+        t = TEXTS[r.doc_id]
+        assert r.text == (t[r.start : r.stop] if r.start is not None and 0 <= r.start <= r.stop <= len(t) else None)
+    places = lambda t, p: [i for i in range(len(t)) if t.startswith(p, i)]
+    made = [(1, "a"), (2, "ana"), (3, "ana"), (4, ""), (5, None), (6, "nowhere at all"), (7, " ")]
+    patterns = spark.createDataFrame(made, "pattern_id int, pattern string")
+    want = {(d, k): places(t, p) for d, t in enumerate(TEXTS) if t for k, p in made if p and p in t}
+    assert {(r.doc_id, r.pattern_id): r.n for r in index.count_table(ix, patterns).collect()} == {k: len(v) for k, v in want.items()}
+    got = index.locate_table(ix, patterns, limit=2, chars=4).collect()
+    assert Counter((r.doc_id, r.pattern_id, r.pos, r.extract) for r in got) == Counter((d, k, i, TEXTS[d][i : i + 4]) for (d, k), v in want.items() for i in v[:2])
+    assert index.locate_table(ix, patterns).count() == sum(map(len, want.values()))
+    assert index.count_table(ix, patterns.limit(0)).count() == 0
+    for side in ("both", "right"):
+        for r in index.grep(ix, "a", " ", side).collect():
+            t = TEXTS[r.doc_id]
+            start = r.pos if side == "right" else t.rfind(" ", 0, r.pos) + 1
+            assert r.record == t[start:].partition(" ")[0]
+
+
+def test_ranks(docs, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ranks, "STEP", 5)
+    monkeypatch.setattr(ranks, "TOGETHER", 3)
+    ranks.save_ranks(ranks.build_ranks(docs), str(tmp_path / "r"))
+    stored = ranks.load_ranks(spark, str(tmp_path / "r"))
+    asks = [(d, p, c) for d, t in enumerate(TEXTS) if t is not None for p in (-3, 0, 1, 4, 5, 6, len(t) // 2, len(t), len(t) + 9) for c in ("a", "zz", "\u2603", (t or "a")[-1])]
+    got = ranks.rank_at(stored, spark.createDataFrame(asks, "seq_id long, pos long, symbol string"))
+    assert Counter(map(tuple, got.collect())) == Counter((d, p, c, TEXTS[d][: max(0, p)].count(c) if len(c) == 1 else 0) for d, p, c in asks)
+    got = ranks.inverse_select_at(stored, spark.createDataFrame([x[:2] for x in asks], "seq_id long, pos long"))
+    inside = lambda d, p: 0 <= p < len(TEXTS[d])
+    assert Counter(map(tuple, got.collect())) == Counter((d, p, TEXTS[d][p] if inside(d, p) else None, TEXTS[d][:p].count(TEXTS[d][p]) if inside(d, p) else None) for d, p, _ in asks)
+    asks = [(d, c, i) for d, t in enumerate(TEXTS) if t is not None for c in ("a", "\u2603") for i in (0, 1, 2, t.count("a"), t.count("a") + 1)]
+    for r in ranks.select_at(stored, spark.createDataFrame(asks, "seq_id long, symbol string, i long")).collect():
+        found = [k for k, c in enumerate(TEXTS[r.seq_id]) if c == r.symbol]
+        assert r.pos == (found[r.i - 1] if 1 <= r.i <= len(found) else None)
+    whole = sequence.inverse_select_all(docs).collect()
+    assert Counter(map(tuple, whole)) == Counter((d, p, c, t[:p].count(c)) for d, t in enumerate(TEXTS) if t for p, c in enumerate(t))
+
+
+def test_stored_suffix_array(docs, spark, tmp_path):
+    suffix_index.save(suffix_index.build(docs), str(tmp_path / "s"))
+    stored = suffix_index.load(spark, str(tmp_path / "s"))
+    places = lambda t, p: sorted((i for i in range(len(t)) if t.startswith(p, i)), key=lambda i: t[i:])
+    for p in ("a", "ana", "\U0001f600", "\0", "not there"):
+        assert {r.doc_id: r.n for r in suffix_index.count(stored, p).collect()} == {d: len(places(t, p)) for d, t in enumerate(TEXTS) if t is not None}
+        assert Counter(map(tuple, suffix_index.locate(stored, p, 2).collect())) == Counter((d, i, k) for d, t in enumerate(TEXTS) if t for k, i in enumerate(places(t, p)[:2]))
+    with pytest.raises(ValueError):
+        suffix_index.count(stored, "")
+    stored.drop("format_version").withColumn("format_version", F.lit(7)).write.parquet(str(tmp_path / "old"))
+    with pytest.raises(ValueError, match="Expected version 1 but was 7"):
+        suffix_index.load(spark, str(tmp_path / "old"))
+
+
+def test_places_in_suffix_order():
+    import random
+
+    import numpy as np
+
+    r = random.Random(5)
+    for text in ("a" * 300, "ab" * 200, "".join(r.choice("ab") for _ in range(500)), "x" + "abcdefgh" * 40, "mississippi"):
+        codes = np.array([ord(c) for c in text], np.uint32)
+        for n in (1, 2, 5, 30, len(text) // 2):
+            places = r.sample(range(len(text)), min(n, len(text)))
+            assert suffixes.in_order(codes, places) == sorted(places, key=lambda i: text[i:])
+
+
+def test_transform_of_long_texts(docs):
+    naive = lambda t: sorted(range(len(t) + 1), key=lambda i: t[i:])
+    want = {d: naive(t) for d, t in enumerate(TEXTS) if t is not None}
+    assert {r.seq_id: r.bwt for r in transform.bwt(docs, mark="$").collect()} == {d: "".join("$" if i == 0 else TEXTS[d][i - 1] for i in order) for d, order in want.items()}
+    got = Counter((r.seq_id, r.sa_rank, r.pos, r.slot) for r in transform.suffix_samples(docs, 8).collect())
+    assert got == Counter((d, k, i, i // 8) for d, order in want.items() for k, i in enumerate(order) if i % 8 == 0)
+
+
+def test_saved_words(spark, tmp_path):
+    words = packing.pack(spark.createDataFrame([(1, k, k * k) for k in range(50)], "seq_id long, pos long, value long"), 13)
+    packing.save_words(words, str(tmp_path / "w"))
+    assert Counter(map(tuple, packing.load_words(spark, str(tmp_path / "w")).collect())) == Counter(map(tuple, words.collect()))
+
+
+def test_read_chunks(spark, tmp_path):
+    """Files larger than a block: chunks join to the text, and positions are those of the file."""
+    from textquarry.sources import texts
+
+    made = {"a.log": "".join(f"line {i} é\U0001f600 {'x' * (i % 50)}\n" for i in range(3000)), "b.log": "only\n", "c.log": "\n\n"}
+    for name, text in made.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        rows = texts.read_chunks(spark, str(tmp_path), 40).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len({(r.path, r.block) for r in rows}) > 4
+    for name, text in made.items():
+        mine = sorted((r for r in rows if r.path.endswith(name)), key=lambda r: r.base_pos)
+        assert "".join(r.text for r in mine) == text and all(text[r.base_pos :].startswith(r.text) and r.text.count("\n") <= 40 for r in mine)
+
+
 def test_index_refusals(docs, tmp_path):
     index.save_index(index.build_index(docs, extraction=False).withColumn("format_version", F.lit(9)), str(tmp_path / "i"))
-    with pytest.raises(ValueError, match="Incompatible serial versions! Expected version 1 but was 9."):
+    with pytest.raises(ValueError, match="Incompatible serial versions! Expected version 2 but was 9."):
         index.load_index(docs.sparkSession, str(tmp_path / "i"))
     with pytest.raises(PySparkException, match="Text recovery not enabled at build time"):
         index.extract(index.build_index(docs, extraction=False), 0).collect()

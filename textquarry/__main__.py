@@ -7,6 +7,7 @@ import sys
 
 def main(args: list[str]) -> int:
     if len(args) < 2:
+        # fixed value: the message that callers match
         raise ValueError("Error: Please use parameters:\n<input file> <sample rate>")
     from pyspark.sql import SparkSession
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The messages of strict mode in this module are fixed values that callers match.
+
 
 def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c

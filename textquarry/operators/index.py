@@ -1,12 +1,15 @@
 """A compressed, versioned index for each document that answers count, locate and extract without the text.
 
-One row per document: the Burrows-Wheeler transform as codes in order of first appearance (0 is the end mark), the
-alphabet, and samples of the suffix array. Rows are independent, so indexes are built, stored and searched as any other
-table; Parquet compresses the transform's runs. Documents whose text is NULL have no index.
+One row per document: the Burrows-Wheeler transform as codes in order of first appearance (0 is the end mark), with how
+often each code stands before every checkpoint (:mod:`ranks`), the alphabet, and samples of the suffix array. Opening a row
+copies and sorts nothing: a pattern of m symbols costs 2 m ranks, a location at most ``sample_rate`` steps, a slice as many
+for all its stretches together. Rows are independent, so indexes are built, stored and searched as any other table; a
+query reads only the columns that it needs. Documents whose text is NULL have no index.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,34 +18,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.operators import suffixes
+from textquarry.operators.ranks import Ranks, asked
+from textquarry.operators.search import sliced
+from textquarry.sources import tables
+from textquarry.sources.tables import check_version  # noqa: F401
 
-FORMAT_VERSION = 1
+FORMAT_VERSION = 2
 SAMPLE_RATE = 32
 _SCHEMA = (
     "format_version int, sample_rate int, extraction boolean, input_length long, alphabet_length long, alphabet string, "
-    "bwt binary, sampled_rows binary, sampled_positions binary, content_hash long"
+    "bwt binary, checkpoints binary, sampled_rows binary, sampled_positions binary, position_rows binary, content_hash long"
 )
-_TYPES = [pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+_TYPES = [pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+#: Columns that a count reads; a location reads the samples as well, an extraction the rows of sampled positions.
+COUNTED = ["input_length", "alphabet", "bwt", "checkpoints"]
+LOCATED = [*COUNTED, "sample_rate", "sampled_rows", "sampled_positions"]
+EXTRACTED = [*COUNTED, "sample_rate", "extraction", "position_rows"]
+#: Symbols that an extraction up to a boundary first looks at; twice as many each time after.
+LOOK = 64
 
 
 def build_row(text: str, rate: int, extraction: bool) -> tuple:
     codes, alphabet = suffixes.first_appearance(suffixes.code_points(text))
     order = suffixes.suffix_array(codes)
     column = suffixes.bwt_codes(codes, order)
+    stored, checkpoints = Ranks.stored(column, len(alphabet) + 1)
     rows = np.flatnonzero(order % rate == 0)
-    kind = np.uint8 if len(alphabet) < 256 else np.uint16 if len(alphabet) < 65536 else np.uint32
-    stored = column.astype(f"<u{np.dtype(kind).itemsize}").tobytes()
+    at = np.empty(len(rows), np.int64)
+    at[order[rows] // rate] = rows
     symbols = suffixes.to_text(alphabet)
-    import zlib
-
-    return FORMAT_VERSION, rate, extraction, len(codes) + 1, len(set(symbols) | {"\0"}), symbols, stored, rows.astype("<u4").tobytes(), order[rows].astype("<u4").tobytes(), zlib.crc32(stored, zlib.crc32(symbols.encode("utf-8", "surrogatepass")))
+    digest = zlib.crc32(stored, zlib.crc32(symbols.encode("utf-8", "surrogatepass")))
+    return FORMAT_VERSION, rate, extraction, len(codes) + 1, len(set(symbols) | {"\0"}), symbols, stored, checkpoints, rows.astype("<u4").tobytes(), order[rows].astype("<u4").tobytes(), at.astype("<u4").tobytes() if extraction else None, digest
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_rate: int = SAMPLE_RATE, extraction: bool = True) -> DataFrame:
     """The index table; the sample rate trades size for the steps of a location and never changes an answer."""
     if sample_rate < 1:
         raise ValueError("the sample rate is at least 1")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null").repartition("doc_id")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null").repartition(F.xxhash64("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", *[c.split()[0] for c in _SCHEMA.split(", ")]]
@@ -54,46 +67,42 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sam
 
 
 def save_index(index: DataFrame, path: str) -> None:
-    index.write.parquet(path)
-
-
-def check_version(expected: int, found: int) -> None:
-    if expected != found:
-        raise ValueError(f"Incompatible serial versions! Expected version {expected} but was {found}.")
+    tables.save(index, path, FORMAT_VERSION)
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:
     """Refuses an index of another format version."""
-    index = spark.read.parquet(path)
-    for r in index.select("format_version").distinct().collect():
-        check_version(FORMAT_VERSION, r["format_version"])
-    return index
+    return tables.load(spark, path, FORMAT_VERSION)
 
 
 class Index:
     """One document's index, opened."""
 
     def __init__(self, row: dict):
-        self.alphabet = row["alphabet"]
-        n = row["input_length"]
-        self.column = np.frombuffer(row["bwt"], f"<u{len(row['bwt']) // n}").astype(np.int64)
-        self.rate, self.extraction, self.n = row["sample_rate"], row["extraction"], n - 1
-        self.rows, self.positions = (np.frombuffer(row[c], "<u4").astype(np.int64) for c in ("sampled_rows", "sampled_positions"))
-        by = np.argsort(self.column, kind="stable")
-        self.by_code = by
-        self.first = np.searchsorted(self.column[by], np.arange(len(self.alphabet) + 2))
-        self._lf = None
-
-    @property
-    def lf(self) -> np.ndarray:
-        if self._lf is None:
-            self._lf = np.empty(len(self.column), np.int64)
-            self._lf[self.by_code] = np.arange(len(self.column))
-        return self._lf
-
-    def rank(self, code: int, row: int) -> int:
-        """Occurrences of ``code`` in the transform before ``row``."""
-        return int(np.searchsorted(self.by_code[self.first[code] : self.first[code + 1]], row))
+        self.alphabet, n = row["alphabet"], row["input_length"]
+        self.ranks = Ranks(row["bwt"], row["checkpoints"], n)
+        self.column, self.n = self.ranks.codes, n - 1
+        totals = self.ranks.before[-1].astype(np.int64)
+        self.first = np.cumsum(totals) - totals
+        self.rate, self.extraction = row.get("sample_rate"), row.get("extraction", False)
+        self.rows, self.positions, self.position_rows = (np.frombuffer(row[c], "<u4").astype(np.int64) if row.get(c) is not None else None for c in ("sampled_rows", "sampled_positions", "position_rows"))
+        self._lf, self._spent, self._text, self._slices = None, 0, None, 0
+
+    def before(self, rows: np.ndarray) -> np.ndarray:
+        """The rows of the suffixes one symbol longer."""
+        if self._lf is not None:
+            return self._lf[rows]
+        codes = self.column[rows]
+        return self.first[codes] + self.ranks.rank_many(codes, rows)
+
+    def _prepare(self, rows: int) -> None:
+        """Once the steps asked for have cost what a sort of the transform does, all rows are taken from one. In
+        microseconds, a round of steps takes some twenty and half of one for each row, the sort a tenth for each symbol."""
+        self._spent += 20 * self.rate + rows // 2
+        if self._lf is None and 10 * self._spent > len(self.column):
+            order = np.argsort(self.column, kind="stable")
+            self._lf = np.empty(len(order), np.int64)
+            self._lf[order] = np.arange(len(order))
 
     def range(self, pattern: str) -> tuple[int, int]:
         """Rows of the suffixes that begin with the pattern: backward search."""
@@ -104,10 +113,11 @@ class Index:
             code = self.alphabet.find(c) + 1
             if not code:
                 return 0, 0
-            low, high = self.first[code] + self.rank(code, low), self.first[code] + self.rank(code, high)
+            start = int(self.first[code])
+            low, high = start + self.ranks.rank(code, low), start + self.ranks.rank(code, high)
             if low >= high:
                 return 0, 0
-        return int(low), int(high)
+        return low, high
 
     def count(self, pattern: str) -> int:
         low, high = self.range(pattern)
@@ -119,20 +129,23 @@ class Index:
         if order == "code" and limit is not None:
             high = min(high, low + limit)
         at, out = np.arange(low, high), np.full(high - low, -1)
-        known = np.full(len(self.column), -1)
-        known[self.rows] = self.positions
+        self._prepare((high - low) * self.rate // 2)
         open_, steps = np.arange(high - low), 0
         while len(open_):
-            found = known[at[open_]]
-            out[open_] = np.where(found >= 0, found + steps, out[open_])
-            open_ = open_[found < 0]
-            at[open_] = self.lf[at[open_]]
+            here = at[open_]
+            place = np.minimum(np.searchsorted(self.rows, here), len(self.rows) - 1)
+            known = self.rows[place] == here
+            out[open_[known]] = self.positions[place[known]] + steps
+            open_ = open_[~known]
+            at[open_] = self.before(at[open_])
             steps += 1
         out = out.tolist()
         return out if order == "code" else sorted(out)[:limit]
 
     def extract(self, start: int, stop: int) -> str:
-        """``text[start:stop)``: the stretches between sampled positions are decoded side by side."""
+        """``text[start:stop)``: the stretches between sampled positions are decoded side by side. Many slices of one text
+        take the whole of it from the index once."""
+        # fixed values: the messages that callers match
         if not self.extraction:
             raise ValueError("Text recovery not enabled at build time")
         if start < 0:
@@ -141,44 +154,151 @@ class Index:
             raise ValueError("Stop position longer than index string")
         if stop <= start:
             return ""
+        if self._text is None:
+            # a slice takes rate rounds however short it is, so after so many of them the whole text costs no more
+            self._slices += 1
+            if self._slices * 512 * self.rate < self.n:
+                return self._decoded(start, stop)
+            self._text = self._decoded(0, self.n)
+        return self._text[start:stop]
+
+    def _decoded(self, start: int, stop: int) -> str:
         begins = np.arange(start // self.rate * self.rate, stop, self.rate)
         ends = np.minimum(begins + self.rate, self.n)
-        row_of = dict(zip(self.positions.tolist(), self.rows.tolist(), strict=True))
-        rows = np.array([row_of[e] if e in row_of and e != self.n else 0 for e in ends.tolist()])  # row 0 is the empty suffix
+        self._prepare(stop - start)
+        # row 0 is the empty suffix
+        rows = np.where(ends == self.n, 0, self.position_rows[np.minimum(ends // self.rate, len(self.position_rows) - 1)])
         out = np.zeros((len(begins), self.rate), np.int64)
         for j in range(1, self.rate + 1):
-            live = ends - j >= begins
-            out[np.flatnonzero(live), (ends - j - begins)[live]] = self.column[rows[live]]
-            rows[live] = self.lf[rows[live]]
+            live = np.flatnonzero(ends - j >= begins)
+            if not len(live):
+                break
+            out[live, (ends - j - begins)[live]] = self.column[rows[live]]
+            rows[live] = self.before(rows[live])
         codes = out.ravel()[start - begins[0] : stop - begins[0]]
         return suffixes.to_text(suffixes.code_points(self.alphabet)[codes - 1])
 
-
-def _asked(index: DataFrame, ask, columns: str, kinds: list[pa.DataType]) -> DataFrame:
+    def until(self, position: int, boundary: str, side: str = "both", strict: bool = False) -> str | None:
+        """What stands around a position up to the boundary symbol or the text's ends; ``left`` up to and with the position,
+        ``right`` from the next on. Empty where the boundary stands there itself; None outside the text, or an error."""
+        if strict and not 0 <= position < self.n:
+            raise ValueError("Requested position less than 0" if position < 0 else "Requested position longer than index string")
+        if strict and boundary not in self.alphabet:
+            raise ValueError("Boundary does not exist")
+        if not 0 <= position < self.n:
+            return None
+        here = self.extract(position, position + 1)
+        if here == boundary:
+            return ""
+        left = right = ""
+        if side != "right":
+            stop, look, left = position, LOOK, here
+            while stop > 0:
+                part = self.extract(max(0, stop - look), stop)
+                cut = part.rfind(boundary)
+                left = part[cut + 1 :] + left
+                stop, look = (0 if cut >= 0 else max(0, stop - look)), 2 * look
+        if side != "left":
+            start, look = position + 1, LOOK
+            while start < self.n:
+                part = self.extract(start, min(self.n, start + look))
+                cut = part.find(boundary)
+                right += part if cut < 0 else part[:cut]
+                start, look = (self.n if cut >= 0 else start + look), 2 * look
+        return left + right
+
+
+def _answers(index: DataFrame, ask, needed: list[str], columns: str, kinds: list[pa.DataType]) -> DataFrame:
+    """doc_id and the rows that ``ask`` gives for each opened index."""
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, row in enumerate(batch.to_pylist()):
-                made = ask(Index(row))
-                if made:
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([k] * len(made))), *[pa.array([m[j] for m in made], kind) for j, kind in enumerate(kinds)]], names=["doc_id", *names])
+            which, held = [], []
+            for k in range(batch.num_rows):
+                made = ask(Index({c: batch.column(c)[k].as_py() for c in needed}))
+                which += [k] * len(made)
+                held += made
+                if len(held) > 20_000:
+                    yield batch_of(batch, which, held)
+                    which, held = [], []
+            yield batch_of(batch, which, held)
+
+    def batch_of(batch, which, held) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(which, pa.int64())), *[pa.array([m[j] for m in held], kind) for j, kind in enumerate(kinds)]], names=["doc_id", *names])
 
-    return index.mapInArrow(run, f"doc_id {index.schema['doc_id'].dataType.simpleString()}, {columns}")
+    return index.select("doc_id", *needed).mapInArrow(run, f"doc_id {index.schema['doc_id'].dataType.simpleString()}, {columns}")
 
 
 def count(index: DataFrame, patterns: list[str]) -> DataFrame:
     """(doc_id, pattern, n) of patterns that occur."""
-    return _asked(index, lambda i: [(p, n) for p in patterns if (n := i.count(p))], "pattern string, n long", [pa.string(), pa.int64()])
+    return _answers(index, lambda i: [(p, n) for p in patterns if (n := i.count(p))], COUNTED, "pattern string, n long", [pa.string(), pa.int64()])
 
 
 def locate(index: DataFrame, pattern: str, limit: int | None = None, order: str = "position") -> DataFrame:
-    return _asked(index, lambda i: [(x,) for x in i.locate(pattern, limit, order)], "pos long", [pa.int64()])
+    return _answers(index, lambda i: [(x,) for x in i.locate(pattern, limit, order)], LOCATED, "pos long", [pa.int64()])
 
 
 def extract(index: DataFrame, start: int, stop: int | None = None) -> DataFrame:
     """(doc_id, text) of the slice, up to the end where ``stop`` is None or beyond."""
-    return _asked(index, lambda i: [(i.extract(min(start, i.n), i.n if stop is None else min(stop, i.n)),)], "text string", [pa.string()])
+    return _answers(index, lambda i: [(i.extract(min(start, i.n), i.n if stop is None else min(stop, i.n)),)], EXTRACTED, "text string", [pa.string()])
+
+
+def _of_table(index: DataFrame, patterns: DataFrame, pattern_id: str, pattern: str, needed: list[str], ask, columns: str, kinds: list[pa.DataType]) -> DataFrame:
+    """What ``ask(index, pattern)`` gives for each pattern of a table, which is broadcast in slices of bounded size."""
+    spark, out = index.sparkSession, None
+    kind = patterns.schema[pattern_id].dataType.simpleString()
+    ids = pa.array([], pa.int64()) if kind == "bigint" else pa.array([], pa.int32()) if kind == "int" else pa.array([], pa.string())
+    for some in sliced(patterns, pattern_id, pattern):
+        sent = spark.sparkContext.broadcast(some)
+        part = _answers(index, lambda i, sent=sent: [(k, *m) for k, p in sent.value for m in ask(i, p)], needed, f"pattern_id {kind}, {columns}", [ids.type, *kinds])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def count_table(index: DataFrame, patterns: DataFrame, pattern_id: str = "pattern_id", pattern: str = "pattern") -> DataFrame:
+    """(doc_id, pattern_id, n) of the patterns that occur; ids are integers or strings, empty and null patterns are passed over."""
+    return _of_table(index, patterns, pattern_id, pattern, COUNTED, lambda i, p: [(n,)] if (n := i.count(p)) else [], "n long", [pa.int64()])
+
+
+def locate_table(index: DataFrame, patterns: DataFrame, limit: int | None = None, chars: int | None = None, pattern_id: str = "pattern_id", pattern: str = "pattern") -> DataFrame:
+    """(doc_id, pattern_id, pos) of the first ``limit`` matches of each pattern; with ``chars`` also extract, so many symbols from there on."""
+    if chars is None:
+        return _of_table(index, patterns, pattern_id, pattern, LOCATED, lambda i, p: [(x,) for x in i.locate(p, limit)], "pos long", [pa.int64()])
+    ask = lambda i, p: [(x, i.extract(x, min(i.n, x + chars))) for x in i.locate(p, limit)]
+    return _of_table(index, patterns, pattern_id, pattern, list(dict.fromkeys(LOCATED + EXTRACTED)), ask, "pos long, extract string", [pa.int64(), pa.string()])
+
+
+def grep(index: DataFrame, pattern: str, boundary: str = "\n", side: str = "both", limit: int | None = None) -> DataFrame:
+    """(doc_id, pos, record): what stands around each match up to the boundary. ``right`` gives the text from the match on,
+    as a value after its key."""
+    def ask(i: Index) -> list[tuple]:
+        found = i.locate(pattern, limit)
+        if side != "right":
+            return [(x, i.until(x, boundary, side)) for x in found]
+        return [(x, "" if (c := i.extract(x, x + 1)) == boundary else c + i.until(x, boundary, side)) for x in found]
+
+    return _answers(index, ask, list(dict.fromkeys(LOCATED + EXTRACTED)), "pos long, record string", [pa.int64(), pa.string()])
+
+
+def extract_at(index: DataFrame, at: DataFrame) -> DataFrame:
+    """at(doc_id, start, stop) with the text of each slice; NULL where it is not within the text."""
+
+    def answer(row: dict, questions: list[tuple]) -> list[tuple]:
+        i = Index(row)
+        return [(i.extract(a, b) if a is not None and b is not None and 0 <= a <= b <= i.n else None,) for a, b in questions]
+
+    return asked(index.select("doc_id", *EXTRACTED), at, "doc_id", ["start", "stop"], answer, "text string", [pa.string()])
+
+
+def until_at(index: DataFrame, at: DataFrame, boundary: str, side: str = "both", strict: bool = False) -> DataFrame:
+    """at(doc_id, pos) with the record around each position; see :meth:`Index.until`."""
+
+    def answer(row: dict, questions: list[tuple]) -> list[tuple]:
+        i = Index(row)
+        return [(i.until(p, boundary, side, strict),) for (p,) in questions]
+
+    return asked(index.select("doc_id", *EXTRACTED), at.where("pos is not null"), "doc_id", ["pos"], answer, "record string", [pa.string()])
 
 
 def describe(index: DataFrame) -> DataFrame:
@@ -187,4 +307,5 @@ def describe(index: DataFrame) -> DataFrame:
 
 def serialized_size(index: DataFrame) -> DataFrame:
     """Bytes of each index before the file format's compression."""
-    return index.select("doc_id", sum(F.octet_length(c) for c in ("bwt", "sampled_rows", "sampled_positions", "alphabet")).cast("long").alias("bytes"))
+    columns = ("bwt", "checkpoints", "sampled_rows", "sampled_positions", "position_rows", "alphabet")
+    return index.select("doc_id", sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in columns).cast("long").alias("bytes"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textquarry.functions.text import low_bits, min_bits
+from textquarry.sources import tables
+
+FORMAT_VERSION = 1
 
 
 def _words(placed: DataFrame) -> DataFrame:
@@ -80,3 +83,12 @@ def packed_bit_rank(words: DataFrame, at: DataFrame) -> DataFrame:
 
 def packed_size(words: DataFrame) -> DataFrame:
     return words.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_words"), (F.count(F.lit(1)) * 8).alias("size_in_bytes"))
+
+
+def save_words(words: DataFrame, path: str) -> None:
+    """Words with their format version."""
+    tables.save(words, path, FORMAT_VERSION)
+
+
+def load_words(spark: SparkSession, path: str) -> DataFrame:
+    return tables.load(spark, path, FORMAT_VERSION).drop("format_version")

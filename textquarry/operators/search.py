@@ -51,12 +51,9 @@ def locate_all(docs: DataFrame, pattern: str, doc_id: str = "doc_id", text: str
             index, pos, rank = [], [], []
             for k, t in enumerate(batch.column("text").to_pylist()):
                 found = find_all(t, pattern)
-                if order == "suffix":
-                    found.sort(key=lambda i: t[i:])  # noqa: B023
-                elif order == "code":
-                    codes = suffixes.first_appearance(suffixes.code_points(t))[0]
-                    place = {p: r for r, p in enumerate(suffixes.suffix_array(codes).tolist())}
-                    found.sort(key=place.__getitem__)
+                if order != "position" and len(found) > 1:
+                    points = suffixes.code_points(t)
+                    found = suffixes.in_order(suffixes.first_appearance(points)[0] if order == "code" else points, found)
                 found = found[:limit]
                 index += [k] * len(found)
                 pos += found
@@ -134,21 +131,27 @@ def _counter(patterns: list[tuple[object, str]]):
     return count
 
 
-def multi_pattern_count(docs: DataFrame, patterns: DataFrame, doc_id: str = "doc_id", text: str = "text", pattern_id: str = "pattern_id", pattern: str = "pattern", slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """(doc_id, pattern_id, n) where n > 0: each text is scanned once for all patterns of a slice of the pattern table."""
-    spark = docs.sparkSession
-    slices, held = [[]], 0
+def sliced(patterns: DataFrame, pattern_id: str, pattern: str, slice_bytes: int = SLICE_BYTES) -> Iterator[list[tuple[object, str]]]:
+    """The pattern table in slices of bounded size, one at a time; one empty slice if there is no pattern."""
+    some, held, any_ = [], 0, False
     for r in patterns.select(F.col(pattern_id).alias("i"), F.col(pattern).alias("p")).where("length(p) > 0").toLocalIterator():
         size = len(r["p"].encode())
-        if slices[-1] and held + size > slice_bytes:
-            slices.append([])
-            held = 0
-        slices[-1].append((r["i"], r["p"]))
+        if some and held + size > slice_bytes:
+            yield some
+            some, held, any_ = [], 0, True
+        some.append((r["i"], r["p"]))
         held += size
+    if some or not any_:
+        yield some
+
+
+def multi_pattern_count(docs: DataFrame, patterns: DataFrame, doc_id: str = "doc_id", text: str = "text", pattern_id: str = "pattern_id", pattern: str = "pattern", slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """(doc_id, pattern_id, n) where n > 0: each text is scanned once for all patterns of a slice of the pattern table."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
     out = None
     id_type, pattern_type = rows.schema["doc_id"].dataType.simpleString(), patterns.schema[pattern_id].dataType.simpleString()
-    for some in slices:
+    for some in sliced(patterns, pattern_id, pattern, slice_bytes):
         sent = spark.sparkContext.broadcast(some)  # at most slice_bytes, or one pattern
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -41,6 +41,21 @@ def inverse_select(symbols: DataFrame) -> DataFrame:
     return symbols.withColumn("rank", (F.row_number().over(W.partitionBy("seq_id", "symbol").orderBy("pos")) - 1).cast("long"))
 
 
+def inverse_select_all(docs: DataFrame, seq_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(seq_id, pos, symbol, rank) of every position, a document at a time, without a shuffle."""
+
+    def make(t: str):
+        points = suffixes.code_points(t)
+        by = np.argsort(points, kind="stable")
+        ordered = points[by]
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(by) else by
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
+        return np.arange(len(by)), list(t), rank
+
+    return per_document(docs, seq_id, text, make, [("pos", "long", pa.int64()), ("symbol", "string", pa.string()), ("rank", "long", pa.int64())])
+
+
 def symbol_histogram(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(T.symbols(text)).alias("symbol")).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
 

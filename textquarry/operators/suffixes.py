@@ -31,6 +31,35 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
         h *= 2
 
 
+def in_order(codes: np.ndarray, places: list[int]) -> list[int]:
+    """The places in the order of the suffixes that begin there. Few are told apart by windows that double while any tie;
+    beyond an eighth of the sequence its suffix array is as cheap."""
+    n, at = len(codes), np.array(places)
+    if 8 * len(at) > n:
+        place = np.empty(n + 1, np.int64)
+        place[suffix_array(codes)] = np.arange(n + 1)
+        return at[np.argsort(place[at])].tolist()
+    rank, open_, look, skip = np.zeros(len(at), np.int64), np.arange(len(at)), 16, 0
+    while len(open_):
+        if look * len(open_) > 8 * n:  # long repeats
+            place = np.empty(n + 1, np.int64)
+            place[suffix_array(codes)] = np.arange(n + 1)
+            return at[np.argsort(place[at])].tolist()
+        spot = at[open_, None] + skip + np.arange(look)
+        window = np.where(spot < n, codes[np.minimum(spot, n - 1)].astype(np.int64), -1)
+        # groups that tie so far are divided by their windows; a rank is the group's first place
+        by = np.lexsort((*window.T[::-1], rank[open_]))
+        ordered, group = window[by], rank[open_][by]
+        new = np.append(True, (group[1:] != group[:-1]) | (ordered[1:] != ordered[:-1]).any(axis=1))
+        first = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
+        opened = np.maximum.accumulate(np.where(np.append(True, group[1:] != group[:-1]), np.arange(len(by)), 0))
+        rank[open_[by]] = group + first - opened
+        size = np.diff(np.append(np.flatnonzero(new), len(by)))
+        open_ = open_[by][np.repeat(size, size) > 1]
+        skip, look = skip + look, 2 * look
+    return at[np.argsort(rank)].tolist()
+
+
 def first_appearance(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes 1.. in order of first appearance, and the symbols in that order."""
     symbols, first, which = np.unique(points, return_index=True, return_inverse=True)

@@ -49,10 +49,17 @@ def suffix_array(docs: DataFrame, seq_id: str = "doc_id", text: str = "text") ->
 
 
 def suffix_samples(docs: DataFrame, rate: int, seq_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of the suffix array whose position is a multiple of ``rate``, with the slot by position."""
+    """(seq_id, sa_rank, pos, slot): the rows of the suffix array whose position is a multiple of ``rate``, with the slot by
+    position. The others never leave the function."""
     if rate < 1:
         raise ValueError("the sample rate is at least 1")
-    return suffix_array(docs, seq_id, text).where(F.col("pos") % rate == 0).withColumn("slot", F.floor(F.col("pos") / rate))
+
+    def make(t: str):
+        order = suffixes.suffix_array(suffixes.code_points(t))
+        rows = np.flatnonzero(order % rate == 0)
+        return rows, order[rows], order[rows] // rate
+
+    return per_document(docs, seq_id, text, make, [_RANK, _POS, ("slot", "long", pa.int64())], deal=True)
 
 
 def bwt(docs: DataFrame, seq_id: str = "doc_id", text: str = "text", mark: str = "\0") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as T
-from textquarry.operators import index, packing, search, sequence, transform
+from textquarry.operators import index, packing, ranks, search, sequence, suffix_index, transform
+from textquarry.sources.tables import fresh_path
 
 #: A pattern whose matches may overlap, and one whose matches cannot.
 OVERLAPPING, LITERAL = "anan", "tion"
@@ -31,6 +32,31 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
 
 
+#: Stored forms by application, table and kind: written once, then read by every query over them.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf: str, kind: str, build: Callable[[], DataFrame], save, load) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _STORED:
+        path = fresh_path(spark, kind)
+        save(build(), path)
+        _STORED[key] = path
+    return load(spark, _STORED[key])
+
+
+def _index(spark: SparkSession, sf: str) -> DataFrame:
+    return _stored(spark, sf, "index", lambda: index.build_index(_docs(spark, sf)), index.save_index, index.load_index)
+
+
+def _suffixes(spark: SparkSession, sf: str) -> DataFrame:
+    return _stored(spark, sf, "suffixes", lambda: suffix_index.build(_docs(spark, sf)), suffix_index.save, suffix_index.load)
+
+
+def _ranks(spark: SparkSession, sf: str) -> DataFrame:
+    return _stored(spark, sf, "ranks", lambda: ranks.build_ranks(_docs(spark, sf)), ranks.save_ranks, ranks.load_ranks)
+
+
 def _parts(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name")
 
@@ -103,22 +129,33 @@ def locate_limit(spark, sf):
     return search.locate_all(_docs(spark, sf), LITERAL, limit=2).select("doc_id", "pos")
 
 
-@query("""WITH c AS (SELECT p_partkey, p_name, array_to_string(list_transform(string_split(p_name, ''), lambda c: chr(CAST(64 + instr(p_name, c) AS INT))), '') AS code FROM part WHERE length(p_name) > 0),
-m AS (SELECT p_partkey AS doc_id, p_name, code, unnest(range(0, length(p_name))) AS pos FROM c),
-r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY substr(code, pos + 1)) - 1 AS match_no FROM m WHERE substr(p_name, pos + 1, 1) = 'e')
-SELECT doc_id, pos, CAST(match_no AS BIGINT) AS match_no FROM r WHERE match_no < 2""")
+#: SQL: a text over codes in order of first appearance; no code is a surrogate.
+_CODED = "array_to_string(list_transform(string_split(text, ''), lambda c: chr(CAST(CASE WHEN instr(text, c) < 55000 THEN 64 + instr(text, c) ELSE 3000 + instr(text, c) END AS INT))), '')"
+
+
+@query(f"""{_MATCHES}, c AS (SELECT doc_id, {_CODED} AS code FROM documents WHERE contains(text, '{LITERAL}')),
+r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY substr(code, pos + 1)) - 1 AS k FROM hit JOIN c USING (doc_id))
+SELECT doc_id, pos, CAST(k AS BIGINT) AS match_no FROM r WHERE k < 2""")
 def locate_topk(spark, sf):
-    return search.locate_all(_parts(spark, sf), "e", "p_partkey", "p_name", limit=2, order="code")
+    return search.locate_all(_docs(spark, sf), LITERAL, limit=2, order="code")
 
 
-@query("SELECT p_partkey, CAST(len(string_split(p_name, 'l')) - 1 AS BIGINT) AS n FROM part")
+@query(f"SELECT doc_id, CAST(len(string_split(text, '{LITERAL}')) - 1 AS BIGINT) AS n FROM documents WHERE text IS NOT NULL")
 def sa_count(spark, sf):
-    return _parts(spark, sf).select("p_partkey", T.count_overlapping("p_name", "l").alias("n"))
+    return suffix_index.count(_suffixes(spark, sf), LITERAL)
+
 
+_BY_SUFFIX = _MATCHES + ", r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY substr(text, pos + 1)) - 1 AS k FROM hit)"
 
-@query(_SUFFIXES + ", r AS (SELECT seq_id AS doc_id, pos, row_number() OVER (PARTITION BY seq_id ORDER BY sa_rank) - 1 AS match_no FROM sa WHERE substr(t, pos + 1, 1) = 'l') SELECT doc_id, pos, CAST(match_no AS BIGINT) AS match_no FROM r WHERE match_no < 2")
+
+@query(_BY_SUFFIX + " SELECT doc_id, pos, CAST(k AS BIGINT) AS match_no FROM r WHERE k < 2")
 def sa_locate_topk(spark, sf):
-    return search.locate_all(_parts(spark, sf), "l", "p_partkey", "p_name", limit=2, order="suffix")
+    return suffix_index.locate(_suffixes(spark, sf), LITERAL, limit=2)
+
+
+@query(_BY_SUFFIX + " SELECT doc_id, pos, CAST(k AS BIGINT) AS match_no FROM r")
+def locate_suffix_order(spark, sf):
+    return search.locate_all(_docs(spark, sf), LITERAL, order="suffix")
 
 
 @query("SELECT doc_id, CAST(len(string_split(text, 'é')) - 1 AS BIGINT) AS n FROM documents")
@@ -177,19 +214,77 @@ def extract_key_value(spark, sf):
 
 @query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
 def roundtrip_text(spark, sf):
-    return index.extract(index.build_index(_docs(spark, sf)), 0)
+    return index.extract(_index(spark, sf), 0)
 
 
 # -- index --------------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT doc_id, 1 AS format_version, 32 AS sample_rate, CAST(length(text) + 1 AS BIGINT) AS input_length,
-CAST(len(list_distinct(string_split(text, ''))) + 1 AS BIGINT) AS alphabet_length, CAST(length(text) // 32 + 1 AS BIGINT) AS n_samples FROM documents WHERE text <> ''""")
+_ALPHABET = "CASE WHEN text = '' THEN 1 ELSE CAST(len(list_distinct(string_split(text, ''))) + 1 AS BIGINT) END"
+
+
+@query(f"""SELECT doc_id, 2 AS format_version, 32 AS sample_rate, CAST(length(text) + 1 AS BIGINT) AS input_length,
+{_ALPHABET} AS alphabet_length, CAST(length(text) // 32 + 1 AS BIGINT) AS n_samples FROM documents WHERE text IS NOT NULL""")
 def index_meta(spark, sf):
-    built = index.build_index(_docs(spark, sf).where("text <> ''"))
+    built = index.build_index(_docs(spark, sf))
     return built.select("doc_id", "format_version", "sample_rate", "input_length", "alphabet_length", (F.octet_length("sampled_rows") / 4).cast("long").alias("n_samples"))
 
 
+@query(f"SELECT doc_id, CAST(len(string_split(text, '{LITERAL}')) - 1 AS BIGINT) AS n FROM documents WHERE contains(text, '{LITERAL}')")
+def saved_index_count(spark, sf):
+    return index.count(_index(spark, sf), [LITERAL]).select("doc_id", "n")
+
+
+@query(_MATCHES + " SELECT doc_id, pos FROM hit")
+def saved_index_locate(spark, sf):
+    return index.locate(_index(spark, sf), LITERAL)
+
+
+@query("SELECT doc_id, CAST(100 AS BIGINT) AS start, CAST(164 AS BIGINT) AS stop, CASE WHEN length(text) >= 164 THEN substr(text, 101, 64) END AS text FROM documents WHERE text IS NOT NULL")
+def index_extract_range(spark, sf):
+    at = _docs(spark, sf).select("doc_id", F.lit(100).cast("long").alias("start"), F.lit(164).cast("long").alias("stop"))
+    return index.extract_at(_index(spark, sf), at)
+
+
+def _until(spark, sf, side):
+    at = _docs(spark, sf).select("doc_id", F.lit(300).cast("long").alias("pos"))
+    return index.until_at(_index(spark, sf), at, "\n", side).select("doc_id", "record")
+
+
+@query(f"SELECT doc_id, CASE WHEN length(text) <= 300 THEN NULL WHEN c = chr(10) THEN '' ELSE l[-1] || c || r[1] END AS record FROM ({_PIECES}) WHERE text IS NOT NULL")
+def index_extract_until_boundary(spark, sf):
+    return _until(spark, sf, "both")
+
+
+@query(f"SELECT doc_id, CASE WHEN length(text) <= 300 THEN NULL WHEN c = chr(10) THEN '' ELSE l[-1] || c END AS record FROM ({_PIECES}) WHERE text IS NOT NULL")
+def index_extract_boundary_left(spark, sf):
+    return _until(spark, sf, "left")
+
+
+@query(f"SELECT doc_id, CASE WHEN length(text) <= 300 THEN NULL WHEN c = chr(10) THEN '' ELSE r[1] END AS record FROM ({_PIECES}) WHERE text IS NOT NULL")
+def index_extract_boundary_right(spark, sf):
+    return _until(spark, sf, "right")
+
+
+@query(_MATCHES + " SELECT doc_id, pos, string_split(substr(text, 1, pos), chr(10))[-1] || string_split(substr(text, pos + 1), chr(10))[1] AS record FROM hit")
+def index_grep_records(spark, sf):
+    return index.grep(_index(spark, sf), LITERAL)
+
+
+def _items(spark, sf):
+    return spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("pattern_id"), F.col("text").alias("pattern"))
+
+
+@query("SELECT doc_id, item_id AS pattern_id, CAST(len(string_split(d.text, b.text)) - 1 AS BIGINT) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def index_pattern_table_count(spark, sf):
+    return index.count_table(_index(spark, sf), _items(spark, sf))
+
+
+@query("SELECT doc_id, item_id AS pattern_id, CAST(instr(d.text, b.text) - 1 AS BIGINT) AS pos, substr(d.text, instr(d.text, b.text), 64) AS extract FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def index_pattern_table_extract(spark, sf):
+    return index.locate_table(_index(spark, sf), _items(spark, sf), limit=1, chars=64)
+
+
 @query(f"SELECT doc_id, CAST(len(string_split(text, '{LITERAL}')) - 1 AS BIGINT) AS n FROM documents WHERE contains(text, '{LITERAL}')")
 def index_count(spark, sf):
     return index.count(index.build_index(_docs(spark, sf), extraction=False), [LITERAL]).select("doc_id", "n")
@@ -267,6 +362,24 @@ def symbol_select(spark, sf):
     return _docs(spark, sf).select("doc_id", T.symbol_select("text", "a", 3).alias("pos"))
 
 
+@query("SELECT doc_id AS seq_id, CAST(500 AS BIGINT) AS pos, 'a' AS symbol, CAST(length(substr(text, 1, 500)) - length(replace(substr(text, 1, 500), 'a', '')) AS BIGINT) AS rank FROM documents WHERE text IS NOT NULL")
+def saved_symbol_rank(spark, sf):
+    at = _docs(spark, sf).select(F.col("doc_id").alias("seq_id"), F.lit(500).cast("long").alias("pos"), F.lit("a").alias("symbol"))
+    return ranks.rank_at(_ranks(spark, sf), at)
+
+
+@query("""SELECT doc_id AS seq_id, CAST(100 AS BIGINT) AS pos, nullif(substr(text, 101, 1), '') AS symbol,
+CASE WHEN length(text) > 100 THEN CAST(100 - length(replace(substr(text, 1, 100), substr(text, 101, 1), '')) AS BIGINT) END AS rank FROM documents WHERE text IS NOT NULL""")
+def saved_inverse_select(spark, sf):
+    at = _docs(spark, sf).select(F.col("doc_id").alias("seq_id"), F.lit(100).cast("long").alias("pos"))
+    return ranks.inverse_select_at(_ranks(spark, sf), at)
+
+
+@query(f"WITH s AS ({_SYMBOLS}), r AS (SELECT seq_id, symbol, pos, row_number() OVER (PARTITION BY seq_id, symbol ORDER BY pos) - 1 AS rank FROM s) SELECT seq_id, CAST(pos AS BIGINT) AS pos, symbol, CAST(rank AS BIGINT) AS rank FROM r")
+def inverse_select_documents(spark, sf):
+    return sequence.inverse_select_all(_docs(spark, sf))
+
+
 @query(f"WITH s AS ({_PART_SYMBOLS}) SELECT seq_id, pos, symbol, CAST(row_number() OVER (PARTITION BY seq_id, symbol ORDER BY pos) - 1 AS BIGINT) AS rank FROM s")
 def inverse_select(spark, sf):
     return sequence.inverse_select(sequence.symbol_table(_parts(spark, sf), "p_partkey", "p_name"))
@@ -277,10 +390,13 @@ def symbol_histogram(spark, sf):
     return sequence.symbol_histogram(_docs(spark, sf))
 
 
-@query("SELECT s_suppkey AS seq_id, CAST(j AS BIGINT) AS pos, (s_suppkey >> j) & 1 = 1 AS bit FROM supplier, (SELECT CAST(unnest(range(0, 32)) AS INT) AS j)")
+@query("""WITH s AS (SELECT s_nationkey AS seq_id, s_suppkey AS v, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS p FROM supplier)
+SELECT seq_id, CAST(p * 32 + j AS BIGINT) AS pos, (v >> j) & 1 = 1 AS bit FROM s, (SELECT CAST(unnest(range(0, 32)) AS INT) AS j)""")
 def bits_from_ints(spark, sf):
-    rows = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", F.lit(0).alias("pos"))
-    return sequence.bits_from_ints(rows, "s_suppkey", "pos", "s_suppkey")
+    from pyspark.sql import Window as W
+
+    rows = spark.read.parquet(f"{sf}/supplier.parquet").select("s_nationkey", "s_suppkey").withColumn("p", F.row_number().over(W.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1)
+    return sequence.bits_from_ints(rows, "s_nationkey", "p", "s_suppkey")
 
 
 @query(f"WITH b AS ({_CLICKS}), a AS (SELECT DISTINCT user_id AS seq_id, unnest([0, 10, 100000]) AS pos FROM events) SELECT a.seq_id, CAST(a.pos AS BIGINT) AS pos, bit FROM a LEFT JOIN b ON a.seq_id = b.seq_id AND a.pos = b.pos")
@@ -303,15 +419,21 @@ def bit_select(spark, sf):
 # -- statistics ---------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH s AS ({_SYMBOLS}), n AS (SELECT seq_id, symbol, lag(symbol) OVER (PARTITION BY seq_id ORDER BY pos) AS p FROM s)
-SELECT seq_id AS doc_id, count(*) / sum(CASE WHEN p = symbol THEN 0 ELSE 1 END) AS redundancy FROM n GROUP BY seq_id""")
+@query(f"""WITH s AS ({_SYMBOLS}), n AS (SELECT seq_id, symbol, lag(symbol) OVER (PARTITION BY seq_id ORDER BY pos) AS p FROM s),
+r AS (SELECT seq_id, count(*) / sum(CASE WHEN p = symbol THEN 0 ELSE 1 END) AS redundancy FROM n GROUP BY seq_id)
+SELECT doc_id, redundancy FROM documents LEFT JOIN r ON doc_id = seq_id""")
 def redundancy(spark, sf):
-    return _docs(spark, sf).where("text <> ''").select("doc_id", T.redundancy("text").alias("redundancy"))
+    return _docs(spark, sf).select("doc_id", T.redundancy("text").alias("redundancy"))
 
 
-@query("SELECT doc_id, CAST(len(list_distinct(string_split(text, ''))) + 1 AS BIGINT) AS alphabet_size FROM documents WHERE text <> ''")
+@query(f"SELECT doc_id, {_ALPHABET} AS alphabet_size FROM documents")
 def alphabet_size(spark, sf):
-    return _docs(spark, sf).where("text <> ''").select("doc_id", T.alphabet_size("text").alias("alphabet_size"))
+    return _docs(spark, sf).select("doc_id", T.alphabet_size("text").alias("alphabet_size"))
+
+
+@query(r"""SELECT doc_id, CAST(length(substr(text, 1, 300)) + len(regexp_extract_all(substr(text, 1, 300), '[\x{10000}-\x{10FFFF}]')) AS BIGINT) AS units FROM documents""")
+def utf16_position(spark, sf):
+    return _docs(spark, sf).select("doc_id", T.utf16_position("text", 300).alias("units"))
 
 
 @query("SELECT doc_id, CAST(length(text) + 1 AS BIGINT) AS input_length FROM documents")
@@ -347,3 +469,48 @@ def unpack_int_vector(spark, sf):
 @query(f"SELECT l_suppkey AS seq_id, CAST((count(*) * {PACKED_WIDTH} + 63) // 64 AS BIGINT) AS n_words, CAST((count(*) * {PACKED_WIDTH} + 63) // 64 * 8 AS BIGINT) AS size_in_bytes FROM lineitem GROUP BY l_suppkey")
 def packed_size(spark, sf):
     return packing.packed_size(packing.pack(_supplied(spark, sf), PACKED_WIDTH))
+
+
+@query(f"SELECT seq_id, CAST(pos AS BIGINT) AS pos, value FROM ({_SUPPLIED})")
+def unpack_saved_vector(spark, sf):
+    ints, path = _supplied(spark, sf), fresh_path(spark, "words")
+    packing.save_words(packing.pack(ints, PACKED_WIDTH), path)
+    return packing.unpack(packing.load_words(spark, path), ints.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n")), PACKED_WIDTH)
+
+
+@query(f"SELECT seq_id, CAST(pos AS BIGINT) AS pos, value FROM ({_SUPPLIED}) WHERE pos % 7 = 3")
+def get_packed_values(spark, sf):
+    ints = _supplied(spark, sf)
+    return packing.get_values(packing.pack(ints, PACKED_WIDTH), ints.where("pos % 7 = 3").select("seq_id", "pos"), PACKED_WIDTH)
+
+
+@query(f"WITH s AS ({_SUPPLIED}), placed AS (SELECT seq_id, CASE WHEN pos % 5 = 2 THEN pos + 1 ELSE value END AS v, pos * {PACKED_WIDTH} AS f, {PACKED_WIDTH} AS w FROM s), {_TO_WORDS}")
+def set_packed_values(spark, sf):
+    ints = _supplied(spark, sf)
+    return packing.set_values(packing.pack(ints, PACKED_WIDTH), ints.where("pos % 5 = 2").select("seq_id", "pos", (F.col("pos") + 1).alias("value")), PACKED_WIDTH)
+
+
+@query(f"""WITH b AS ({_CLICKS}), r AS (SELECT seq_id, pos, CAST(coalesce(sum(CAST(bit AS INT)) OVER (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ones FROM b)
+SELECT seq_id, CAST(pos AS BIGINT) AS pos, ones FROM r WHERE pos % 10 = 0""")
+def packed_bit_rank(spark, sf):
+    bits = _clicks(spark, sf)
+    words = packing.pack(bits.select("seq_id", "pos", F.col("bit").cast("long").alias("value")), 1)
+    return packing.packed_bit_rank(words, bits.where("pos % 10 = 0").select("seq_id", "pos"))
+
+
+# -- whole documents, beyond SQL: the tests hold these operators against brute force ------------------------------
+
+
+@query()
+def bwt_documents(spark, sf):
+    return transform.bwt(_docs(spark, sf), mark="$")
+
+
+@query()
+def bwt_redundancy_documents(spark, sf):
+    return transform.bwt_redundancy(_docs(spark, sf))
+
+
+@query()
+def sampled_suffixes_documents(spark, sf):
+    return transform.suffix_samples(_docs(spark, sf), 32)
