@@ -79,6 +79,40 @@ def test_chat_trees(spark):
     assert chat.format_trees(df.where("tree > 9")).count() == 0
 
 
+def brute_branches(rows, best):
+    """(tree, rank, ids of the path) of the best branches; of rows that repeat an id the one with the least parent."""
+    nodes = {}
+    for t, i, p, score, *_ in rows:
+        new = (p is not None, p or 0, score is not None, score or 0.0)
+        nodes[t, i] = min(nodes.get((t, i), new), new)
+    parent = {(t, i): v[1] if v[0] and (t, v[1]) in nodes else None for (t, i), v in nodes.items()}
+    inner, out, trees = {(t, p) for (t, _), p in parent.items() if p is not None}, {}, defaultdict(list)
+    for t, i in nodes:
+        path, at = [], i
+        while at is not None and at not in path:
+            path.append(at)
+            at = parent[t, at]
+        if at is None and (t, i) not in inner:
+            trees[t].append((-sum(nodes[t, k][3] for k in path), i, path[::-1]))
+    for t, found in trees.items():
+        for rank, (_, _, path) in enumerate(sorted(found)[:best], 1):
+            out[t, rank] = path
+    return out
+
+
+def test_chat_trees_against_brute_force(spark):
+    """Random trees with long chains, cycles, lost parents, repeated ids, equal scores, null trees and further columns."""
+    import random
+
+    r = random.Random(11)
+    rows = [(t, i, r.choice([None, 0, i - 1, i - 1, i - 1, r.randrange(40), i]), r.choice([None, 0.0, 1.0, 2.0]), "user", f"{t} {i}", "clash") for t in (None, 1, 2, 3) for i in range(30)]
+    rows += [(9, i, i - 1 if i else None, 1.0, "assistant", f"9 {i}", "clash") for i in range(70)]
+    rows += [(t, i, p, s, "user", f"{t} {i}", "clash") for t, i, p, s, *_ in r.sample(rows, 20)]
+    df = spark.createDataFrame(rows, "tree long, id long, parent long, score double, role string, text string, leaf string").repartition(3)
+    got = chat.format_trees(df, best=3).withColumn("t", chat.read_turns(F.col("formatted"))).collect()
+    assert {(x.tree, x.branch_rank): [int(t.text.split()[1]) for t in x.t] for x in got} == brute_branches(rows, 3)
+
+
 # -- SimHash ------------------------------------------------------------------------------------------------------
 
 
@@ -547,6 +581,18 @@ def test_word_encoder_matches_whole_texts(monkeypatch):
     check()
 
 
+def test_other_tokenizers_encode_whole_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    texts = ["Hello World, how are  you?\nFine.", "", "  x\t\n É ΑΣ 3.14", "a" * 5000, "it's <|endoftext|> there"]
+    for name, words in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        enc, whole = token_output.WordEncoder(tokenizer_path(name)), Tokenizer.from_file(tokenizer_path(name))
+        want = [whole.encode(t, add_special_tokens=False).ids + [7] for t in texts]
+        ids, n = enc.encode(pa.array(texts, pa.string()), 7)
+        assert enc.words == words and n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 # -- fingerprints -------------------------------------------------------------------------------------------------
 
 

@@ -174,6 +174,13 @@ def runs_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[ob
             start = end
 
 
+def mix64(z: np.ndarray) -> np.ndarray:
+    """The finalizer of SplitMix64."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

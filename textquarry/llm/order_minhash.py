@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import by_shard, carried, layout, placed, runs_of, uncarried
+from textquarry.llm.common import by_shard, carried, layout, mix64, placed, runs_of, uncarried
 
 K = 6
 SLOTS = 64
@@ -36,12 +36,6 @@ _U = np.uint64
 _SEEDS = (np.arange(1, SLOTS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))[:, None]
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
-    return h ^ (h >> _U(31))
-
-
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
@@ -51,15 +45,15 @@ def kmer_hashes(points: np.ndarray) -> np.ndarray:
     if not len(points):
         return np.zeros(0, _U)
     if len(points) < K:
-        return _mix(np.frombuffer(hashlib.blake2b(points.tobytes(), digest_size=8).digest(), _U))
-    h = _mix(points.astype(_U))
+        return mix64(np.frombuffer(hashlib.blake2b(points.tobytes(), digest_size=8).digest(), _U))
+    h = mix64(points.astype(_U))
     two = h[:-1] * _U(0xC2B2AE3D27D4EB4F) + h[1:]
     four = two[:-2] * _U(0x165667B19E3779F9) + two[2:]
-    return _mix(four[:-2] * _U(0xD6E8FEB86659FD93) + two[4:])
+    return mix64(four[:-2] * _U(0xD6E8FEB86659FD93) + two[4:])
 
 
 #: Elements are mixed already, so a slot ranks them by a product with an odd number of its own.
-_FACTORS = _mix(_SEEDS) | _U(1)
+_FACTORS = mix64(_SEEDS) | _U(1)
 
 
 def elements(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +63,7 @@ def elements(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     values = h[at]
     first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
     number = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-    return _mix(values * _U(0x9FB21C651E98DF25) + number.astype(_U)), at
+    return mix64(values * _U(0x9FB21C651E98DF25) + number.astype(_U)), at
 
 
 def signature(h: np.ndarray) -> np.ndarray:
@@ -95,8 +89,8 @@ def signature(h: np.ndarray) -> np.ndarray:
     else:
         swap = at[one] > at[two]  # text order
         a, b = np.where(swap, two, one), np.where(swap, one, two)
-        picked = _mix(element[a]) * _U(3) + element[b]
-    out = (_mix(picked ^ _SEEDS[:, 0]) >> _U(48)).astype(np.uint16)
+        picked = mix64(element[a]) * _U(3) + element[b]
+    out = (mix64(picked ^ _SEEDS[:, 0]) >> _U(48)).astype(np.uint16)
     return np.maximum(out, 1)
 
 

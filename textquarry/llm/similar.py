@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textquarry.llm.common import carried, stash, uncarried, utf8
+from textquarry.llm.common import carried, mix64, stash, uncarried, utf8
 from textquarry.llm.components import components
 from textquarry.llm.simhash import shingle_hashes
 
@@ -70,10 +70,7 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     """The k-th hash from the first, by the finalizer of SplitMix64."""
     if not k:
         return h
-    z = h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+    return mix64(h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))
 
 
 def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:

@@ -10,6 +10,8 @@ once for each row, in the order of XXH64 of their texts. An empty table gives no
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import uuid
 import zlib
@@ -34,11 +36,29 @@ MAX_WORDS = 1_000_000
 CHUNK = 4 << 20
 
 
-class WordEncoder:
-    """Encodes texts word by word, each distinct word once.
+#: The rules under which a text's ids are those of its words in a row.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def by_words(rules: dict) -> bool:
+    """Whether the rules never look across ASCII white space, fold case, and end each word with its own tokens."""
+    model, added = rules["model"], [t["content"] for t in rules.get("added_tokens") or []]
+    return all(rules.get(k) == v for k, v in BY_WORDS.items()) and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not any(c.isspace() for t in added for c in t)
 
-    The vocabulary's rules never look across ASCII white space (it is dropped, and no pattern, composition or case rule
-    spans it), so a text's ids are those of its words in a row. The tests hold this against whole texts.
+
+class WordEncoder:
+    """Encodes texts word by word, each distinct word once, where the vocabulary's rules allow it (``by_words``): white space
+    is dropped, and no pattern, composition or case rule spans it. The tests hold this against whole texts. With any
+    other rules whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -47,6 +67,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size(True) <= 1 << 16 else np.uint32
+        self.words = by_words(json.loads(self.tokenizer.to_str()))
         vocabulary = self.tokenizer.get_vocab(True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -115,6 +136,9 @@ class WordEncoder:
 
     def encode(self, texts: pa.StringArray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end``, and the number of ids of each text. No nulls."""
+        if not self.words:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.fromiter(itertools.chain.from_iterable((*i, end) for i in ids), self.dtype), np.array([len(i) + 1 for i in ids], np.int64)
         if len(self.known) > MAX_WORDS:
             self.reset()
         split = pc.ascii_split_whitespace(texts)
