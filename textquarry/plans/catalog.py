@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import text as T
 from textquarry.operators import index, packing, ranks, search, sequence, suffix_index, transform
+from textquarry.sources import tables
 from textquarry.sources.tables import fresh_path
 
 #: A pattern whose matches may overlap, and one whose matches cannot.
@@ -38,7 +39,7 @@ _STORED: dict[tuple[str, str, str], str] = {}
 
 def _stored(spark: SparkSession, sf: str, kind: str, build: Callable[[], DataFrame], save, load) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf, kind)
-    if key not in _STORED:
+    if key not in _STORED or _STORED[key] not in tables._written:  # not yet, or cleaned up
         path = fresh_path(spark, kind)
         save(build(), path)
         _STORED[key] = path

@@ -16,16 +16,35 @@ def check_version(expected: int, found: int) -> None:
         raise ValueError(f"Incompatible serial versions! Expected version {expected} but was {found}.")
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``; in local mode in a folder of our own where that is unset."""
+_written: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode one of our own where it is unset."""
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
         if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="textquarry-"))
-        base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        found = sc.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Deletes every table and folder that this process has put into the shared folder; how many there were. Results that
+    are read from them, and archives, token files and stored forms without a path of their own, go with them."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 def save(table: DataFrame, path: str, version: int) -> None:
