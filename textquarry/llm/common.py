@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +12,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry.sources.tables import clean_up, fresh_path, shared_dir  # noqa: F401
+
 #: Shards of a layout at most. The driver holds 16 bytes for each.
 MAX_SHARDS = 1 << 17
 #: Stands for a null key in a layout; a row with this very id is taken for one without.
@@ -23,41 +22,10 @@ FIRST = -(1 << 63)
 RANGE_ROWS = 1 << 22
 
 
-_written: list[str] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode one of our own where it is unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="textquarry-"))
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
-    return path
-
-
-def clean_up(spark: SparkSession) -> int:
-    """Deletes every table and folder that the operators of this process have put into the shared folder; how many there
-    were. Results that are read from them, and archives and token files without a path of their own, go with them."""
-    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        n += path.getFileSystem(conf).delete(path, True)
-    return n
-
-
 def stash(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
