@@ -6,6 +6,7 @@ search runs in C, and only ids and positions come back. ``contains`` goes first,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from textquarry.functions import text as T
 from textquarry.operators import suffixes
 
-#: Bytes of patterns that are searched for in one pass.
-SLICE_BYTES = 8 << 20
+#: Bytes of patterns that are searched for in one pass; their automaton takes some fifty times as much in each worker.
+SLICE_BYTES = 4 << 20
 
 
 def find_all(text: str, pattern: str) -> list[int]:
@@ -145,6 +146,17 @@ def sliced(patterns: DataFrame, pattern_id: str, pattern: str, slice_bytes: int
         yield some
 
 
+_built: dict[str, Callable] = {}
+
+
+def _kept(key: str, make: Callable[[], Callable]) -> Callable:
+    """What a worker has built last; it is used by the tasks that follow."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = make()
+    return _built[key]
+
+
 def multi_pattern_count(docs: DataFrame, patterns: DataFrame, doc_id: str = "doc_id", text: str = "text", pattern_id: str = "pattern_id", pattern: str = "pattern", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(doc_id, pattern_id, n) where n > 0: each text is scanned once for all patterns of a slice of the pattern table."""
     spark = docs.sparkSession
@@ -154,8 +166,8 @@ def multi_pattern_count(docs: DataFrame, patterns: DataFrame, doc_id: str = "doc
     for some in sliced(patterns, pattern_id, pattern, slice_bytes):
         sent = spark.sparkContext.broadcast(some)  # at most slice_bytes, or one pattern
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            count = _counter(sent.value) if sent.value else lambda t: {}
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            count = _kept(key, lambda: _counter(sent.value) if sent.value else lambda t: {})
             ids = pa.array([i for i, _ in sent.value])
             for batch in batches:
                 index, which, n = [], [], []
