@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as T
+from textquarry.operators import transform
 from textquarry.plans import catalog
 from textquarry.plans.sql import register
 from textquarry.streaming import search as streams
@@ -49,7 +50,30 @@ def test_windowed_stream(spark, tmp_path):
     assert Counter(map(tuple, spark.table("windows").collect())) == Counter(map(tuple, batch.collect()))
 
 
-@pytest.mark.parametrize("name", list(catalog.QUERIES))
+def test_whole_documents_beyond_sql(spark):
+    """Transforms invert to the texts, sampled suffixes ascend and are complete, redundancies are those of the runs."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text is not None}
+    runs = lambda t: sum(a != b for a, b in zip(t, t[1:])) + 1
+    bwt = {r.seq_id: r.bwt.replace("$", "\0") for r in transform.bwt(spark.createDataFrame([(d, t) for d, t in texts.items()], "doc_id long, text string"), mark="$").collect() if "$" not in texts[r.seq_id]}
+    assert bwt == {r.seq_id: r.bwt.replace("$", "\0") for r in catalog.QUERIES["bwt_documents"](spark, SF).collect() if "$" not in texts[r.seq_id]} and len(bwt) > 100
+    for d, column in bwt.items():
+        order = sorted(range(len(column)), key=column.__getitem__)  # stable
+        row, out = order[0], []
+        for _ in range(len(column) - 1):
+            row = order[row]
+            out.append(column[row])
+        assert "".join(out) == texts[d]
+    got = {r.seq_id: (r.text_redundancy, r.bwt_redundancy) for r in catalog.QUERIES["bwt_redundancy_documents"](spark, SF).collect()}
+    assert set(got) == {d for d, t in texts.items() if t}
+    assert all(got[d] == (len(texts[d]) / runs(texts[d]), len(c) / runs(c)) for d, c in bwt.items() if texts[d])
+    samples = {}
+    for r in sorted(catalog.QUERIES["sampled_suffixes_documents"](spark, SF).collect(), key=lambda r: (r.seq_id, r.sa_rank)):
+        samples.setdefault(r.seq_id, []).append(r.pos)
+    for d, t in texts.items():
+        assert sorted(samples[d]) == list(range(0, len(t) + 1, 32)) and all(t[a:] < t[b:] for a, b in zip(samples[d], samples[d][1:]))
+
+
+@pytest.mark.parametrize("name", list(catalog.ORACLES))
 def test_queries_against_sql(spark, name):
     c = duckdb.connect()
     for t in ("customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark"):
