@@ -75,8 +75,11 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
 
 def format_paths(messages: DataFrame, chosen: DataFrame, learned: str = LEARNED) -> DataFrame:
     """One row for each path: tree, leaf, branch_rank, branch_score, n_turns, formatted, loss_spans(start, stop)."""
-    texts = messages.groupBy("tree", "id").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("m")).select(F.col("tree").alias("t"), F.col("id").alias("i"), "m.role", "m.text")
+    texts = messages.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = chosen.join(texts, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("i")))
+    # of rows that repeat an id the first counts; told here, where they lie side by side in any case
+    order = W.partitionBy("tree", "leaf").orderBy("depth", "role", "text")
+    rows = rows.withColumn("again", F.coalesce(F.lag("depth").over(order) == F.col("depth"), F.lit(False))).where(~F.col("again"))
     rows = rows.select("tree", "leaf", "branch_rank", "branch_score", "depth", (F.col("role") == learned).alias("learned"), F.concat(F.lit(START), escaped_role(F.col("role")), F.lit("\n")).alias("head"), escaped(F.col("text")).alias("body"))
     rows = rows.withColumn("piece", F.concat("head", "body", F.lit(END + "\n")))
     order = W.partitionBy("tree", "leaf").orderBy("depth")
