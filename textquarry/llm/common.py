@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyarrow import fs as pafs
@@ -96,14 +95,16 @@ def placed(df: DataFrame, key: str, tie: str, opens: list[tuple[int, int]]) -> D
         return df.withColumns({"_shard": F.lit(0), "_opens": (F.coalesce(F.col(key), F.lit(FIRST)) == k) & (F.col(tie) == t), "_twins": F.lit(1)})
     sent = df.sparkSession.sparkContext.broadcast((np.array([k for k, _ in opens]), np.array([t for _, t in opens])))
 
-    outputs = ("_shard", "_opens", "_twins")
-
-    @F.pandas_udf("_shard int, _opens boolean, _twins int")
-    def place(keys: pd.Series, ties: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip(outputs, places(*sent.value, keys.to_numpy(), ties.to_numpy()), strict=True)))
+    # one number, in Arrow: workers that import this module need no pandas, which takes memory
+    @F.arrow_udf("long")
+    def place(keys: pa.Array, ties: pa.Array) -> pa.Array:
+        shard, first, twins = places(*sent.value, keys.to_numpy(zero_copy_only=False), ties.to_numpy(zero_copy_only=False))
+        return pa.array(twins.astype(np.int64) << 32 | first.astype(np.int64) << 31 | shard)
 
     df = df.withColumn("_place", place(F.coalesce(F.col(key), F.lit(FIRST)), F.col(tie)))
-    return df.withColumns({c: F.col(f"_place.{c}") for c in outputs}).drop("_place")
+    of = {"_shard": F.col("_place").bitwiseAND(F.lit((1 << 31) - 1)), "_twins": F.shiftright("_place", 32)}
+    df = df.withColumns({c: v.cast("int") for c, v in of.items()} | {"_opens": F.getbit("_place", F.lit(31)) == 1})
+    return df.drop("_place")
 
 
 def places(of_key: np.ndarray, of_tie: np.ndarray, keys: np.ndarray, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
