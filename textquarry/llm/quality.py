@@ -48,9 +48,10 @@ HELD_OUT = 4
 BIN = 1e-3
 #: Languages up to which their means and limits are broadcast; more are joined by shuffle.
 MAX_BROADCAST = 100_000
-#: Bytes of text in a chunk, and that are handled at once.
-CHUNK_BYTES = 32 << 20
-BLOCK = 2 << 20
+#: Bytes of text in a chunk, in the pieces of it that are unpacked, and that are handled at once.
+CHUNK_BYTES = 128 << 20
+PIECE_BYTES = 4 << 20
+BLOCK = 1 << 19
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
@@ -64,7 +65,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Rec
                 first = batch.column("_text")[start].as_py() or ""
                 key, held, at = xxhash.xxh64_intdigest(f"{task} {number} {first}") - (1 << 63), 0, 0
             before = size[start - 1] if start else 0
-            stop = min(batch.num_rows, int(np.searchsorted(size, before + CHUNK_BYTES - held)) + 1)
+            stop = min(batch.num_rows, int(np.searchsorted(size, before + min(PIECE_BYTES, CHUNK_BYTES - held))) + 1)
             yield key, at, batch.slice(start, stop - start)
             held, at, start = held + size[stop - 1] - before, at + stop - start, stop
             if held >= CHUNK_BYTES:
@@ -133,11 +134,21 @@ def gram_table(docs: DataFrame, trained: str | None, text: str = "text", order:
 
     def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         grams, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        by = np.argsort(grams, kind="stable")
+        by = np.argsort(grams)
         grams = grams[by]
         first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
         return grams[first], np.add.reduceat(n[by], first)
 
+    def counted(grams: np.ndarray, taught: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct n-grams, and how often each is taught: plain sorts, which are some times faster than sorting places."""
+        ordered = np.sort(grams)
+        distinct = ordered[np.append(True, ordered[1:] != ordered[:-1])]
+        n, ordered = np.zeros(len(distinct), np.int64), np.sort(grams[taught])
+        if len(ordered):
+            first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+            n[np.searchsorted(distinct, ordered[first])] = np.diff(np.append(first, len(ordered)))
+        return distinct, n
+
     def made(key: int, parts: list) -> Iterator[pa.RecordBatch]:
         if parts:
             grams, n = summed(parts)
@@ -153,9 +164,8 @@ def gram_table(docs: DataFrame, trained: str | None, text: str = "text", order:
             texts = utf8(batch.column("_text"))
             taught = np.isin(np.arange(at, at + len(texts)), rows)
             for which, first, grams in blocks(texts, order):
-                counted = np.repeat(taught[which], np.diff(np.append(first, len(grams))))
-                parts.append(summed([(grams, counted.astype(np.int64))]))
-            if len(parts) > 64:
+                parts.append(counted(grams, np.repeat(taught[which], np.diff(np.append(first, len(grams))))))
+            if len(parts) > 16:
                 parts = [summed(parts)]
         yield from made(key, parts)
 
@@ -222,11 +232,16 @@ def costs(grams: DataFrame, model: list[DataFrame]) -> str:
 
 def score(docs: DataFrame, priced: str, text: str = "text", order: int = ORDER) -> DataFrame:
     """``docs`` with nll (nats of the whole text, its end included) and n_scored (bytes and the end), by their :func:`costs`."""
-    df = carried(docs, _text=F.col(text))
+    df = carried(docs)
+
+    def with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column("_row")
+            yield pa.RecordBatch.from_arrays([row, pc.struct_field(row, text)], names=["_row", "_text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = None
-        for chunk, _, part in chunks(batches):
+        for chunk, _, part in chunks(with_text(batches)):
             if chunk != key:
                 key, found = chunk, _side_table(priced, chunk, ["gram", "cost"])
                 grams, cost = found["gram"].to_numpy(), found["cost"].to_numpy().astype(np.float64)
