@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from tests.llm.test_operators import DOCS, brute_components, docs, empty, rows  # noqa: F401
@@ -171,3 +172,103 @@ def test_representatives_of_real_documents(spark):
     real = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").distinct().collect()]
     got = Counter(r.doc_id for r in similar.representatives(spark.createDataFrame(real, "doc_id long, text string")).collect())
     assert got == Counter(min(r[0] for r in x) for x in brute_groups(real))
+
+
+def test_similar_sets_have_a_first_shingle_in_common():
+    r, none = np.random.default_rng(6), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    met = 0
+    for _ in range(4000):
+        pool = r.integers(0, 2**64, int(r.choice((5, 6, 9, 10, 40, 300))), np.uint64)
+        gone = int(len(pool) * 0.2 * r.random() + 0.5)
+        a, b = (np.unique(x) for x in (pool, pool[gone:]))
+        if r.random() < 0.5 and gone > 1:
+            a, b = np.unique(pool[gone // 2 :]), np.unique(pool[: len(pool) - gone + gone // 2])
+        if len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b)):
+            continue
+        known = np.unique(r.choice(pool, len(pool) // 2))
+        for common in (none, (known, r.integers(2, 9, len(known)))):
+            x, y = (similar.first_shingles(s, 0.8, common) for s in (a, b))
+            assert len(np.intersect1d(x, y)) and len(x) <= 0.2 * len(a) + 1
+        met += 1
+    assert met > 2000
+    assert len(similar.first_shingles(np.zeros(0, np.uint64), 0.8, none)) == 0
+
+
+def with_first(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return similar.stash(similar.fingerprints(docs, first=(0.8, similar.common_shingles(docs))), "t")
+
+
+def test_unrelated_texts_never_meet(spark):
+    """All of one size, so that they were all compared with each other; a line that they share makes no difference."""
+    r = random.Random(8)
+    line = " ".join(f"line{i}" for i in range(60))
+    texts = [" ".join(f"t{k}x{i}" for i in range(140)) + " " + line for k in range(1500)]
+    twins = [" ".join(edited(r, t.split(), 0.01)) for t in texts[:20]]
+    rows = with_first(spark, texts + twins)
+    own = {x.node for x in rows.where("doc_id < 20 or doc_id >= 1500").collect()}
+    met = similar.buckets(rows).groupBy("shingle").count().collect()
+    assert {x.node for x in similar.buckets(rows).select("node").distinct().collect()} <= own
+    assert met and max(x["count"] for x in met) == 2
+
+
+def test_links_of_buckets_join_all_that_is_similar(spark):
+    r = random.Random(11)
+    texts = [""]
+    for k in range(40):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.choice((8, 9, 16, 80, 300)))]
+        texts += [" ".join(edited(r, words, s)) for s in (0, 0.01, 0.02, 0.03, 0.06)] + [" ".join(words[: len(words) * 9 // 10])]
+    texts = sorted(set(texts))
+    rows = with_first(spark, texts + texts[:50])
+    of = {x.doc_id: x.node for x in rows.collect()}
+    nodes = rows.select("node", "n_shingles", "w0", "w1", "w2", "w3").distinct()
+    sets, sims = [shingles(t) for t in texts], [brute_similar(t) for t in texts]
+    pairs = {(of[a], of[b]) for a in range(len(texts)) for b in range(a) if sets[a] and sets[b] and jaccard(sets[a], sets[b]) >= 0.8}
+    assert len(pairs) > 50
+    by_node = {of[k]: s for k, s in enumerate(sims)}
+    for block in (2, 1 << 15):
+        links = {(x.a, x.b) for x in similar.links_sharing(rows, nodes, block=block).collect()}
+        small = lambda x, y: min(x[0], y[0]) <= similar.SMALL[0]
+        assert all(small(by_node[a], by_node[b]) or near(by_node[a], by_node[b], 0.8) for a, b in links if a != b)
+        ids = sorted(set(of.values()))
+        got = brute_components(ids, lambda a, b: (a, b) in links or (b, a) in links)
+        assert all(got[a] == got[b] for a, b in pairs)
+
+
+def cut(columns, names, sizes):
+    at = 0
+    for n in sizes:
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + n], pa.int64()) for c in columns], names=names)
+        at += n
+
+
+def test_buckets_across_batches():
+    r = random.Random(12)
+    for _ in range(300):
+        rows = sorted((r.randrange(12), r.randrange(5)) for _ in range(r.randrange(40)))
+        sizes = []
+        while sum(sizes) < len(rows):
+            sizes.append(r.randrange(0, 5))
+        got = [tuple(x.values()) for b in similar._shared(2)(cut(list(zip(*rows)) or [[], []], ["shingle", "node"], sizes)) for x in b.to_pylist()]
+        of = defaultdict(list)
+        for s, n in sorted(set(rows)):
+            of[s].append(n)
+        assert got == [(s, n, k // 2) for s, ns in of.items() if len(ns) > 1 for k, n in enumerate(ns)]
+
+
+def test_tiles_across_batches(monkeypatch):
+    """Listed pairs and large buckets, whatever the cuts between batches and between the pairs listed at once."""
+    r = np.random.default_rng(13)
+    base = r.integers(0, 2**63, (6, 4), dtype=np.int64)
+    names = ["shingle", "high", "low", "side", "node", "n_shingles", "w0", "w1", "w2", "w3"]
+    rows = []
+    for bucket in range(30):
+        for _ in range(int(r.integers(2, 14))):
+            rows.append([bucket, 0, 0, 2, len(rows), int(r.choice((7, 90, 100, 200))), *(base[r.integers(6)] ^ (1 << r.integers(0, 62, 4)))])
+    near_ = lambda x, y: sum((int(p) ^ int(q)).bit_count() for p, q in zip(x[6:], y[6:])) <= similar.radius_of(0.8, min(x[5], y[5])) and min(x[5], y[5]) >= 0.8 * max(x[5], y[5])
+    want = brute_components(list(range(len(rows))), lambda a, b: rows[a][0] == rows[b][0] and near_(rows[a], rows[b]))
+    for small in ((256, 1 << 18), (256, 7), (5, 9), (0, 1)):
+        monkeypatch.setattr(similar, "SMALL_BUCKET", small)
+        for size in (1, 3, 17, 1000):
+            links = {(x["a"], x["b"]) for b in similar._meet(0.8)(cut(list(zip(*rows)), names, [size] * (len(rows) // size + 1))) for x in b.to_pylist()}
+            assert brute_components(list(range(len(rows))), lambda a, b: (a, b) in links or (b, a) in links) == want

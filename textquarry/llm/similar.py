@@ -1,24 +1,29 @@
-"""Near-duplicates of a stated similarity: SimHash finds candidates in tiles, exact Jaccard similarity decides each link.
+"""Near-duplicates of a stated similarity: texts that share a rare shingle meet, SimHash chooses among them, exact Jaccard similarity decides each link.
 
 Two texts are linked when their sets of ``width``-word shingles have Jaccard similarity ``similarity`` or more. Words
 are those of ``simhash``; each distinct shingle counts once, a text of fewer words is one shingle, and a text without
 words links only to its like. Texts with equal sets are one node, so copies never multiply the work.
 
+Meetings: let all shingles stand in one order. Sets of that similarity share ``similarity`` of either set at least, so the
+first n - ceil(similarity * n) + 1 shingles of the one and of the other have a shingle in common; nodes meet where they share
+one of those, and nothing is lost, whatever the order. The order only saves work: shingles that a bounded sample of the
+texts repeats come last, the more frequent the later, the others by hash. A bucket is the nodes that share such a shingle; one of more than
+BLOCK nodes is divided into blocks, and each pair of blocks is a tile.
+
 Candidates: texts of similarity J differ in about ``acos(2J / (1 + J)) / pi`` of the bits of 256-bit fingerprints, less
 if their sizes differ. The search radius is that share plus SEARCH standard deviations, so by the normal model three in
 100,000 pairs at exactly J are missed, and fewer above. (Ties of bits make that share 3/16 for sets of four and five
-shingles, which the radius of tiles with so small sets covers.) Nodes are dealt to bins by
-shingle count, each bin to BLOCKS blocks or more, of BLOCK nodes at most, and a tile is a pair of blocks of one bin or of
-neighbouring bins: no other sizes can reach the similarity. Within a tile, rows are ordered by population count, strips whose counts
+shingles, which the radius of tiles with so small sets covers.) Pairs of small buckets are compared many buckets at once.
+In larger ones, rows are ordered by population count, strips whose counts
 differ beyond the radius are skipped, and numpy compares the rest by exclusive-or and bit counts: the first 128 bits, and
-where those are within the radius, all. A tile gives a forest of its candidates, so that a large group costs as many rows as it has members.
+where those are within the radius, all. Such a tile gives a forest of its candidates, so that a large group costs as many rows as it has members.
 
 Verification: every true link lies within one component of the candidates. A component's nodes meet with their whole
 sets, large ones again in tiles of blocks, and a candidate becomes a link only by its exact similarity. Pairs that links
 already join are not looked at again, so a tile gives a forest of true links; components of those are the groups.
 
-The comparisons grow with the square of the nodes within a size bin, and of those within a component; rows that are sent
-grow with the nodes times the blocks of their bins.
+The rows that are sent grow with the texts, the comparisons with the square of a bucket's nodes and of those within a component.
+Where only fingerprints are at hand, ``links_between`` compares all nodes of the sizes in question, with the square of those.
 
 Null texts are empty. Null ids come last, so one names a group only if the group has no other. Rows that repeat an id
 each count. An empty table gives empty results. Input columns named node are replaced.
@@ -56,6 +61,12 @@ SEARCH = 4
 SMALL = (8, 3 / 16)
 #: Nodes and shingles of a block that is verified.
 VERIFIED = (4096, 1 << 21)
+#: Texts of the sample that orders shingles, shingles of each, and shingles that it may put last.
+SAMPLE = (4096, 1024, 1 << 18)
+#: Rows of (shingle, node) of a partition, as far as MAX_PARTITIONS go.
+SHARED_ROWS = 1 << 20
+#: Nodes of a bucket whose pairs are listed, and pairs that are compared at once.
+SMALL_BUCKET = (256, 1 << 18)
 _WORDS = [f"w{k}" for k in range(PARTS)]
 
 
@@ -94,22 +105,63 @@ def fingerprint(text: bytes, width: int = WIDTH) -> tuple[int, np.ndarray]:
     return len(h), set_fingerprint(h)
 
 
-def fingerprints(docs: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
-    """``docs`` with node (a digest of the set of shingles), n_shingles, w0, w1, ...: the fingerprint as signed longs."""
+def common_shingles(docs: DataFrame, text: str = "text", width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, ascending, that a bounded sample of the texts has more than once, and in how many of its sets. It bears on the work alone."""
+    n = docs.count()
+    some = docs.select(F.col(text).alias("_text"))
+    some = some.sample(SAMPLE[0] / n, seed=0) if n > SAMPLE[0] else some
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([shingle_set(t, width)[: SAMPLE[1]].tobytes() for t in utf8(batch.column("_text"))], pa.binary())], names=["shingles"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distinct = {x for batch in batches for x in batch.column("shingles").to_pylist()}
+        h, times = np.unique(np.frombuffer(b"".join(distinct), np.uint64), return_counts=True)
+        last = np.flatnonzero(times > 1)
+        last = np.sort(last[np.argsort(-times[last], kind="stable")[: SAMPLE[2]]])
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (h[last], times[last])], names=["h", "times"])
+
+    # one task: its sets are bounded by the sample
+    found = some.mapInArrow(sets, "shingles binary").repartition(1).mapInArrow(count, "h binary, times binary").collect()
+    return tuple(np.concatenate([np.zeros(0, t), *[np.frombuffer(r[k], t) for r in found]]) for k, t in enumerate((np.uint64, np.int64)))
+
+
+def first_shingles(h: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of a set in order, the shingles of which a set of that similarity has one among its own first ones."""
+    known, times = common
+    # less by a trifle, so that rounding never shortens it
+    n = min(len(h), len(h) - math.ceil(similarity * len(h) * (1 - 1e-9)) + 1)
+    if not len(known):
+        return h[:n]
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return h[np.argsort(np.where(known[at] == h, times[at], 0), kind="stable")[:n]]
+
+
+def fingerprints(docs: DataFrame, text: str = "text", width: int = WIDTH, first: tuple | None = None) -> DataFrame:
+    """``docs`` with node (a digest of the set of shingles), n_shingles, w0, w1, ...: the fingerprint as signed longs; where
+    ``first`` has a similarity and common shingles, also _first, the :func:`first_shingles`."""
     df = carried(docs, _text=F.col(text))
     outputs = ["node", "n_shingles", *_WORDS]
+    schema = [df.schema["_row"], *[T.StructField(c, T.LongType()) for c in outputs], *([T.StructField("_first", T.ArrayType(T.LongType(), False))] if first else [])]
+    similarity, sent = (first[0], docs.sparkSession.sparkContext.broadcast(first[1])) if first else (None, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found, firsts = [], []
             for t in utf8(batch.column("_text")):
                 h = shingle_set(t, width)
                 found.append((xxhash.xxh3_64_intdigest(h.tobytes()), len(h), *set_fingerprint(h)))
+                if first:
+                    firsts.append(first_shingles(h, similarity, sent.value))
             numbers = np.array(found, np.uint64).reshape(-1, len(outputs)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), *[pa.array(numbers[:, k]) for k in range(len(outputs))]], names=["_row", *outputs])
+            columns = [batch.column("_row"), *[pa.array(numbers[:, k]) for k in range(len(outputs))]]
+            if first:
+                flat = np.concatenate([np.zeros(0, np.uint64), *firsts]).view(np.int64)
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(flat)))
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
-    schema = T.StructType([df.schema["_row"], *[T.StructField(c, T.LongType()) for c in outputs]])
-    return uncarried(df.mapInArrow(run, schema), docs.columns, outputs)
+    return uncarried(df.mapInArrow(run, T.StructType(schema)), docs.columns, [f.name for f in schema[1:]])
 
 
 def forest(fp: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -219,6 +271,123 @@ def links_between(nodes: DataFrame, similarity: float = SIMILARITY, block: int =
     return rows.mapInArrow(_compare(similarity), "a long, b long")
 
 
+def _shared(block: int):
+    """Rows of (shingle, node) in that order -> those of shingles with several nodes, each once, numbered by blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the last row is held back: whether its shingle has another node, and how many before it
+        shingle, node, joined, before = np.zeros(0, np.int64), np.zeros(0, np.int64), False, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shingle, node = (np.concatenate((x, batch.column(c).to_numpy())) for x, c in ((shingle, "shingle"), (node, "node")))
+            fresh = np.ones(len(node), bool)
+            fresh[1:] = (np.diff(shingle) != 0) | (np.diff(node) != 0)
+            shingle, node = shingle[fresh], node[fresh]
+            same = np.diff(shingle) == 0
+            alike = np.concatenate(([joined], same))
+            place = np.arange(len(node))
+            opens = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), place, 0))
+            number = place - opens + np.where(opens == 0, before, 0)
+            out = np.flatnonzero(alike[:-1] | same)
+            yield pa.RecordBatch.from_arrays([pa.array(shingle[out]), pa.array(node[out]), pa.array(number[out] // block)], names=["shingle", "node", "block"])
+            shingle, node, joined, before = shingle[-1:], node[-1:], bool(alike[-1]), int(number[-1])
+        if joined:
+            yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(node), pa.array([before // block], pa.int64())], names=["shingle", "node", "block"])
+
+    return run
+
+
+def listed_pairs(fp: np.ndarray, n: np.ndarray, sizes: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The near pairs of rows that lie in buckets of these sizes."""
+    radius, small = radius_of(similarity), radius_of(similarity, 1)
+    # how many rows of its bucket follow each row
+    later = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(n)) - 1
+    stops = np.cumsum(later)
+    cuts = np.unique([0, *np.searchsorted(stops, np.arange(0, int(later.sum()), SMALL_BUCKET[1]), "right")])
+    for a, b in zip(cuts, [*cuts[1:], len(n)], strict=True):
+        m = later[a:b]
+        x = np.repeat(np.arange(a, b), m)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
+        most, least = np.maximum(n[x], n[y]), np.minimum(n[x], n[y])
+        fits = least >= similarity * most
+        x, y, least = x[fits], y[fits], least[fits]
+        near = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64) <= np.where(least <= SMALL[0], small, radius)
+        yield x[near], y[near]
+
+
+def _meet(similarity: float):
+    columns = ["shingle", "high", "low", "side", "node", "n_shingles", *_WORDS]
+
+    def links(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of whole tiles, one after another."""
+        side, node, n = rows[3:6]
+        fp = np.stack(rows[6:], axis=1).view(np.uint64)
+        cuts = np.flatnonzero((np.diff(rows[:3]) != 0).any(axis=0)) + 1
+        starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(node)]))
+        sizes = ends - starts
+        listed = (sizes <= SMALL_BUCKET[0]) & (side[starts] == 2)
+        found = []
+        if listed.any():
+            own = np.flatnonzero(np.repeat(listed, sizes))
+            found += [(own[x], own[y]) for x, y in listed_pairs(fp[own], n[own], sizes[listed], similarity)]
+        for a, b in zip(starts[~listed], ends[~listed], strict=True):
+            own = (side[a:b] == 2).any()
+            x, y = forest(fp[a:b], n[a:b], np.flatnonzero(side[a:b] != 1), None if own else np.flatnonzero(side[a:b] == 1), similarity)
+            found.append((a + x, a + y))
+        for x, y in found:
+            yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the tile that may go on in the next batch
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([batch.column(c).to_numpy() for c in columns])
+            opens = np.flatnonzero((np.diff(rows[:3]) != 0).any(axis=0)) + 1
+            if held and (held[-1][:3, -1] != rows[:3, 0]).any():
+                yield from links(np.concatenate(held, axis=1))
+                held = []
+            if not len(opens):
+                held.append(rows)
+                continue
+            yield from links(np.concatenate([*held, rows[:, : opens[-1]]], axis=1))
+            held = [rows[:, opens[-1] :]]
+        if held:
+            yield from links(np.concatenate(held, axis=1))
+
+    return run
+
+
+def buckets(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """rows(node, _first), written -> shingle, node, block of each node where it shares a first shingle with another."""
+    spread = rows.select("node", F.explode("_first").alias("shingle"))
+    n = rows.agg(F.sum(F.size("_first"))).first()[0] or 0
+    parts = min(MAX_PARTITIONS, max(n // SHARED_ROWS + 1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    spread = spread.repartition(parts, "shingle").sortWithinPartitions("shingle", "node")
+    return spread.mapInArrow(_shared(block), "shingle long, node long, block long")
+
+
+def links_sharing(rows: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """rows(node, _first) and nodes(node, n_shingles, w0, ...), both written -> links(a, b) that join all candidates."""
+    shared = stash(buckets(rows, block), "similar-shared")
+    # buckets of several blocks
+    divided = stash(shared.where("block > 0").groupBy("shingle").agg((F.max("block") + 1).alias("k")), "similar-divided")
+    met = shared.join(nodes, "node")
+    if divided.isEmpty():
+        zero = F.lit(0).cast("long")
+        dealt = met.withColumns({"high": zero, "low": zero, "side": zero + 2})
+    else:
+        me = F.col("block")
+        # 2: meets its own block, 0 and 1: the lower and the higher of two blocks
+        spot = lambda j: F.struct(F.greatest(me, j).alias("high"), F.least(me, j).alias("low"), F.when(j == me, 2).when(me < j, 0).otherwise(1).cast("long").alias("side"))
+        met = met.join(divided, "shingle", "left").withColumn("t", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce("k", F.lit(1)) - 1), spot)))
+        dealt = met.select("shingle", "t.high", "t.low", "t.side", "node", "n_shingles", *_WORDS)
+    dealt = dealt.repartition("shingle", "high", "low").sortWithinPartitions("shingle", "high", "low")
+    return dealt.select("shingle", "high", "low", "side", "node", "n_shingles", *_WORDS).mapInArrow(_meet(similarity), "a long, b long")
+
+
 def true_forest(sets: list[np.ndarray], fp: np.ndarray, left: np.ndarray, right: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what the pairs of left x right (or within left) join that are candidates and of that exact similarity."""
     n = np.array([len(s) for s in sets], np.int64)
@@ -308,12 +477,12 @@ def verified(rows: DataFrame, nodes: DataFrame, candidates: DataFrame, text: str
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """``docs`` with node, written; and node, least (the least id of its rows), component of each node."""
-    rows = stash(fingerprints(docs, text, width), "similar-rows")
+    rows = stash(fingerprints(docs, text, width, (similarity, common_shingles(docs, text, width))), "similar-rows")
     nodes = stash(rows.groupBy("node", "n_shingles", *_WORDS).agg(F.min(doc_id).alias("least")), "similar-nodes")
-    candidates = components(links_between(nodes.drop("least"), similarity))
+    candidates = components(links_sharing(rows, nodes.drop("least"), similarity))
     joined = components(verified(rows, nodes, candidates, text, width, similarity))
     named = nodes.select("node", "least").join(joined, "node", "left")
-    return rows.drop("n_shingles", *_WORDS), named.select("node", "least", F.coalesce("component", "node").alias("component"))
+    return rows.drop("n_shingles", "_first", *_WORDS), named.select("node", "least", F.coalesce("component", "node").alias("component"))
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -322,7 +491,8 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows, named = groups(docs, doc_id, text, width, similarity)
     # min() of structs takes nulls first
     best = named.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", "node")).alias("best"))
-    best = best.select(F.col("best.least").alias("_least"), F.col("best.node").alias("_node"))
-    kept = rows.join(best, F.col(doc_id).eqNullSafe(F.col("_least")) & (F.col("node") == F.col("_node")), "left_semi")
-    one = F.row_number().over(W.partitionBy(doc_id, "node").orderBy(*columns))
+    # structs, in which nulls are equal: the join and the window then deal rows alike, and texts move once
+    best = best.select(F.struct(F.col("best.least").alias("id")).alias("_key"), F.col("best.node").alias("node"))
+    kept = rows.withColumn("_key", F.struct(F.col(doc_id).alias("id"))).join(best, ["_key", "node"], "left_semi")
+    one = F.row_number().over(W.partitionBy("_key", "node").orderBy(*columns))
     return kept.withColumn("_one", one).where("_one = 1").select(*columns)
