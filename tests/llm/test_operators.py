@@ -581,6 +581,20 @@ def test_word_encoder_matches_whole_texts(monkeypatch):
     check()
 
 
+def test_words_that_share_ids_are_learned_once():
+    import pyarrow as pa
+
+    enc = token_output.WordEncoder(tokenizer_path())
+    texts = ["Word word. WORD, word", "", "word,, Word.. wörd. Wörd x. X, . , 3. 4,"]
+    ids, n = enc.encode(pa.array(texts, pa.string()), 2)
+    whole = [enc.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert ids.tolist() == [i for w in whole for i in w] and n.tolist() == [len(w) for w in whole]
+    assert set(enc.known) == {w.encode() for w in ("", ".", ",", "word", "word,,", "Word..", "wörd", "Wörd", "x", "3.", "4,")}
+    words, tails = token_output.cores_of(pa.array([b"", b"skipped", b"Ab.", b".", b"a1,", b"\xc3\xa9.", b"A1b,"], pa.binary())[1:])
+    assert words.to_pylist() == [b"skipped", b"ab", b".", b"a1,", b"\xc3\xa9.", b"A1b"] and tails.tolist() == [0, 1, 0, 0, 0, 2]
+    assert token_output.cores_of(pa.array([], pa.binary()))[0].to_pylist() == []
+
+
 def test_other_tokenizers_encode_whole_texts():
     import pyarrow as pa
     from tokenizers import Tokenizer

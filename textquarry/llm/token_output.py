@@ -31,7 +31,7 @@ ROWS_PER_SHARD = 4096
 #: Sequences in a record batch.
 BATCH = 512
 #: Words whose ids a worker keeps; it then starts anew.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 500_000
 #: Bytes of text that are encoded at once.
 CHUNK = 4 << 20
 
@@ -55,6 +55,35 @@ def by_words(rules: dict) -> bool:
     return all(rules.get(k) == v for k, v in BY_WORDS.items()) and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not any(c.isspace() for t in added for c in t)
 
 
+#: A full stop or comma after an ASCII letter is a token of its own.
+TAILS = (b".", b",")
+_LETTER = np.zeros(256, bool)
+_LETTER[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
+
+
+def cores_of(words: pa.BinaryArray) -> tuple[pa.BinaryArray, np.ndarray]:
+    """Words without such a tail, those of ASCII letters alone in lower case, as they have the same ids; and which of TAILS
+    each has, from 1, or 0."""
+    words = pa.concat_arrays([words])  # no offset
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int32, len(words) + 1) if len(words) else np.zeros(1, np.int32)
+    first = int(offsets[0])
+    data = np.frombuffer(data, np.uint8, int(offsets[-1]) - first, first) if offsets[-1] > first else np.zeros(0, np.uint8)
+    start, end = offsets[:-1] - first, offsets[1:] - first
+    size, tails = end - start, np.zeros(len(words), np.int64)
+    long = np.flatnonzero(size > 1)
+    long = long[_LETTER[data[end[long] - 2]]]
+    for k, t in enumerate(TAILS, 1):
+        tails[long[data[end[long] - 1] == t[0]]] = k
+    stays = np.ones(len(data), bool)
+    stays[end[tails > 0] - 1] = False
+    others = np.concatenate(([0], np.cumsum(~_LETTER[data] & stays)))
+    folded = np.repeat(others[end] == others[start], size) & (data >= 65) & (data <= 90)
+    data = (data | (folded.astype(np.uint8) << 5))[stays]
+    offsets = np.concatenate(([0], np.cumsum(size - (tails > 0)))).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), tails
+
+
 class WordEncoder:
     """Encodes texts word by word, each distinct word once, where the vocabulary's rules allow it (``by_words``): white space
     is dropped, and no pattern, composition or case rule spans it. The tests hold this against whole texts. With any
@@ -76,39 +105,23 @@ class WordEncoder:
     def reset(self) -> None:
         self.known: dict[bytes, int] = {b"": 0}  # what stands before white space that opens a text
         self.at, self.n, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, self.dtype)
-
-    def learn(self, words: list[bytes]) -> None:
-        """Words that differ in ASCII case have the same ids, and a full stop or comma after a letter is a token of its own."""
-        parts, cores = [], set()
-        for w in words:
-            core, tail = w, b""
-            if w[-1:] in (b".", b",") and w[-2:-1].isalpha():
-                core, tail = w[:-1], w[-1:]
-            if core.isalpha():
-                core = core.lower()
-            if core not in self.known:
-                cores.add(core)
-            if core != w:
-                parts.append((w, core, tail))
-        self.learn_cores(list(cores | ({b".", b","} - self.known.keys())))
-        parts = [x for x in parts if x[0] not in self.known]  # a core may itself be a word
-        which = np.fromiter((self.known[core] for _, core, _ in parts), np.int64, len(parts))
-        n, tailed = self.n[which], np.fromiter((bool(t) for *_, t in parts), bool, len(parts))
-        at = self.at[which]
-        if tailed.any():
-            k, m = which[tailed], n[tailed] + 1
-            stops = np.cumsum(m)
-            ids = self.flat[np.minimum(np.repeat(self.at[k] - stops + m, m) + np.arange(stops[-1]), len(self.flat) - 1)]
-            ids[stops - 1] = [self.flat[self.at[self.known[t]]] for *_, t in parts if t]
-            at[tailed], n[tailed] = len(self.flat) + stops - m, m
-            self.flat = np.concatenate((self.flat, ids))
-        self.add([w for w, *_ in parts], at, n)
+        self.learn_cores(list(TAILS))
 
     def add(self, words: list[bytes], at: np.ndarray, n: np.ndarray) -> None:
         base = len(self.known)
         self.known.update(zip(words, range(base, base + len(words)), strict=True))
         self.at, self.n = np.concatenate((self.at, at)), np.concatenate((self.n, n))
 
+    def look_up(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of distinct words; new ones are learned."""
+        which = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            learned = [words[k] for k in new]
+            self.learn_cores(learned)
+            which[new] = np.fromiter(map(self.known.__getitem__, learned), np.int64, len(new))
+        return which
+
     def learn_cores(self, words: list[bytes]) -> None:
         """Words of letters alone are encoded many at once; each ends with a token that ends a word."""
         texts = [w.decode() for w in words]
@@ -126,10 +139,10 @@ class WordEncoder:
                 sizes.append(np.diff(ends, prepend=-1))
             else:
                 rest += g
-        for k, e in zip(rest, self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
-            order.append(k)
-            flat.append(np.array(e.ids, self.dtype))
-            sizes.append(np.array([len(e.ids)]))
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)]
+        order += rest
+        flat.append(np.fromiter(itertools.chain.from_iterable(ids), self.dtype))
+        sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
         n = np.concatenate([np.zeros(0, np.int64), *sizes])
         self.add([words[k] for k in order], len(self.flat) + np.cumsum(n) - n, n)
         self.flat = np.concatenate([self.flat, *flat])
@@ -143,17 +156,20 @@ class WordEncoder:
             self.reset()
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.cast(pa.binary()).to_pylist()
-        if new := [w for w in words if w not in self.known]:
-            self.learn(new)
-        which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
-        n = self.n[which]
+        cores, tails = cores_of(coded.dictionary.cast(pa.binary()))
+        cores = cores.dictionary_encode()
+        core = self.look_up(cores.dictionary.to_pylist())[cores.indices.to_numpy()]
+        word = coded.indices.to_numpy()
+        tail = tails[word]
+        n = (self.n[core] + (tails > 0))[word]
         stops = np.concatenate(([0], np.cumsum(n)))
         offsets = split.offsets.to_numpy()
         doc_ids = np.diff(stops[offsets - offsets[0]])
         # source position of each id: where its word begins in flat, plus its place in the word
-        source = np.repeat(self.at[which] - stops[:-1], n)
+        source = np.repeat(self.at[core][word] - stops[:-1], n)
         source += np.arange(stops[-1])
+        tailed = np.flatnonzero(tail)
+        source[stops[1:][tailed] - 1] = self.at[[0, *[self.known[t] for t in TAILS]]][tail[tailed]]
         out = np.full(len(source) + len(texts), end, self.dtype)
         keep = np.ones(len(out), bool)
         keep[np.cumsum(doc_ids + 1) - 1] = False
