@@ -162,5 +162,6 @@ def kept(key: tuple, make):
     """What a worker builds once and uses in many tasks: the last one only, so that stages do not add up in its memory."""
     if key not in _kept:
         _kept.clear()
+        pa.default_memory_pool().release_unused()
         _kept[key] = make()
     return _kept[key]

@@ -32,8 +32,8 @@ ROWS_PER_SHARD = 4096
 BATCH = 512
 #: Words whose ids a worker keeps; it then starts anew.
 MAX_WORDS = 500_000
-#: Bytes of text that are encoded at once.
-CHUNK = 4 << 20
+#: Bytes of text that are encoded at once; the encodings of their new words take many times that.
+CHUNK = 1 << 20
 
 
 #: The rules under which a text's ids are those of its words in a row.
