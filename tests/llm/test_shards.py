@@ -1,7 +1,9 @@
 """Layouts of shards: outliers, one key for all rows, no keys at all, equal rows."""
 
+import os
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +52,27 @@ def test_clean_up(spark):
     spark.range(3).write.parquet(path)
     assert common.clean_up(spark) >= 1
     assert not spark._jvm.java.io.File(path.removeprefix("file:")).exists()
+
+
+def test_workers_give_memory_back(spark):
+    """A worker that has used much memory, and one that kept an object, hold neither when another stage's function begins."""
+
+    def anonymous():
+        return sum(int(line.split()[1]) for line in open("/proc/self/smaps_rollup") if line.startswith("Anonymous:")) >> 10
+
+    def use(batches):
+        common.kept(("big",), lambda: bytearray(b"x" * (64 << 20)))
+        for batch in batches:
+            some = [pa.array(range(1 << 12)) for _ in range(4000)]  # 128 MB
+            del some
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "mb": [anonymous()]})
+
+    def look(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "mb": [anonymous()]})
+
+    df = spark.range(1).coalesce(1)
+    before = df.mapInArrow(common.lean(use, keeps=True), "pid long, mb long").collect()[0]
+    rows = [df.mapInArrow(common.lean(look), "pid long, mb long").collect()[0] for _ in range(60)]
+    after = [r.mb for r in rows if r.pid == before.pid]
+    assert before.mb > 64 and after and max(after) < before.mb - 64

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ MAX_SHARDS = 1 << 17
 FIRST = -(1 << 63)
 #: Rows of a range in which keys are sorted for a layout.
 RANGE_ROWS = 1 << 22
+#: Bytes of rows after which a worker gives back the memory that it no longer uses.
+RELEASE = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -165,3 +168,38 @@ def kept(key: tuple, make):
         pa.default_memory_pool().release_unused()
         _kept[key] = make()
     return _kept[key]
+
+
+def release(keeps: bool = True) -> None:
+    """Gives the system back what the allocators hold free, and unless the worker ``keeps`` it, what was kept."""
+    if not keeps:
+        _kept.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
+def lean(run: Callable, keeps: bool = False) -> Callable:
+    """An Arrow function whose worker gives unused memory back every RELEASE bytes and at its end, as workers live on beside
+    those of later stages, and the executor's heap beside them. Unless it ``keeps``, what other functions have kept goes too."""
+
+    def fed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed = 0
+        for batch in batches:
+            passed += batch.nbytes
+            yield batch
+            if passed >= RELEASE:
+                del batch
+                passed = 0
+                release()
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(keeps)
+        try:
+            yield from run(fed(batches))
+        finally:
+            release()
+
+    return go

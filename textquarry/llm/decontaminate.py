@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import carried, kept, uncarried, utf8
+from textquarry.llm.common import carried, kept, lean, uncarried, utf8
 
 WINDOW = 10
 #: Nodes of one automaton at most, about 51 bytes each; a larger benchmark is scanned for in several passes. A window of ten
@@ -145,7 +145,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     schema = f"_row {df.schema['_row'].dataType.simpleString()}, _text string, {_OUT}"
     for k, some in enumerate(slices(items, window, nodes)):
         sent = spark.sparkContext.broadcast(some)
-        df = df.mapInArrow(_pass(_Sent(sent, k), window, k == 0), _schema(df, schema))
+        df = df.mapInArrow(lean(_pass(_Sent(sent, k), window, k == 0), keeps=True), _schema(df, schema))
     return uncarried(df, docs.columns, _OUTPUTS)
 
 

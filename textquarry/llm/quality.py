@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import carried, filesystem, fresh_path, stash, uncarried, utf8
+from textquarry.llm.common import carried, filesystem, fresh_path, lean, stash, uncarried, utf8
 
 #: Bytes of an n-gram; eight at most.
 ORDER = 5
@@ -123,7 +123,7 @@ def trained_rows(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", text:
         for key, at, part in chunks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, key)), pa.array(np.arange(at, at + part.num_rows)), part.column("id")], names=["chunk", "at", "id"])
 
-    rows = stash(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("_text")).mapInArrow(run, f"chunk long, at long, id {kind}"), "chunk-rows")
+    rows = stash(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("_text")).mapInArrow(lean(run), f"chunk long, at long, id {kind}"), "chunk-rows")
     wanted = rows.where("id is not null").join(ids.select(F.col("doc_id").alias("id")), "id", "left_semi").select("chunk", "at")
     every = rows.select("chunk").distinct().withColumn("at", F.lit(None).cast("long"))
     return _by_chunk(wanted.unionByName(every), "trained-rows", "at")
@@ -169,7 +169,7 @@ def gram_table(docs: DataFrame, trained: str | None, text: str = "text", order:
                 parts = [summed(parts)]
         yield from made(key, parts)
 
-    return stash(docs.select(F.col(text).alias("_text")).mapInArrow(run, "chunk long, gram long, n long"), "grams")
+    return stash(docs.select(F.col(text).alias("_text")).mapInArrow(lean(run), "chunk long, gram long, n long"), "grams")
 
 
 def _low(k: int) -> int:
@@ -257,7 +257,7 @@ def score(docs: DataFrame, priced: str, text: str = "text", order: int = ORDER)
     from pyspark.sql import types as T
 
     schema = T.StructType([df.schema["_row"], T.StructField("nll", T.DoubleType()), T.StructField("n_scored", T.LongType())])
-    return uncarried(df.mapInArrow(run, schema), docs.columns, ["nll", "n_scored"])
+    return uncarried(df.mapInArrow(lean(run), schema), docs.columns, ["nll", "n_scored"])
 
 
 def limits(scored: DataFrame, quantile: float = QUANTILE, prior: float = PRIOR) -> DataFrame:

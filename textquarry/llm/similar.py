@@ -42,7 +42,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textquarry.llm.common import carried, mix64, stash, uncarried, utf8
+from textquarry.llm.common import carried, lean, mix64, stash, uncarried, utf8
 from textquarry.llm.components import components
 from textquarry.llm.simhash import shingle_hashes
 
@@ -123,7 +123,7 @@ def common_shingles(docs: DataFrame, text: str = "text", width: int = WIDTH) ->
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (h[last], times[last])], names=["h", "times"])
 
     # one task: its sets are bounded by the sample
-    found = some.mapInArrow(sets, "shingles binary").repartition(1).mapInArrow(count, "h binary, times binary").collect()
+    found = some.mapInArrow(lean(sets), "shingles binary").repartition(1).mapInArrow(lean(count), "h binary, times binary").collect()
     return tuple(np.concatenate([np.zeros(0, t), *[np.frombuffer(r[k], t) for r in found]]) for k, t in enumerate((np.uint64, np.int64)))
 
 
@@ -161,7 +161,7 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = WIDTH, first:
                 columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(flat)))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
-    return uncarried(df.mapInArrow(run, T.StructType(schema)), docs.columns, [f.name for f in schema[1:]])
+    return uncarried(df.mapInArrow(lean(run), T.StructType(schema)), docs.columns, [f.name for f in schema[1:]])
 
 
 def forest(fp: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +268,7 @@ def links_between(nodes: DataFrame, similarity: float = SIMILARITY, block: int =
     rows = rows.select(F.explode(tiles).alias("t"), "node", "n_shingles", *_WORDS).select("t.pair", "t.side", "node", "n_shingles", *_WORDS)
     parts = max(1, min(pairs, MAX_PARTITIONS))
     rows = rows.repartitionById(parts, F.pmod("pair", F.lit(parts)).cast("int")).sortWithinPartitions("pair", "side")
-    return rows.mapInArrow(_compare(similarity), "a long, b long")
+    return rows.mapInArrow(lean(_compare(similarity)), "a long, b long")
 
 
 def _shared(block: int):
@@ -366,7 +366,7 @@ def buckets(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     n = rows.agg(F.sum(F.size("_first"))).first()[0] or 0
     parts = min(MAX_PARTITIONS, max(n // SHARED_ROWS + 1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     spread = spread.repartition(parts, "shingle").sortWithinPartitions("shingle", "node")
-    return spread.mapInArrow(_shared(block), "shingle long, node long, block long")
+    return spread.mapInArrow(lean(_shared(block)), "shingle long, node long, block long")
 
 
 def links_sharing(rows: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
@@ -385,7 +385,7 @@ def links_sharing(rows: DataFrame, nodes: DataFrame, similarity: float = SIMILAR
         met = met.join(divided, "shingle", "left").withColumn("t", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce("k", F.lit(1)) - 1), spot)))
         dealt = met.select("shingle", "t.high", "t.low", "t.side", "node", "n_shingles", *_WORDS)
     dealt = dealt.repartition("shingle", "high", "low").sortWithinPartitions("shingle", "high", "low")
-    return dealt.select("shingle", "high", "low", "side", "node", "n_shingles", *_WORDS).mapInArrow(_meet(similarity), "a long, b long")
+    return dealt.select("shingle", "high", "low", "side", "node", "n_shingles", *_WORDS).mapInArrow(lean(_meet(similarity)), "a long, b long")
 
 
 def true_forest(sets: list[np.ndarray], fp: np.ndarray, left: np.ndarray, right: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -465,14 +465,14 @@ def verified(rows: DataFrame, nodes: DataFrame, candidates: DataFrame, text: str
             shingles = [shingle_set(t, width).tobytes() for t in utf8(batch.column("_text"))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(shingles, pa.binary())], names=["node", "shingles"])
 
-    whole = of.join(texts.mapInArrow(sets, "node long, shingles binary"), "node")
+    whole = of.join(texts.mapInArrow(lean(sets), "node long, shingles binary"), "node")
     me = F.col("block")
     # 2: meets its own block, 0 and 1: the lower and the higher of two blocks
     spot = lambda j: F.struct(F.greatest(me, j).alias("high"), F.least(me, j).alias("low"), F.when(j == me, 2).when(me < j, 0).otherwise(1).alias("side"))
     tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), spot)
     dealt = whole.withColumn("t", F.explode(tiles)).select("component", "t.high", "t.low", "t.side", "node", *_WORDS, "shingles")
     dealt = dealt.repartition("component", "high", "low").sortWithinPartitions("component", "high", "low")
-    return dealt.mapInArrow(_verify(similarity), "a long, b long")
+    return dealt.mapInArrow(lean(_verify(similarity)), "a long, b long")
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:

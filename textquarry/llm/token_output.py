@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import by_shard, commit, filesystem, fresh_path, kept, layout, placed, runs_of, spread
+from textquarry.llm.common import by_shard, commit, filesystem, fresh_path, kept, layout, lean, placed, runs_of, spread
 
 END = 2
 LENGTH = 2048
@@ -265,7 +265,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, doc_id
             yield row()
 
     # Bounded: a row for each shard.
-    rows = by_shard(spread(placed(rows, "doc_id", "_tie", opens)), len(opens), "doc_id", "_tie", "text").mapInArrow(run, "shard int, n_docs long, n_tokens long").collect()
+    rows = by_shard(spread(placed(rows, "doc_id", "_tie", opens)), len(opens), "doc_id", "_tie", "text").mapInArrow(lean(run, keeps=True), "shard int, n_docs long, n_tokens long").collect()
     base, listed = 0, []
     for r in sorted(rows):
         listed.append((r["shard"], r["n_docs"], r["n_tokens"], base))
@@ -311,4 +311,4 @@ def read_back(spark: SparkSession, out: str, manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([docs["doc_id"], pc.add(docs["start"], base), docs["n_tokens"], pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     shards = max(1, manifest.count())
-    return manifest.repartition(min(shards, 4096), "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.repartition(min(shards, 4096), "shard").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
