@@ -189,6 +189,22 @@ def test_stored_suffix_array(docs, spark, tmp_path):
         suffix_index.load(spark, str(tmp_path / "old"))
 
 
+def test_stored_suffix_array_is_small(spark, tmp_path):
+    """Less than two bytes a symbol are written and no text is shuffled where the scan has parts enough; ties, wide alphabets and long texts."""
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefghij", k=r.randrange(2, 9))) for _ in range(300)]
+    texts = [" ".join(r.choices(words, k=900)) for _ in range(80)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "docs"))
+    built = suffix_index.build(spark.read.parquet(str(tmp_path / "docs")))
+    assert "Exchange" not in built._jdf.queryExecution().executedPlan().toString()
+    suffix_index.save(built, str(tmp_path / "s"))
+    assert sum(p.stat().st_size for p in (tmp_path / "s").glob("*.parquet")) < 2 * sum(map(len, texts))
+    for t in [*[x for x in TEXTS if x is not None], texts[0], "a" * 70_000, "".join(chr(r.randrange(1, 0xD800)) for _ in range(3000)), "\U0010ffff", "ab\0a\0" * 99]:
+        points = suffixes.code_points(t)
+        got, n = suffix_index.positions(points, suffix_index.numbered(points)).tolist(), len(t)
+        assert got == (list(range(n, -1, -1)) if set(t) == {"a"} else sorted(range(n + 1), key=lambda i: t[i:]))
+
+
 def test_places_in_suffix_order():
     import random
 

@@ -47,11 +47,11 @@ def clean_up(spark: SparkSession) -> int:
     return n
 
 
-def save(table: DataFrame, path: str, version: int) -> None:
-    """Writes a table whose rows carry their format version."""
+def save(table: DataFrame, path: str, version: int, **options: str) -> None:
+    """Writes a table whose rows carry their format version; options of the Parquet writer."""
     if "format_version" not in table.columns:
         table = table.withColumn("format_version", F.lit(version))
-    table.write.parquet(path)
+    table.write.options(**options).parquet(path)
 
 
 def load(spark: SparkSession, path: str, version: int) -> DataFrame:
