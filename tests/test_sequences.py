@@ -4,12 +4,13 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as T
-from textquarry.operators import index, packing, ranks, sequence, suffix_index, suffixes, transform
+from textquarry.operators import index, packing, ranks, rows, sequence, suffix_index, suffixes, transform
 from textquarry.sources import texts as sources
 
 SMALLER = "aloha what a string this is string is eh"
@@ -205,6 +206,18 @@ def test_stored_suffix_array_is_small(spark, tmp_path):
         assert got == (list(range(n, -1, -1)) if set(t) == {"a"} else sorted(range(n + 1), key=lambda i: t[i:]))
 
 
+def test_parts_are_bounded(spark, monkeypatch):
+    """However many rows come together, a worker opens some PART bytes of them; answers over several parts and batches stay whole."""
+    batch = pa.RecordBatch.from_pydict({"k": list(range(1000)), "t": ["x" * 10_000] * 1000})
+    some = list(rows.parts(iter([batch, batch.slice(0, 0), batch.slice(0, 1)])))
+    assert [k for p in some for k in p.column("k").to_pylist()] == [*range(1000), 0] and max(p.num_rows for p in some) <= 110
+    monkeypatch.setattr(ranks, "MADE", 3)
+    texts = spark.createDataFrame([(d, f"{d} banana" * 40_000 if d < 4 else str(d)) for d in range(40)], "doc_id long, text string").coalesce(1)
+    asks = [(d, p, "a") for d in range(41) for p in range(0, 30, 3)]
+    got = ranks.rank_at(ranks.build_ranks(texts), spark.createDataFrame(asks, "seq_id long, pos long, symbol string")).collect()
+    assert Counter(map(tuple, got)) == Counter((d, p, c, (f"{d} banana" * 9)[:p].count(c) if d < 4 else 0) for d, p, c in asks if d < 40)
+
+
 def test_places_in_suffix_order():
     import random
 

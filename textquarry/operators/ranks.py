@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry.operators import rows as R
 from textquarry.operators import suffixes
 from textquarry.sources import tables
 
@@ -43,10 +44,11 @@ class Ranks:
         step = max(STEP, 4 * sigma)
         kind = np.uint8 if sigma <= 256 else np.uint16 if sigma <= 65536 else np.uint32
         packed = codes.astype(kind)
-        counts = [np.bincount(packed[i : i + step], minlength=sigma) for i in range(0, len(packed), step)]
-        before = np.zeros((len(counts) + 1, sigma), np.uint32)
-        if counts:
-            before[1:] = np.cumsum(counts, axis=0)
+        blocks = -(-len(packed) // step)
+        before = np.zeros((blocks + 1, sigma), np.uint32)
+        if blocks:
+            counts = np.bincount(np.arange(len(packed)) // step * sigma + codes, minlength=blocks * sigma)
+            before[1:] = np.cumsum(counts.reshape(blocks, sigma), axis=0)
         return packed.astype(packed.dtype.newbyteorder("<")).tobytes(), np.array([step, sigma], "<u4").tobytes() + before.astype("<u4").tobytes()
 
     def rank(self, code: int, place: int) -> int:
@@ -90,11 +92,12 @@ def build_ranks(docs: DataFrame, seq_id: str = "doc_id", text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["seq_id", *[c.split()[0] for c in _SCHEMA.split(", ")]], [pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
-        for batch in batches:
-            for k, t in enumerate(batch.column("text").to_pylist()):
+        for part in R.parts(batches):
+            made = []
+            for t in part.column("text").to_pylist():
                 codes, symbols = suffixes.first_appearance(suffixes.code_points(t))
-                row = (FORMAT_VERSION, len(codes), suffixes.to_text(symbols), *Ranks.stored(codes, len(symbols) + 1))
-                yield pa.RecordBatch.from_arrays([batch.column("seq_id").slice(k, 1), *[pa.array([v], kind) for v, kind in zip(row, kinds, strict=True)]], names=names)
+                made.append((FORMAT_VERSION, len(codes), suffixes.to_text(symbols), *Ranks.stored(codes, len(symbols) + 1)))
+            yield pa.RecordBatch.from_arrays([part.column("seq_id"), *[pa.array(v, kind) for v, kind in zip(zip(*made, strict=True), kinds, strict=True)]], names=names)
 
     return rows.mapInArrow(run, f"seq_id {rows.schema['seq_id'].dataType.simpleString()}, {_SCHEMA}")
 
@@ -109,6 +112,8 @@ def load_ranks(spark: SparkSession, path: str) -> DataFrame:
 
 #: Questions to one stored row that are answered together.
 TOGETHER = 1 << 16
+#: Answers after which a batch of them goes out.
+MADE = 20_000
 
 
 def asked(stored: DataFrame, at: DataFrame, key: str, given: list[str], answer: Callable[[dict, list[tuple]], list[tuple]], columns: str, kinds: list[pa.DataType]) -> DataFrame:
@@ -124,13 +129,18 @@ def asked(stored: DataFrame, at: DataFrame, key: str, given: list[str], answer:
     types = {c: at.schema[c].dataType.simpleString() for c in (key, *given)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names if c != "_asked"}
-                found = batch.column("_asked").slice(k, 1).flatten()
-                questions = list(zip(*[found.field(c).to_pylist() for c in given], strict=True))
-                made = answer(row, questions)
-                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array([k] * len(made))), *[found.field(c) for c in given], *[pa.array([m[j] for m in made], kind) for j, kind in enumerate(kinds)]], names=[key, *given, *names])
+        for part in R.parts(batches):
+            lists, needed = part.column("_asked"), [c for c in part.schema.names if c != "_asked"]
+            found, ends = lists.flatten(), np.cumsum(lists.value_lengths().to_numpy())
+            questions = list(zip(*[found.field(c).to_pylist() for c in given], strict=True))
+            made, done = [], 0
+            for k, row in enumerate(zip(*[part.column(c).to_pylist() for c in needed], strict=True)):
+                made += answer(dict(zip(needed, row, strict=True)), questions[len(made) + done : ends[k]])
+                if len(made) > MADE or k == part.num_rows - 1:
+                    asked_here = found.slice(done, len(made))
+                    which = pa.array(np.searchsorted(ends, np.arange(done, done + len(made)), "right"))
+                    yield pa.RecordBatch.from_arrays([part.column(key).take(which), *[asked_here.field(c) for c in given], *[pa.array([m[j] for m in made], kind) for j, kind in enumerate(kinds)]], names=[key, *given, *names])
+                    made, done = [], done + len(made)
 
     return both.mapInArrow(run, ", ".join([*[f"{c} {t}" for c, t in types.items()], columns]))
 
