@@ -218,6 +218,14 @@ def test_parts_are_bounded(spark, monkeypatch):
     assert Counter(map(tuple, got)) == Counter((d, p, c, (f"{d} banana" * 9)[:p].count(c) if d < 4 else 0) for d, p, c in asks if d < 40)
 
 
+def test_index_is_built_where_texts_are_read(spark, tmp_path):
+    spark.range(4000).selectExpr("id AS doc_id", "repeat('so it is. ', 20) AS text").repartition(8).write.parquet(str(tmp_path / "docs"))
+    for built in (index.build_index(spark.read.parquet(str(tmp_path / "docs"))), index.build_index(spark.read.parquet(str(tmp_path / "docs")), extraction=False)):
+        assert "Exchange" not in built._jdf.queryExecution().executedPlan().toString() and built.where("input_length = 201").count() == 4000
+    few = index.build_index(spark.read.parquet(str(tmp_path / "docs")).coalesce(1))
+    assert "Exchange" in few._jdf.queryExecution().executedPlan().toString()
+
+
 def test_places_in_suffix_order():
     import random
 
