@@ -226,6 +226,20 @@ def test_index_is_built_where_texts_are_read(spark, tmp_path):
     assert "Exchange" in few._jdf.queryExecution().executedPlan().toString()
 
 
+def test_index_steps_and_patterns():
+    """A slice of a text of middling length is taken from one sort by digits; patterns are searched for side by side."""
+    r = random.Random(8)
+    for t in ["", "a", "abab", *["".join(r.choices("ab \n\U0001f600", k=n)) for n in (31, 32, 33, 700, 60_000)]]:
+        opened = index.Index(dict(zip([c.split()[0] for c in index._SCHEMA.split(", ")], index.build_row(t, 32, True), strict=True)))
+        asks = ["a", "ab", "zz", "\U0001f600", "b a", t[:40] or "q", t[-3:] or "q", "a" * 900, "a"]
+        got = {k: (low, high) for k, low, high in opened.ranges(index.Patterns(asks))}
+        assert got == {k: found for k, p in enumerate(asks) if (found := opened.range(p)) != (0, 0)} and all(high - low == sum(t.startswith(asks[k], i) for i in range(len(t))) for k, (low, high) in got.items())
+        assert not list(opened.ranges(index.Patterns([])))
+        if len(t) > 700:
+            assert opened.extract(300, 301) == t[300] and opened._lf is not None
+        assert opened.extract(0, len(t)) == t and opened.extract(len(t) // 3, len(t)) == t[len(t) // 3 :]
+
+
 def test_places_in_suffix_order():
     import random
 
