@@ -240,6 +240,21 @@ def test_index_steps_and_patterns():
         assert opened.extract(0, len(t)) == t and opened.extract(len(t) // 3, len(t)) == t[len(t) // 3 :]
 
 
+@pytest.mark.parametrize("rate", [1, 4, 32, 2000])
+def test_positions_are_unfolded(rate, monkeypatch):
+    """All positions of a text at once are the suffix array, without a search among the samples; few matches of a long text still step."""
+    r = random.Random(9)
+    for t in ["", "a", "aaaa", *["".join(r.choices("ab \n", k=n)) for n in (31, 32, 33, 64, 3000)]]:
+        opened = index.Index(dict(zip([c.split()[0] for c in index._SCHEMA.split(", ")], index.build_row(t, rate, False), strict=True)))
+        opened._prepare(len(t) + 1)
+        assert opened._lf is not None and opened._unfolded().tolist() == suffixes.suffix_array(suffixes.first_appearance(suffixes.code_points(t))[0]).tolist()
+        found = [i for i in range(len(t)) if t.startswith("ab", i)]
+        assert opened.locate("ab") == found
+        monkeypatch.setattr(index, "UNFOLDED", -(1 << 40))
+        assert opened.locate("ab") == found and opened.locate("ab", 2) == found[:2]
+        monkeypatch.setattr(index, "UNFOLDED", 1 << 14)
+
+
 def test_places_in_suffix_order():
     import random
 
