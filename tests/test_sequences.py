@@ -255,6 +255,13 @@ def test_positions_are_unfolded(rate, monkeypatch):
         monkeypatch.setattr(index, "UNFOLDED", 1 << 14)
 
 
+def test_ranks_of_all_positions(spark):
+    """Symbols come from the alphabet's table, whatever their width, over several texts of a batch."""
+    texts = ["", "ba\0b", "\U0001f600a\U0001f600\ud7ff", "".join(chr(0x4E00 + k % 700) for k in range(2000)), "xyx"]
+    got = sequence.inverse_select_all(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    assert Counter(map(tuple, got)) == Counter((d, p, c, t[:p].count(c)) for d, t in enumerate(texts) for p, c in enumerate(t))
+
+
 def test_places_in_suffix_order():
     import random
 

@@ -45,13 +45,13 @@ def inverse_select_all(docs: DataFrame, seq_id: str = "doc_id", text: str = "tex
     """(seq_id, pos, symbol, rank) of every position, a document at a time, without a shuffle."""
 
     def make(t: str):
-        points = suffixes.code_points(t)
-        by = np.argsort(points, kind="stable")
-        ordered = points[by]
+        codes, symbols = suffixes.first_appearance(suffixes.code_points(t))
+        by = suffixes.by_symbol(codes, len(symbols) + 1)
+        ordered = codes[by]
         first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(by) else by
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
-        return np.arange(len(by)), list(t), rank
+        return np.arange(len(by)), pa.array(list(suffixes.to_text(symbols)), pa.string()).take(pa.array(codes - 1)), rank
 
     return per_document(docs, seq_id, text, make, [("pos", "long", pa.int64()), ("symbol", "string", pa.string()), ("rank", "long", pa.int64())])
 

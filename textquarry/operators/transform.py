@@ -9,9 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.operators import rows as R
 from textquarry.operators import suffixes
 
 
+def _joined(columns: list, kind: pa.DataType) -> pa.Array:
+    if isinstance(columns[0], pa.Array):
+        return pa.concat_arrays(columns)
+    return pa.array(np.concatenate(columns) if isinstance(columns[0], np.ndarray) else [x for y in columns for x in y], kind)
+
+
 def per_document(docs: DataFrame, seq_id: str, text: str, make: Callable, columns: list[tuple[str, str, pa.DataType]], deal: bool = False) -> DataFrame:
     """Rows that ``make(text)`` gives as columns. ``deal`` shares documents out by id, where the work outweighs the move."""
     rows = docs.select(F.col(seq_id).alias("seq_id"), F.col(text).alias("text")).where("text is not null")
@@ -19,7 +26,7 @@ def per_document(docs: DataFrame, seq_id: str, text: str, make: Callable, column
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["seq_id", *[c for c, _, _ in columns]]
-        for batch in batches:
+        for batch in R.parts(batches):
             ids, index, held, n = batch.column("seq_id"), [], [], 0
             texts = batch.column("text").to_pylist()
             for k, t in enumerate(texts):
@@ -29,7 +36,7 @@ def per_document(docs: DataFrame, seq_id: str, text: str, make: Callable, column
                 n += len(made[0])
                 if n > 100_000 or k == len(texts) - 1:
                     parts = [[m[j] for m in held] for j in range(len(columns))]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(index))), *[pa.array(np.concatenate(p) if isinstance(p[0], np.ndarray) else [x for y in p for x in y], kind) for p, (_, _, kind) in zip(parts, columns, strict=True)]], names=names)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(index))), *[_joined(p, kind) for p, (_, _, kind) in zip(parts, columns, strict=True)]], names=names)
                     index, held, n = [], [], 0
 
     return rows.mapInArrow(run, ", ".join([f"seq_id {rows.schema['seq_id'].dataType.simpleString()}", *[f"{c} {kind}" for c, kind, _ in columns]]))
